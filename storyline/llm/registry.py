@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from storyline.llm import decontaminate, packing, simhash
+from storyline.llm import decontaminate, fertility, packing, secret_scan, simhash, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.query,
+    "op4_secret_scan": secret_scan.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_benchmark_decontamination": decontaminate.query,
+    "op7_tokenizer_fertility": fertility.query,
     "op10_best_fit_packing": packing.query,
 }
 ORACLE_SQL = {"op6_benchmark_decontamination": decontaminate.ORACLE}
