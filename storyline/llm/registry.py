@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyline.llm import decontaminate, fertility, packing, secret_scan, simhash, toxicity
+from storyline.llm import decontaminate, fertility, packing, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.query,
     "op6_benchmark_decontamination": decontaminate.query,
     "op7_tokenizer_fertility": fertility.query,
+    "op8_sharding": sharding.query,
     "op10_best_fit_packing": packing.query,
 }
 ORACLE_SQL = {"op6_benchmark_decontamination": decontaminate.ORACLE}
