@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from storyline.llm import decontaminate, fertility, packing, secret_scan, sharding, simhash, toxicity
+from storyline.llm import decontaminate, fertility, licenses, packing, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
     "op3_toxicity": toxicity.query,
     "op4_secret_scan": secret_scan.query,
     "op5_simhash_near_dedup": simhash.query,
