@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyline.llm import decontaminate, fertility, licenses, packing, secret_scan, sharding, simhash, toxicity
+from storyline.llm import decontaminate, fertility, licenses, packing, pii, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_benchmark_decontamination": decontaminate.query,
     "op7_tokenizer_fertility": fertility.query,
     "op8_sharding": sharding.query,
+    "op9_personal_data": pii.query,
     "op10_best_fit_packing": packing.query,
 }
 ORACLE_SQL = {"op6_benchmark_decontamination": decontaminate.ORACLE}
