@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from storyline.llm import decontaminate, fertility, licenses, packing, pii, secret_scan, sharding, simhash, toxicity
+from storyline.llm import decontaminate, fertility, licenses, packing, pii, secret_scan, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_license_scan": licenses.query,
+    "op2_url_filter": urls.query,
     "op3_toxicity": toxicity.query,
     "op4_secret_scan": secret_scan.query,
     "op5_simhash_near_dedup": simhash.query,
