@@ -53,6 +53,19 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()
 
 
+def filter_rows(df: DataFrame, keep: Callable[[list[str | None]], list[bool]], block: int = 2000) -> DataFrame:
+    """Rows, with all their columns, whose texts `keep` wants; an Arrow map."""
+    at_text = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                yield part.filter(pa.array(keep(part.column(at_text).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def map_rows(df: DataFrame, schema: StructType, rows: Callable[[dict[str, list]], dict[str, Iterable]], block: int = 2000) -> DataFrame:
     """Arrow map: `rows` gets the columns of up to `block` rows as lists and returns columns of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

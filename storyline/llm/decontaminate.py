@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyline.llm.common import map_rows, table, words_of, written
+from storyline.llm.common import filter_rows, map_rows, table, words_of, written
 
 WINDOW = 13
 
@@ -192,6 +192,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", contaminated(n_hit, F.col("n_words")))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_block_words: int = 4_000_000) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated."""
+    blocks = item_blocks(items, max_block_words)
+    if len(blocks) > 1:  # the hits of all blocks count together, so every row needs a key
+        keyed = written(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct("*").alias("_row"), "text"), "decontaminate-rows")
+        found = find_matches(keyed.select(F.col("_key").alias("doc_id"), "text"), items, window, max_block_words)
+        bad = found.filter(contaminated(F.size("hits"), F.col("n_words"))).select(F.col("doc_id").alias("_key"))
+        return keyed.join(bad, "_key", "left_anti").select("_row.*")
+    tests = TestSuffixes([(r.item_id, words_of(r.text)) for r in blocks[0].collect()], window)
+    shared = docs.sparkSession.sparkContext.broadcast(tests)
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        words = [words_of(t) for t in texts]
+        return [not (h and 20 * len(h) >= len(w)) for w, (h, _) in zip(words, shared.value.matches(words))]
+
+    return filter_rows(docs, keep)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_distinct(F.transform("matches", lambda m: m.item_id.cast("string")))

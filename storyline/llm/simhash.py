@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,14 +58,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long)."""
+    """doc_id, text_hash and fp (the 64 bits as a signed long)."""
 
     def rows(cols: dict[str, list]) -> dict:
         prints = np.array([fingerprint(t, shingle) for t in cols["text"]], dtype=np.uint64)
-        return {"doc_id": cols["doc_id"], "fp": prints.view(np.int64)}
+        return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "fp": prints.view(np.int64)}
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
-    return map_rows(docs.select("doc_id", "text"), schema, rows)
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_hash", "fp")])
+    return map_rows(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), schema, rows)
 
 
 # ---- the Golay code -------------------------------------------------------------------------------------------------
@@ -228,7 +228,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links of max_bits or fewer differing bits)."""
+    """doc_id, text_hash, fp, class, component_id (smallest doc_id reachable over links of max_bits or fewer bits)."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the keys are complete for at most three differing bits")
     prints = written(fingerprints(docs, shingle), "fingerprints")
@@ -236,8 +236,23 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     linked = connected_components(link_fingerprints(unique, max_bits))
     classes = unique.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
     ids = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = classes.join(ids, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = classes.join(ids, "component").select("fp", F.col("component").alias("class"), "component_id")
+    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "class", "component_id")
+
+
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each class, all columns: that with the smallest doc_id (null ones last), then the smallest text hash;
+    of equal rows one. The rows to drop are the smaller side of the join."""
+    found = near_duplicates(docs, max_bits, shingle)
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
+    others = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash")))
+    drop = found.join(best, "class").filter(others).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    text_hash = F.xxhash64("text")
+    kept = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")), "left_anti")
+    if kept.groupBy("doc_id", text_hash).count().filter("count > 1").isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy(text_hash))
+    return kept.withColumn("_n", first).filter("_n = 1").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

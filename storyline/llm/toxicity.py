@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyline.llm.common import map_rows, table
+from storyline.llm.common import filter_rows, map_rows, table, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -212,8 +212,6 @@ def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[DataF
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> Model:
-    from storyline.llm.common import written
-
     examples, sizes = sample(docs, labels, max_examples)
     examples = written(examples, "toxicity-sample")
     here = {r.toxic: r["count"] for r in examples.groupBy("toxic").count().collect()}
@@ -252,16 +250,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     return Model([features[f] for f in kept], rows, {c: sizes[c] / here[c] for c in (0, 1)})
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, features (found ones) and neighbours (evidence) for every row."""
+def scorer(docs: DataFrame, model: Model):
+    """texts -> (counts by feature, (score, neighbours)) in the tasks; a worker keeps one vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rows(cols: dict[str, list]) -> dict:
+    def of(texts: list[str | None]) -> tuple[Model, list, list]:
         m = shared.value
         if not hasattr(m, "words"):
             m.words = Vocabulary(m.features)
-        counts = [m.words.counts(t) for t in cols["text"]]
-        scored = [m.score(c) for c in counts]
+        counts = [m.words.counts(t) for t in texts]
+        return m, counts, [m.score(c) for c in counts]
+
+    return of
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that score under the threshold."""
+    of = scorer(docs, model)
+    return filter_rows(docs, lambda texts: [s < threshold for s, _ in of(texts)[2]])
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, features (found ones) and neighbours (evidence) for every row."""
+    of = scorer(docs, model)
+
+    def rows(cols: dict[str, list]) -> dict:
+        m, counts, scored = of(cols["text"])
         return {
             "doc_id": cols["doc_id"],
             "score": [s for s, _ in scored],
