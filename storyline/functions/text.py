@@ -86,10 +86,19 @@ def tokenize(c: Column, stemming: bool = True) -> Column:
     return F.transform(words, stem) if stemming else words
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside lambdas expressions are not shared."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens, joined by single spaces."""
-    some = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
