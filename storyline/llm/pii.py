@@ -5,7 +5,7 @@ with a digit. Every seed and candidate is an instance that occurs in lexical pat
 behind it, both, or the word before it with its shape. On the graph of patterns and instances Spark iterates: a pattern
 scores by the mean of its instances' scores, drawn to zero by SMOOTHING, or zero with fewer than MIN_INSTANCES; an
 instance that is no seed by the mean of its patterns. Instances over the threshold are discovered identifiers if they
-have as many digits and signs as seeds of the kind that their best pattern's seeds mostly have.
+have about as many digits and signs as seeds of the kind that their best pattern's seeds mostly have.
 
 Edges are counted before they are joined: an entity that was copied into a third of all texts is one edge of each of
 its patterns, and a pattern with many instances is joined on the side that Spark can split. DataFrame functions only.
@@ -156,7 +156,8 @@ def discover(base: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     digits, signs = F.length(F.regexp_replace("value", "[^0-9]", "")), F.length("value")
     limits = edges.filter("kind IS NOT NULL").groupBy("kind").agg(F.min(digits).alias("d0"), F.max(digits).alias("d1"), F.min(signs).alias("s0"), F.max(signs).alias("s1"))
     new = score_values(edges, patterns).filter((F.col("value_score") >= THRESHOLD) & F.col("best_kind").isNotNull())
-    alike = (F.col("best_kind") == F.col("kind")) & digits.between(F.col("d0"), F.col("d1")) & signs.between(F.col("s0"), F.col("s1"))
+    like = digits.between(F.col("d0") - 2, F.col("d1") + 2) & signs.between(F.col("s0") / 2, F.col("s1") + 4)
+    alike = (F.col("best_kind") == F.col("kind")) & like
     new = new.join(F.broadcast(limits), alike).select("value", "best_kind")  # a row for each kind
     hits = seen.filter("kind IS NULL").join(new, "value")
     return hits.groupBy("digest").agg(F.collect_set(F.struct(F.col("best_kind").alias("kind"), "start", "end")).alias("found"))

@@ -87,7 +87,8 @@ class BlockMaxIndex:
     """Examples' unit vectors in blocks, with block maxima."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray):
-        order = np.lexsort((ids, vectors.argmax(axis=1)))  # alike examples share a block: sharper maxima
+        main = vectors.argmax(axis=1) if vectors.size else ids
+        order = np.lexsort((ids, main))  # alike examples share a block: sharper maxima
         self.vectors, self.ids, self.labels, self.weights = vectors[order], ids[order], labels[order], weights[order]
         starts = np.arange(0, len(order), BLOCK)
         self.maxima = np.maximum.reduceat(self.vectors, starts, axis=0) if len(order) else vectors
