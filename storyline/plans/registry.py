@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyline.plans import event_queries, order_queries, text_queries
+from storyline.plans import event_queries, order_queries, source_queries, text_queries
 
-QUERIES = {**event_queries.QUERIES, **order_queries.QUERIES, **text_queries.QUERIES}
-ORACLE_SQL = {**event_queries.ORACLE_SQL, **order_queries.ORACLE_SQL, **text_queries.ORACLE_SQL}
+QUERIES = {**event_queries.QUERIES, **order_queries.QUERIES, **text_queries.QUERIES, **source_queries.QUERIES}
+ORACLE_SQL = {**event_queries.ORACLE_SQL, **order_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **source_queries.ORACLE_SQL}
