@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from storyline.plans import event_queries, order_queries, source_queries, text_queries
+from storyline.plans import desk_queries, event_queries, order_queries, source_queries, text_queries
 
-QUERIES = {**event_queries.QUERIES, **order_queries.QUERIES, **text_queries.QUERIES, **source_queries.QUERIES}
-ORACLE_SQL = {**event_queries.ORACLE_SQL, **order_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **source_queries.ORACLE_SQL}
+AREAS = (event_queries, order_queries, text_queries, source_queries, desk_queries)
+QUERIES = {name: f for area in AREAS for name, f in area.QUERIES.items()}
+ORACLE_SQL = {name: sql for area in AREAS for name, sql in area.ORACLE_SQL.items()}
