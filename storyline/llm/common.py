@@ -1,8 +1,7 @@
-"""What the operators share: the shared folder, written intermediate tables, ASCII lower-casing and Arrow maps."""
+"""What the operators share: written intermediate tables, ASCII lower-casing, Arrow maps and filters."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,10 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from storyline.sources.scratch import shared_dir, written  # noqa: F401  (shared by the operators from here)
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-LOCAL_SHARED = "/tmp/checkpoints/storyline"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: bytes.translate table: A-Z to a-z, all other ASCII but digits and a-z to a space. Splitting on spaces then gives
 #: the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text.
@@ -26,19 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a local one if unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -13,7 +13,7 @@ without building groups: a bucket emits the links of a spanning forest only, nev
 bytes a fingerprint.
 
 Equal fingerprints are merged before keys are made (a group of copies counts once). Links are joined to components by
-large-star / small-star rounds on DataFrames, each round written to the shared folder.
+large-star / small-star rounds on DataFrames (storyline.operators.graph), each round written to the shared folder.
 
 Defined results: null or empty text has fingerprint zero, linked like any other; repeated rows and equal doc_ids give
 one row each; an empty table gives an empty result; null doc_ids keep a fingerprint and take part in the components,
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyline.llm.common import lower_bytes, map_rows, table, written
+from storyline.operators.graph import connected_components
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -200,33 +201,6 @@ def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of links (a, b), by large-star / small-star.
-
-    A node's links are never gathered: each star step is one minimum per node and one join, which Spark can split
-    where a node has many links. The number of rounds grows with the logarithm of the longest chain.
-    """
-    edges = written(links.select("a", "b").filter("a <> b").distinct(), "links")
-    state = None
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()  # a > b in every link
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(least, F.col("a") == F.col("u"))
-        small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = written(small.filter("a <> b").distinct(), "links")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.col("a") % 1_000_003).alias("sa"), F.sum(F.col("b") % 1_000_003).alias("sb"), F.count_distinct("a").alias("nodes")).first()
-        if now == state and now.n == now.nodes:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
-    roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-
-
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, fp, class, component_id (smallest doc_id reachable over links of max_bits or fewer bits)."""
     if not 0 <= max_bits <= MAX_BITS:
