@@ -142,7 +142,7 @@ def five_grams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(GRAMS + "SELECT doc_id, item_id, round(count(*) / max(n), 6) AS copied FROM dg JOIN (SELECT DISTINCT item_id, gram FROM bg) USING (gram) GROUP BY ALL")
 def copy_ratio_5gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, b = five_grams(spark, sf_dir)
-    return similarity.copied_share(d, b, F.col("grams")).select("doc_id", "item_id", F.round("copied", 6).alias("copied"))
+    return similarity.copied_share(d, b).select("doc_id", "item_id", F.round("copied", 6).alias("copied"))
 
 
 @query(GRAMS + """, m AS (SELECT doc_id, item_id, i, i - j AS diagonal FROM dg JOIN bg USING (gram)), s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS island FROM m),

@@ -189,7 +189,7 @@ def test_similarity(spark):
     a = spark.createDataFrame([(1, "x a b c d e y"), (2, "nothing in common here")], "doc_id int, t string").select("doc_id", grams)
     b = spark.createDataFrame([(7, "a b c d e"), (8, "b c d")], "item_id int, t string").select("item_id", grams)
     assert {(r.doc_id, r.item_id): r.run for r in similarity.common_runs(a, b, 3).collect()} == {(1, 7): 5, (1, 8): 3}
-    assert {(r.doc_id, r.item_id): r.copied for r in similarity.copied_share(a, b, F.col("grams")).collect()} == {(1, 7): 0.6, (1, 8): 0.2}
+    assert {(r.doc_id, r.item_id): r.copied for r in similarity.copied_share(a, b).collect()} == {(1, 7): 0.6, (1, 8): 0.2}
     assert {r.node: r.component for r in graph.connected_components(spark.createDataFrame([(1, 2), (3, 2), (9, 8)], "a long, b long")).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
 
 
