@@ -143,7 +143,8 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             scored = edges.withColumn("score", score.otherwise(0.0))
         else:
             scored = edges.join(score_values(edges, patterns), "value", "left").withColumn("score", score.otherwise(F.coalesce("value_score", F.lit(0.0))))
-        patterns = scored.groupBy("pattern").agg(F.count("*").alias("n"), (F.sum("score") / (F.count("*") + SMOOTHING)).alias("score"), F.mode("kind", deterministic=True).alias("kind"))
+        sums = scored.groupBy("pattern").agg(F.count("*").alias("n"), (F.sum("score") / (F.count("*") + SMOOTHING)).alias("score"), F.mode("kind", deterministic=True).alias("kind"))
+        patterns = written(sums, "pii-patterns")  # a round ends; joins on patterns get partitions that Spark can split
     return patterns
 
 
@@ -152,7 +153,7 @@ def discover(base: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     seen = written(occurrences(base), "pii-occurrences")
     edges = seen.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
     edges = written(edges, "pii-edges")
-    patterns = written(score_patterns(edges, rounds), "pii-patterns")
+    patterns = score_patterns(edges, rounds)
     digits, signs = F.length(F.regexp_replace("value", "[^0-9]", "")), F.length("value")
     limits = edges.filter("kind IS NOT NULL").groupBy("kind").agg(F.min(digits).alias("d0"), F.max(digits).alias("d1"), F.min(signs).alias("s0"), F.max(signs).alias("s1"))
     new = score_values(edges, patterns).filter((F.col("value_score") >= THRESHOLD) & F.col("best_kind").isNotNull())
