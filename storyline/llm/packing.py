@@ -8,8 +8,8 @@ of its length, and a range of ranks of a length belongs to a bin of the plan.
 Best-two-fit: a bin is filled greedily (the largest length that still fits); then its smallest piece is replaced by two
 unpacked ones if they fill the expanded gap more tightly.
 
-Ranks come from a window over (length, bucket), where bucket is one of `rank_buckets` hash buckets of the row, plus the
-offsets of the buckets: a length that a third of all pieces share is spread over the buckets.
+Ranks come from a window over (length, bucket), where bucket is a hash bucket of the row, plus the offsets of the
+buckets: a length that a third of all pieces share is spread over buckets whose number grows with its pieces.
 
 Defined results: a null or empty text is the single end id; repeated documents are packed one by one; an empty table
 gives no sequences; columns other than doc_id and text are not read.
@@ -231,11 +231,20 @@ class Places:
         return self.sequence[at] + turn, self.place[at] + within * length
 
 
-def pack(cut: DataFrame, max_tokens: int = MAX_TOKENS, rank_buckets: int = 32) -> DataFrame:
-    """Adds sequence_id and offset to the pieces (columns of PIECE)."""
+def pack(cut: DataFrame, max_tokens: int = MAX_TOKENS, least_buckets: int = 32, bucket_rows: int = 200_000) -> DataFrame:
+    """Adds sequence_id and offset to the pieces (columns of PIECE).
+
+    A length has least_buckets buckets, and more where it has over least_buckets * bucket_rows pieces. The driver sees
+    a row per (length, bucket): max_tokens * least_buckets at most, and one per bucket_rows pieces of frequent lengths.
+    """
     spark = cut.sparkSession
-    cut = written(cut, "pieces").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(rank_buckets)).cast("int"))
-    # max_tokens * rank_buckets rows at most, whatever the input
+    cut = written(cut, "pieces")
+    often = cut.groupBy("length").count().filter(F.col("count") > least_buckets * bucket_rows).collect()  # max_tokens rows at most
+    buckets = F.lit(least_buckets)
+    if often:
+        more = F.create_map(*(F.lit(x) for r in often for x in (r["length"], -(-r["count"] // bucket_rows))))
+        buckets = F.coalesce(F.try_element_at(more, F.col("length")).cast("int"), buckets)
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets).cast("int"))
     counts = cut.groupBy("length", "bucket").count().collect()
     totals: dict[int, int] = {}
     before: dict[tuple[int, int], int] = {}

@@ -147,6 +147,17 @@ def test_packing(spark):
     assert len(bins) == -(-sum(r.length for r in rows) // 4096)
 
 
+def test_packing_with_a_frequent_length(spark):
+    texts = ["same words here"] * 300 + [prose(n, n) for n in range(1, 60)]
+    rows = packing.pack(packing.pieces(frame(spark, texts)), least_buckets=2, bucket_rows=20).collect()
+    assert len(rows) == len(texts) == len({(r.sequence_id, r.offset) for r in rows})
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for content in bins.values():
+        assert all(o == sum(n for p, n in content if p < o) for o, _ in content) and sum(n for _, n in content) <= 4096
+
+
 def test_packing_plan_uses_every_piece():
     for seed in range(20):
         rng = random.Random(seed)
