@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from storyline.functions import commands, lexicon, text
+from storyline.functions import commands, features, lexicon, text
 from storyline.operators import events, funnel, graph, learning, metrics, rollup, series, similarity
 from storyline.settings import FunnelSettings, LearningSettings, TrendSettings
 from storyline.sources import feeds, sinks
@@ -236,3 +236,18 @@ def test_import_and_sinks(spark):
     batch = spark.createDataFrame([("h1", 1), ("h1", 2), ("h2", 3)], "url_hash string, id int")
     new = sinks.new_rows(batch, spark.createDataFrame([("h2",)], "url_hash string"), ["url_hash"], ["id"])
     assert [(r.url_hash, r.id) for r in new.collect()] == [("h1", 1)]
+
+
+def test_features(spark):
+    found = one(spark, features.entities, "The bank of Northland met John Smith and UN, then John Smith left")
+    assert [(e.text, e.n) for e in found] == [("John Smith", 2), ("Northland", 1), ("UN", 1)] and one(spark, features.entities, None) == []
+    body = "Officials opened the bridge over the river in 2024. It may rain over the whole region for days to come. Short one."
+    assert one(spark, lambda c: features.facts(c, r"(?i)\bmay\b"), body) == ["Officials opened the bridge over the river in 2024."]
+    assert one(spark, features.number_key, "1234567.0") == "1.23e+06"
+    assert [one(spark, features.number_specificity, k) for k in ("1.00e+03", "1.20e+03", "1.23e+03")] == [0.5, 0.75, 1.0]
+    maps = spark.sql("SELECT map('a', 1.0D, 'b', 2.0D) AS a, map('b', 1.0D, 'c', 1.0D) AS b")
+    assert maps.select(features.weighted_overlap(F.col("a"), F.col("b"))).first()[0] == pytest.approx(1 / 4)
+    edit = spark.createDataFrame([("one two three four five six! #tag", "one two three")], "a string, b string")
+    assert edit.select(features.edit_signals(F.col("a"), F.col("b"))).first()[0] == ["shorter", "fewer_hashtags", "fewer_exclaims"]
+    assert one(spark, lambda c: features.tolerant_json(c, "a int"), "```json\n{\"a\": 3}\n``` done").a == 3
+    assert one(spark, features.allowed_html, '<p><b class="x">t</b> <a href="https://a.b" onclick="y">l</a> <a href="javascript:z">m</a></p>') == '<b>t</b> <a href="https://a.b">l</a> <a>m</a>'
