@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "unique")
     linked = connected_components(link_fingerprints(unique, max_bits))
     classes = unique.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
-    ids = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = written(classes.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
     classes = classes.join(ids, "component").select("fp", F.col("component").alias("class"), "component_id")
     return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "class", "component_id")
 
@@ -219,6 +219,7 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE)
     of equal rows one. The rows to drop are the smaller side of the join."""
     found = near_duplicates(docs, max_bits, shingle)
     best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
+    best = written(best, "best")  # else the join would keep the aggregate's partitions, which Spark can't split
     others = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash")))
     drop = found.join(best, "class").filter(others).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     text_hash = F.xxhash64("text")
