@@ -216,8 +216,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """One row of each class, all columns: that with the smallest doc_id (null ones last), then the smallest text hash;
-    of equal rows one. The rows to drop are the smaller side of the join."""
-    found = near_duplicates(docs, max_bits, shingle)
+    of equal rows one."""
+    return keep_of_classes(docs, near_duplicates(docs, max_bits, shingle))
+
+
+def keep_of_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """keep_one for given classes (doc_id, text_hash, class). The rows to drop are the smaller side of the join."""
     best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
     best = written(best, "best")  # else the join would keep the aggregate's partitions, which Spark can't split
     others = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash")))

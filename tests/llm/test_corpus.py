@@ -265,3 +265,38 @@ def test_pipeline(spark, tmp_path):
     assert ids["near_duplicates"] - ids["decontamination"] == {701}
     text = spark.read.parquet(f"{tmp_path}/personal_data").filter("doc_id = 702").first().text
     assert text.startswith("mail <EMAIL> ") and ids["packing"] == ids["personal_data"] == ids["decontamination"]
+
+
+def test_near_copies_by_jaccard(spark):
+    """Against all pairs: every link at 0.8 or more, none below, also where many texts share keys."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [None, "", "one two", "One  TWO", "a b c d e"]
+    line = " ".join(words[:14])
+    for size in (6, 12, 40, 90, 300):
+        base = [draw.choice(words) for _ in range(size)]
+        for edits in [0, 1, 1, 2, 3, 4, 6, 10] * (6 if size == 90 else 1):
+            copy = list(base)
+            for _ in range(edits):
+                copy[draw.randrange(size)] = draw.choice(words)
+            texts.append(" ".join(copy))
+    texts += [line + " " + " ".join(draw.choice(words) for _ in range(draw.randrange(2, 60))) for _ in range(60)]
+    split = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    expected = {root(i) for i in range(len(texts))}
+    docs = frame(spark, texts)
+    ids = [r.doc_id for r in docs.collect()]
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {ids[i] for i in expected}
+    assert len(expected) < len(texts) - 20
