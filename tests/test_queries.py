@@ -37,3 +37,10 @@ def test_top_k_is_limited_before_the_shuffle(spark):
 def test_running_twice_gives_the_same(spark):
     rows = [sorted(map(tuple, registry.QUERIES["posterior_affinity"](spark, SF).collect())) for _ in range(2)]
     assert rows[0] == rows[1]
+
+
+def test_near_titles_reads_the_whole_text(spark, tmp_path):
+    whole = "Der Hund und die Katze sind nicht in dem Haus. " + "The market and the government have said that this is the last of the reports. " * 4 + "Zeppelin"
+    spark.createDataFrame([(1, whole)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = registry.QUERIES["near_titles"](spark, str(tmp_path)).first()
+    assert row.lang == "en" and row.stems[-1].startswith("zeppel") and len(row.skeletons) > 60
