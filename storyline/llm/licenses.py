@@ -84,7 +84,7 @@ WORD = "licen[cs]e"
 TEMPLATES = (
     ("spdx", ("spdx",), f"spdx {WORD} identifier {{id}}(?: only| or later)?", 1.0),
     ("address", (), "(?:https? )?(?:www )?{url}(?: \\d+(?: \\d+)*)?", 0.9),
-    ("grant", ("d under", "available under"), f"(?:re)?(?:licen[cs]ed|released|distributed|published|available|provided|covered|offered)(?: to you)? under(?: the)?(?: terms (?:of|and conditions of))?(?: the| a)? {{name}}(?: {WORD})?(?: agreement)?{VERSION}", 0.95),
+    ("grant", ("d under", "available under", "to you under"), f"(?:re)?(?:licen[cs]ed|released|distributed|published|available|provided|covered|offered)(?: to you)? under(?: the)?(?: terms (?:of|and conditions of))?(?: the| a)? {{name}}(?: {WORD})?(?: agreement)?{VERSION}", 0.95),
     ("terms", ("terms of", "terms and"), f"(?:subject to|governed by|under)(?: the)? terms (?:of|and conditions of)(?: the| a)? {{name}}(?: {WORD})?{VERSION}", 0.85),
     ("dedication", ("dedicated to",), "dedicated to(?: the)? {name}", 0.85),
     ("file", ("licen",), f"see (?:the )?(?:file )?(?:{WORD}|copying {WORD})(?: file| txt| md)? for (?:the )?{{name}}(?: {WORD})?{VERSION}", 0.8),

@@ -165,3 +165,43 @@ def test_best_cut():
 def test_empty_table(spark, tmp_path, query):
     frame(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert query(spark, str(tmp_path)).count() == 0
+
+
+def test_license_keywords_follow_from_the_expressions():
+    """Random texts that a rule's expression matches hold one of its keywords."""
+    import random
+    from re import _constants as c
+    from re import _parser
+
+    draw = random.Random(3)
+
+    def text_of(tree):
+        out = ""
+        for op, arg in tree:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.IN:
+                kind, first = arg[0]
+                out += chr(first) if kind is c.LITERAL else "7" if first is c.CATEGORY_DIGIT else "x"
+            elif op is c.BRANCH:
+                out += text_of(draw.choice(arg[1]))
+            elif op is c.SUBPATTERN:
+                out += text_of(arg[-1])
+            elif op is c.MAX_REPEAT:
+                out += "".join(text_of(arg[2]) for _ in range(draw.randint(arg[0], min(arg[1], arg[0] + 1))))
+            else:
+                assert op is c.ASSERT_NOT, op
+        return out
+
+    for rule in licenses.rules():
+        tree = _parser.parse(rule["pattern"])
+        for _ in range(40):
+            text = text_of(tree)
+            assert re.search(rule["pattern"], text)
+            assert any(k in text for k in rule["keywords"]), (text, rule["keywords"])
+
+
+def test_license_granted_to_you(spark, tmp_path):
+    frame(spark, ["This work is licensed to you under GPL v3 today", "Provided to you under MPL 2.0"]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = by_id(licenses.query(spark, str(tmp_path)))
+    assert [found[i].labels for i in (0, 1)] == ["gpl", "mpl"] and found[0].score > 0
