@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are the entities that fixed expressions find (e-mail, address, card, phone). Candidates are all other tokens
-with a digit. Every seed and candidate is an instance that occurs in lexical patterns: the word before it, the word
+with a digit, runs of digit groups joined by spaces, dots, brackets and hyphens, and written-out mail addresses. Every seed and candidate is an instance that occurs in lexical patterns: the word before it, the word
 behind it, both, or the word before it with its shape. On the graph of patterns and instances Spark iterates: a pattern
 scores by the mean of its instances' scores, drawn to zero by SMOOTHING, or zero with fewer than MIN_INSTANCES; an
-instance that is no seed by the mean of its patterns. Instances over the threshold are discovered identifiers if they
-have about as many digits and signs as seeds of the kind that their best pattern's seeds mostly have.
+instance that is no seed by the mean of its patterns that have MIN_INSTANCES. Instances over the threshold are discovered identifiers if they
+have about as many digits and signs as seeds of the kind that their best pattern's seeds mostly have; of those within
+a longer one only that stays.
 
 Edges are counted before they are joined: an entity that was copied into a third of all texts is one edge of each of
 its patterns, and a pattern with many instances is joined on the side that Spark can split. DataFrame functions only.
@@ -36,6 +37,17 @@ PATTERNS = {
 }
 TOKEN = r"(?<![^\s,;:!?()\"'<>])[^\s,;:!?()\"'<>0-9]*+[0-9][^\s,;:!?()\"'<>]*+"
 
+#: Digit groups with up to three joining signs between; more than 21 groups have more digits than any kind.
+RUN = r"(?<![^\s,;:!?\"'<>])[(\[]?[0-9]++(?:[\x20.()\[\]/-]{1,3}+[0-9]++){1,20}(?![^\s,;:!?()\"'<>.\]])"
+#: Addresses that the expression of e-mails doesn't match: no dotted host, or at and dot in words or brackets.
+ADDRESS = (
+    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++"
+    r"(?:(?:@|\x20?[(\[{<]\x20?(?:at|@)\x20?[)\]}>]\x20?)[A-Za-z0-9-]++|\x20at\x20[A-Za-z0-9-]++(?=\.[A-Za-z0-9]|\x20?[(\[{<]\x20?dot|\x20dot\x20))"
+    r"(?:(?:\.|\x20?[(\[{<]\x20?(?:dot|\.)\x20?[)\]}>]\x20?|\x20dot\x20)[A-Za-z0-9-]++)*+"
+)
+AT = r"(?i)\x20?[(\[{<]\x20?(?:at|@)\x20?[)\]}>]\x20?|\x20at\x20"
+DOT = r"(?i)\x20?[(\[{<]\x20?(?:dot|\.)\x20?[)\]}>]\x20?|\x20dot\x20"
+
 ROUNDS, MIN_INSTANCES, SMOOTHING, THRESHOLD = 3, 5, 1.0, 0.6
 
 PLACED = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
@@ -91,12 +103,22 @@ def base_places(text: Column) -> dict[str, Column]:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, one array of places per kind, and candidates (tokens with a digit outside the base spans)."""
+    """digest, doc_id, one array of places per kind, and candidates (tokens with a digit, runs of digit groups and
+    written-out addresses outside the base spans)."""
     text = F.coalesce("text", F.lit(""))
-    digit = F.rlike("t", F.lit("[0-9]"))
+    empty = F.array().cast(PLACED)
     rows = docs.select(F.md5(text.cast("binary")).alias("digest"), "doc_id", text.alias("t"))
     rows = rows.select("digest", "doc_id", "t", *(c.alias(k) for k, c in base_places(F.col("t")).items()))
-    rows = rows.withColumn("tokens", F.when(digit, places(F.col("t"), TOKEN)).otherwise(F.array().cast(PLACED))).drop("t")
+    rows = rows.withColumn("tokens", F.when(F.rlike("t", F.lit("[0-9]")), places(F.col("t"), TOKEN)).otherwise(empty))
+    rows = rows.withColumn("runs", F.when(F.rlike("t", F.lit(r"[0-9][\x20.()\[\]/-]{1,3}[0-9]")), places(F.col("t"), RUN)).otherwise(empty))
+    at = F.contains("t", F.lit("@")) | F.rlike("t", F.lit(r"(?i)[\x20(\[{<]at[\x20)\]}>]"))
+    rows = rows.withColumn("addresses", F.when(at, places(F.col("t"), ADDRESS)).otherwise(empty)).drop("t")
+
+    def new(c: str, *others: str) -> Column:
+        return F.filter(c, lambda x: ~F.exists(F.concat(*others), lambda o: (o.start == x.start) & (o.end == x.end)))
+
+    wider = F.concat("tokens", new("runs", "tokens"), new("addresses", "tokens", "runs"))
+    rows = rows.withColumn("tokens", wider).drop("runs", "addresses")
     spans = F.concat(*KINDS)
     free = F.filter("tokens", lambda t: ~F.exists(spans, lambda s: (s.start < t.end) & (t.start < s.end)))
     return rows.withColumn("tokens", F.when(F.size(spans) > 0, free).otherwise(F.col("tokens")))
@@ -127,11 +149,11 @@ def occurrences(base: DataFrame) -> DataFrame:
 
 
 def score_values(edges: DataFrame, patterns: DataFrame) -> DataFrame:
-    """value, value_score and best_kind of the instances that are no seeds."""
+    """value, value_score and best_kind of the instances that are no seeds and have a pattern of enough instances."""
     sure = patterns.filter(F.col("n") >= MIN_INSTANCES).select("pattern", F.col("score").alias("pattern_score"), F.col("kind").alias("pattern_kind"))
-    joined = edges.filter("kind IS NULL").join(sure, "pattern", "left")
-    best = F.struct(F.coalesce("pattern_score", F.lit(0.0)).alias("s"), F.col("pattern_kind"))
-    return joined.groupBy("value").agg(F.avg(F.coalesce("pattern_score", F.lit(0.0))).alias("value_score"), F.max_by("pattern_kind", best).alias("best_kind"))
+    joined = edges.filter("kind IS NULL").join(sure, "pattern")
+    best = F.struct("pattern_score", "pattern_kind")
+    return joined.groupBy("value").agg(F.avg("pattern_score").alias("value_score"), F.max_by("pattern_kind", best).alias("best_kind"))
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -154,14 +176,17 @@ def discover(base: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = seen.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
     edges = written(edges, "pii-edges")
     patterns = score_patterns(edges, rounds)
-    digits, signs = F.length(F.regexp_replace("value", "[^0-9]", "")), F.length("value")
+    plain = F.regexp_replace(F.regexp_replace("value", AT, "@"), DOT, ".")  # written-out signs count as one
+    digits, signs = F.length(F.regexp_replace("value", "[^0-9]", "")), F.length(plain)
     limits = edges.filter("kind IS NOT NULL").groupBy("kind").agg(F.min(digits).alias("d0"), F.max(digits).alias("d1"), F.min(signs).alias("s0"), F.max(signs).alias("s1"))
     new = score_values(edges, patterns).filter((F.col("value_score") >= THRESHOLD) & F.col("best_kind").isNotNull())
     like = digits.between(F.col("d0") - 2, F.col("d1") + 2) & signs.between(F.col("s0") / 2, F.col("s1") + 4)
     alike = (F.col("best_kind") == F.col("kind")) & like
     new = new.join(F.broadcast(limits), alike).select("value", "best_kind")  # a row for each kind
     hits = seen.filter("kind IS NULL").join(new, "value")
-    return hits.groupBy("digest").agg(F.collect_set(F.struct(F.col("best_kind").alias("kind"), "start", "end")).alias("found"))
+    found = hits.groupBy("digest").agg(F.collect_set(F.struct(F.col("best_kind").alias("kind"), "start", "end")).alias("all"))
+    longer = lambda x: F.exists("all", lambda o: (o.start <= x.start) & (x.end <= o.end) & (o.end - o.start > x.end - x.start))
+    return found.select("digest", F.filter("all", lambda x: ~longer(x)).alias("found"))
 
 
 def span_of(kind: str):

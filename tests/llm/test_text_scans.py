@@ -205,3 +205,17 @@ def test_license_granted_to_you(spark, tmp_path):
     frame(spark, ["This work is licensed to you under GPL v3 today", "Provided to you under MPL 2.0"]).write.parquet(f"{tmp_path}/documents.parquet")
     found = by_id(licenses.query(spark, str(tmp_path)))
     assert [found[i].labels for i in (0, 1)] == ["gpl", "mpl"] and found[0].score > 0
+
+
+def test_private_discovery_of_groups_and_written_addresses(spark):
+    """Unseen shapes behind a sure word, the next word an ordinary one that no seed has."""
+    ends = "now today soon later again maybe".split()
+    seeds = [f"please call +1 (743) 555-{1000 + i} {ends[i % 6]}" for i in range(30)]
+    seeds += [f"please write {n}@example.org {ends[i % 6]}" for i, n in enumerate("anna bert cleo dora emil fred gina hugo ines jana karl lena".split())]
+    new = ["(017) 555-7713", "030 123 45 67", "0.743.555.1000"]
+    new = [f"please call {x} because" for x in new] + [f"please write {x} because" for x in ("otto (at) example.org", "paula at example dot org", "rosa@intranet")]
+    plain = ["we saw 030 123 45 68 there", "they met at noon. Then 12 of 300 left", "9 " * 5000 + "x", "("]
+    texts = [*seeds, *new, *plain]
+    out = by_id(pii.masked(frame(spark, texts).drop("spans")))
+    assert [out[len(seeds) + i].text for i in range(6)] == ["please call <PHONE> because"] * 3 + ["please write <EMAIL> because"] * 3
+    assert [out[len(seeds) + 6 + i].text for i in range(4)] == plain
