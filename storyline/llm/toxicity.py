@@ -2,24 +2,27 @@
 
 Fit, on a bounded sample (at most `max_examples` labelled rows a class, the first by a hash of doc_id; votes are
 weighted back to the classes' true sizes):
-  * features are lower-cased words and the first four and five letters of longer words (inflected and compounded words
-    share them). At most `max_features` that mark label 1 significantly are candidates; of those a greedy cover keeps
-    what examples of label 1 still need until each has COVER of them, so that the other words of a text that was
-    copied many times are not taken for marks;
-  * examples are TF-IDF vectors of length one over these features, in blocks of 64 with the largest weight that each
-    feature has in each block;
+  * features are all lower-cased words of the examples and the first four letters of longer words (inflected
+    and compounded words share them); none is left out;
+  * a feature weighs (1 + ln tf) * idf * relevance. Relevance is FLOOR for every feature and grows with the z of its
+    share among examples of label 1 against label 0, so that a few marks in a long text are not drowned by the words
+    that all texts share (plain TF-IDF, `relevance=False`, is there for comparison);
+  * examples are such vectors of length one in an inverted index: postings by feature, cut into blocks of 64 examples,
+    with the largest weight of each feature in each block;
   * votes are calibrated by a logistic curve fitted to leave-one-out votes of the examples.
 
-Score, one map over whole texts without a shuffle: upper bounds of all blocks come from the block maxima; blocks are
-opened in the order of their bounds until no bound reaches the k-th best cosine, so that the k nearest are exact.
-Votes weigh by 1 / (1.1 - cosine). A text without any feature gets the share of label 1 among such examples.
+Score, one map over whole texts without a shuffle: upper bounds of all blocks come from the block maxima; postings are
+read in the order of the blocks' bounds until no bound reaches the k-th best cosine, so that the k nearest are exact.
+Votes weigh by 1 / (1.1 - cosine). Words that no example has count in the text's length. Only a text without any known
+feature (an empty one, say) has no nearest examples; it gets the share of label 1 among examples of that sort.
 
 Only labelled rows whose crc32(doc_id as text) mod 3 is not 1 are learned from; doc_id, lang, source and labels are no
-inputs of a score. What is broadcast is bounded by max_examples * max_features.
+inputs of a score. What is collected and broadcast are the vectors of at most 2 * max_examples texts.
 
 Defined results: null and empty texts are texts without features; labels that are null or conflict (the larger counts)
 or name no document are no error; with no usable labelled row every score is 0.5; repeated rows are scored one by one;
-other columns are not read.
+equal labelled texts are one example, with the smallest doc_id; of equally near examples the one earlier in the index
+(by main feature, then doc_id) counts; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,28 +39,26 @@ from pyspark.sql import types as T
 from storyline.llm.common import filter_rows, map_rows, table, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+#: Examples in a block, texts in a batch, and the share of examples beyond which a feature is frequent.
+BLOCK, BATCH, FREQUENT = 64, 256, 8
 NEIGHBOURS = 15
+PREFIXES = (4,)
 THRESHOLD = 0.7
-MAX_EXAMPLES, MAX_FEATURES = 3000, 2048
-#: Kept features: at least so many examples of label 1, z of the difference of shares, ratio of shares.
-MIN_EXAMPLES, MIN_Z, MIN_RATIO = 3, 3.0, 8.0
-#: Marks that an example of label 1 may count for, and the share of these examples that a mark must still find.
-COVER, MIN_GAIN = 3, 0.004
+MAX_EXAMPLES = 1000
+#: Relevance of a feature that marks nothing, and the z that chance reaches among many features.
+FLOOR, CHANCE_Z = 0.01, 2.0
 
 SCORED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("score", T.DoubleType()),
-        T.StructField("features", T.ArrayType(T.StringType())),
         T.StructField("neighbours", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))),
     ]
 )
 
 
-def features_of(word: str) -> Iterator[str]:
-    yield word
-    for n in (4, 5):
+def prefixes_of(word: str) -> Iterator[str]:
+    for n in PREFIXES:
         if len(word) > n:
             yield "^" + word[:n]
 
@@ -67,80 +68,160 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def words_in(text: str | None) -> Counter:
+    return Counter(LETTERS.findall((text or "").lower()))
+
+
 class Vocabulary(dict):
-    """word -> numbers of its features; remembers words, up to a bound."""
+    """word -> numbers of its features, whole words first; remembers words, up to a bound."""
 
-    def __init__(self, features: list[str]):
-        self.number = {f: i for i, f in enumerate(features)}
+    def __init__(self, words: list[str], prefixes: list[str]):
+        self.n_words = len(words)
+        self.number = {f: i for i, f in enumerate((*words, *prefixes))}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.number[f] for f in features_of(word) if f in self.number)
+        found = tuple(self.number[f] for f in (word, *prefixes_of(word)) if f in self.number)
         if len(self) < 300_000:
             self[word] = found
         return found
 
-    def counts(self, text: str | None) -> Counter:
-        return Counter(i for found in map(self.__getitem__, LETTERS.findall((text or "").lower())) if found for i in found)
+    def counts(self, words: Counter) -> tuple[dict[int, int], list[int]]:
+        """Counts by feature, and counts of the words that no example has."""
+        known: dict[int, int] = {}
+        unknown = []
+        for word, n in words.items():
+            found = self[word]
+            for i in found:
+                known[i] = known.get(i, 0) + n
+            if not found or found[0] >= self.n_words:
+                unknown.append(n)
+        return known, unknown
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges [start, end) in a row, and the number of each range."""
+    sizes = ends - starts
+    of = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)
+    return np.arange(of.size, dtype=np.int32) + (starts - (np.cumsum(sizes) - sizes)).astype(np.int32)[of], of
 
 
 class BlockMaxIndex:
-    """Examples' unit vectors in blocks, with block maxima."""
+    """Postings of the examples' unit vectors by feature, in blocks of examples with block maxima.
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray):
-        main = vectors.argmax(axis=1) if vectors.size else ids
+    Features that over 1 / FREQUENT of the examples have (their postings fill every block) are columns of a matrix: one
+    product scores a batch of texts over them, and its maximum in a block is the block's bound for them.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, n_features: int):
+        main = np.array([numbers[values.argmax()] if numbers.size else 0 for numbers, values in vectors], dtype=np.int64)
         order = np.lexsort((ids, main))  # alike examples share a block: sharper maxima
-        self.vectors, self.ids, self.labels, self.weights = vectors[order], ids[order], labels[order], weights[order]
-        starts = np.arange(0, len(order), BLOCK)
-        self.maxima = np.maximum.reduceat(self.vectors, starts, axis=0) if len(order) else vectors
-
-    def nearest(self, numbers: np.ndarray, values: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples (equal cosines: the smaller place first)."""
-        bounds = self.maxima[:, numbers] @ values
-        places, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < least - 1e-12:
-                break
-            found = self.vectors[b * BLOCK : (b + 1) * BLOCK, numbers] @ values
-            new = np.flatnonzero(found > 0) + b * BLOCK
-            new = new[new != without]
-            places, cosines = np.concatenate((places, new)), np.concatenate((cosines, found[new - b * BLOCK]))
-            if places.size > k:
-                best = np.lexsort((places, -cosines.round(12)))[:k]
-                places, cosines = places[best], cosines[best]
-            least = cosines.min() if places.size == k else 0.0
-        best = np.lexsort((places, -cosines.round(12)))
-        return places[best], cosines[best]
+        self.ids, self.labels, self.weights = ids[order], labels[order], weights[order]
+        self.vectors = [vectors[i] for i in order]
+        self.n_blocks = -(-len(order) // BLOCK)
+        self.block_of = np.arange(len(order)) // BLOCK
+        none = [np.zeros(0, np.int64)]
+        features = np.concatenate(none + [v[0] for v in self.vectors])
+        places = np.concatenate(none + [np.full(v[0].size, i) for i, v in enumerate(self.vectors)])
+        values = np.concatenate([np.zeros(0)] + [v[1] for v in self.vectors])
+        frequent = np.flatnonzero(np.bincount(features, minlength=n_features) * FREQUENT > len(order))
+        self.column = np.full(n_features, -1)
+        self.column[frequent] = np.arange(frequent.size)
+        column = self.column[features]
+        self.matrix = np.zeros((frequent.size, len(order)))
+        self.matrix[column[column >= 0], places[column >= 0]] = values[column >= 0]
+        features, places, values = features[column < 0], places[column < 0], values[column < 0]
+        by = np.lexsort((places, features))
+        features, self.places, self.values = features[by], places[by], values[by]
+        group = features * max(1, self.n_blocks) + self.places // BLOCK
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if group.size else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], group.size) if group.size else starts
+        self.of_feature = np.searchsorted(features[starts], np.arange(n_features + 1))
+        self.maxima = np.maximum.reduceat(self.values, starts) if group.size else np.zeros(0)
+        self.blocks = self.block_of[self.places[starts]].astype(np.int32)
+        self.places, self.starts, self.ends = (x.astype(np.int32) for x in (self.places, starts, ends))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_one_out: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per query places and cosines of the k nearest examples (equal cosines: the smaller place first).
+        leave_one_out: the queries are the examples in their order, and none finds itself."""
+        for at in range(0, len(queries), BATCH):
+            batch = queries[at : at + BATCH]
+            dense = np.zeros((len(batch), self.matrix.shape[0]))
+            for row, (numbers, values) in enumerate(batch):
+                column = self.column[numbers]
+                dense[row, column[column >= 0]] = values[column >= 0]
+            scores = dense @ self.matrix
+            bounds = np.maximum.reduceat(scores, np.arange(0, self.ids.size, BLOCK), axis=1) if self.ids.size else scores
+            for row, (numbers, values) in enumerate(batch):
+                rare = self.column[numbers] < 0
+                yield self.best(numbers[rare], values[rare], scores[row], bounds[row], k, at + row if leave_one_out else -1)
+
+    def best(self, numbers: np.ndarray, values: np.ndarray, cosines: np.ndarray, bounds: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest from the cosines and bounds over frequent features and the rare features of a query."""
+        entries, of = spread(self.of_feature[numbers], self.of_feature[numbers + 1])
+        weight, blocks = values[of], self.blocks[entries]
+        bounds = bounds + np.bincount(blocks, self.maxima[entries] * weight, self.n_blocks)
+        order = np.argsort(-bounds, kind="stable")
+        opened = np.zeros(self.n_blocks, bool)
+        at, size, least, best = 0, 4, 0.0, np.zeros(0, np.int64)
+        while at < order.size and bounds[order[at]] >= least - 1e-12 and bounds[order[at]] > 0:
+            chosen = np.zeros(self.n_blocks, bool)
+            chosen[order[at : at + size]] = True
+            chosen &= (bounds >= least - 1e-12) & (bounds > 0)
+            opened |= chosen
+            at, size = at + size, self.n_blocks
+            here = chosen[blocks]
+            postings, entry = spread(self.starts[entries[here]], self.ends[entries[here]])
+            cosines = cosines + np.bincount(self.places[postings], self.values[postings] * weight[here][entry], self.ids.size)
+            found = np.flatnonzero(opened[self.block_of] & (cosines > max(least - 1e-12, 0.0)))
+            found = found[found != without]
+            best = found[np.lexsort((found, -cosines[found].round(12)))[:k]]
+            least = cosines[best[-1]] if best.size == k else 0.0
+        return best, cosines[best]
 
 
 class Model:
-    def __init__(self, features: list[str], examples: list[tuple[int, int, dict[int, int]]], weight: dict[int, float], k: int = NEIGHBOURS):
-        self.k, self.features = k, features
-        n = max(1, len(examples))
-        seen = np.zeros(len(features))
-        for _, _, counts in examples:
-            seen[list(counts)] += 1
-        self.idf = np.log((1 + n) / (1 + seen)) + 1
-        vectors = np.zeros((len(examples), len(features)))
-        for row, (_, _, counts) in enumerate(examples):
-            numbers, values = self.vector(counts)
-            vectors[row, numbers] = values
-        ids = np.array([e[0] for e in examples], dtype=np.int64)
+    """The fitted index. examples: doc_id, toxic, words (a Counter) of each; weight: what an example of a class counts."""
+
+    def __init__(self, examples: list[tuple[int, int, Counter]], weight: dict[int, float], k: int = NEIGHBOURS, relevance: bool = True):
+        self.k, self.n = k, len(examples)
+        words = sorted({w for _, _, c in examples for w in c})
+        self.words, self.prefixes = words, sorted({p for w in words for p in prefixes_of(w)})
+        vocabulary = Vocabulary(self.words, self.prefixes)
+        n_features = len(vocabulary.number)
+        counted = [vocabulary.counts(c) for _, _, c in examples]
         labels = np.array([e[1] for e in examples], dtype=np.int64)
-        weights = np.array([weight[e[1]] for e in examples])
-        some = vectors.any(axis=1)
-        self.prior = float(weights @ labels / weights.sum()) if len(examples) else 0.5
+        seen = np.zeros((2, n_features))
+        for (known, _), label in zip(counted, labels):
+            seen[label, list(known)] += 1
+        self.idf = np.log((1 + self.n) / (1 + seen.sum(axis=0))) + 1
+        self.scale = self.idf * (self.relevance(seen, labels) if relevance and n_features else 1.0)
+        self.unknown = (np.log(1 + self.n) + 1) * (FLOOR if relevance else 1.0)
+        vectors = [self.vector(*c) for c in counted]
+        ids, weights = np.array([e[0] for e in examples], dtype=np.int64), np.array([weight[e[1]] for e in examples])
+        some = np.array([bool(c[0]) for c in counted], dtype=bool)
+        self.prior = float(weights @ labels / weights.sum()) if self.n else 0.5
         plain = weights[~some]
         # one example's worth of the overall share keeps the estimate defined
-        self.without = float((plain @ labels[~some] + self.prior * weights.mean()) / (plain.sum() + weights.mean())) if len(examples) else 0.5
-        self.index = BlockMaxIndex(vectors[some], ids[some], labels[some], weights[some])
+        self.without = float((plain @ labels[~some] + self.prior * weights.mean()) / (plain.sum() + weights.mean())) if self.n else 0.5
+        self.index = BlockMaxIndex([v for v, s in zip(vectors, some) if s], ids[some], labels[some], weights[some], n_features)
         self.slope, self.shift = 1.0, 0.0
         if some.any():
             self.calibrate()
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        numbers = np.array(sorted(counts), dtype=np.int64)
-        values = (1 + np.log([counts[i] for i in numbers.tolist()])) * self.idf[numbers] if numbers.size else np.zeros(0)
-        return numbers, values / (np.linalg.norm(values) or 1)
+    @staticmethod
+    def relevance(seen: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """FLOOR for all; up to 1 more for the feature that marks label 1 the most significantly."""
+        n0, n1 = (labels == 0).sum(), (labels == 1).sum()
+        pooled = np.clip(seen.sum(axis=0) / (n0 + n1), 1e-9, 1 - 1e-9)
+        z = (seen[1] / n1 - seen[0] / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+        over = np.maximum(z - CHANCE_Z, 0.0)
+        return FLOOR + over / max(over.max(), 1.0)
+
+    def vector(self, known: dict[int, int], unknown: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        numbers = np.fromiter(known, np.int64, len(known))
+        values = (1 + np.log(np.fromiter(known.values(), np.float64, len(known)))) * self.scale[numbers]
+        other = self.unknown * (1 + np.log(np.array(unknown, dtype=np.float64)))
+        return numbers, values / (np.sqrt(values @ values + other @ other) or 1.0)
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Log odds of the distance-weighted votes, drawn to the share of label 1 by one vote at cosine zero."""
@@ -151,11 +232,8 @@ class Model:
 
     def calibrate(self) -> None:
         """Logistic curve over leave-one-out votes, by Newton steps on smoothed targets."""
-        x = []
-        for row, vector in enumerate(self.index.vectors):
-            numbers = np.flatnonzero(vector)
-            x.append(self.vote(*self.index.nearest(numbers, vector[numbers], self.k, row)))
-        x, y, w = np.array(x), self.index.labels, self.index.weights
+        x = np.array([self.vote(*found) for found in self.index.nearest(self.index.vectors, self.k, leave_one_out=True)])
+        y, w = self.index.labels, self.index.weights
         ones, zeros = (y == 1).sum(), (y == 0).sum()
         target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
         design, theta = np.stack((x, np.ones_like(x)), axis=1), np.array([1.0, 0.0])
@@ -168,35 +246,18 @@ class Model:
             if np.abs(step).max() < 1e-9:
                 break
         self.slope, self.shift = max(float(theta[0]), 1e-3), float(theta[1])
+        self.index.vectors = []  # served the calibration only
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[dict]]:
-        if not counts or not len(self.index.ids):
-            return self.without, []
-        places, cosines = self.index.nearest(*self.vector(counts), self.k)
-        if not places.size:
-            return self.without, []
-        raw = self.slope * self.vote(places, cosines) + self.shift
-        ids, labels = self.index.ids[places].tolist(), self.index.labels[places].tolist()
-        return 1 / (1 + float(np.exp(-raw))), [{"doc_id": i, "cosine": c, "toxic": t} for i, c, t in zip(ids, cosines.tolist(), labels)]
-
-
-def cover(rows: list[tuple[int, int, dict[int, int]]], n_features: int) -> list[int]:
-    """Numbers of the marks that a greedy cover of the examples of label 1 keeps, in the order found."""
-    has = np.zeros((len(rows), n_features), dtype=bool)
-    for row, (_, _, counts) in enumerate(rows):
-        has[row, list(counts)] = True
-    toxic = np.array([r[1] == 1 for r in rows], dtype=bool)
-    against, has = has[~toxic].sum(axis=0), has[toxic]
-    need = np.full(len(has), COVER)
-    kept: list[int] = []
-    while True:
-        gain = has[need > 0].sum(axis=0) - MIN_RATIO * against
-        gain[kept] = 0
-        best = int(gain.argmax()) if n_features else 0
-        if not n_features or gain[best] < max(MIN_EXAMPLES, MIN_GAIN * len(has)):
-            return kept
-        kept.append(best)
-        need -= has[:, best]
+    def scores(self, texts: list[tuple[dict[int, int], list[int]]]) -> Iterator[tuple[float, list[dict]]]:
+        """Score and neighbours of each text, given by its counts."""
+        index = self.index
+        for places, cosines in index.nearest([self.vector(*t) for t in texts], self.k):
+            if not places.size:
+                yield self.without, []
+                continue
+            raw = self.slope * self.vote(places, cosines) + self.shift
+            ids, labels = index.ids[places].tolist(), index.labels[places].tolist()
+            yield 1 / (1 + float(np.exp(-raw))), [{"doc_id": i, "cosine": c, "toxic": t} for i, c, t in zip(ids, cosines.tolist(), labels)]
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[DataFrame, dict[int, int]]:
@@ -209,58 +270,33 @@ def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[DataF
         part = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
         chosen = part if chosen is None else chosen.unionByName(part)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * max_examples small rows
-    return found.dropDuplicates(["text", "toxic"]), sizes
+    return found.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")), sizes
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, relevance: bool = True) -> Model:
     examples, sizes = sample(docs, labels, max_examples)
-    examples = written(examples, "toxicity-sample")
-    here = {r.toxic: r["count"] for r in examples.groupBy("toxic").count().collect()}
-    if not here.get(0) or not here.get(1):
-        return Model([], [], {0: 1.0, 1: 1.0})
-
-    def distinct(cols: dict[str, list]) -> dict:
-        out: dict[str, list] = {"feature": [], "toxic": []}
-        for text, toxic in zip(cols["text"], cols["toxic"]):
-            found = {f for w in set(LETTERS.findall((text or "").lower())) for f in features_of(w)}
-            out["feature"] += found
-            out["toxic"] += [toxic] * len(found)
-        return out
-
-    by_class = T.StructType([T.StructField("feature", T.StringType()), T.StructField("toxic", T.IntegerType())])
-    counts = map_rows(examples, by_class, distinct).groupBy("feature").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
-    n1, n0 = here[1], here[0]
-    p1, p0 = F.col("n1") / n1, F.col("n0") / n0
-    pooled = (F.col("n1") + F.col("n0")) / (n1 + n0)
-    z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    kept = counts.filter((F.col("n1") >= MIN_EXAMPLES) & (pooled < 1)).withColumn("z", z)
-    kept = kept.filter((F.col("z") >= MIN_Z) & (p1 >= MIN_RATIO * (F.col("n0") + 0.5) / n0))
-    features = [r.feature for r in kept.orderBy(F.desc("z"), "feature").limit(max_features).collect()]
-    features.sort(key=lambda f: (-len(f), f))  # of equal marks the narrower one is kept
-
-    def vectors(cols: dict[str, list]) -> dict:
-        words = Vocabulary(features)
-        return {"doc_id": cols["doc_id"], "toxic": cols["toxic"], "counts": [list(words.counts(t).items()) for t in cols["text"]]}
-
-    counted = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("counts", T.MapType(T.IntegerType(), T.IntegerType()))])
-    rows = map_rows(examples, counted, vectors).collect()  # 2 * max_examples rows of at most max_features numbers
-    rows = sorted((r.doc_id, r.toxic, r.counts) for r in rows)
-    kept = cover(rows, len(features))
-    place = {f: i for i, f in enumerate(kept)}
-    rows = [(i, t, {place[f]: n for f, n in c.items() if f in place}) for i, t, c in rows]
-    return Model([features[f] for f in kept], rows, {c: sizes[c] / here[c] for c in (0, 1)})
+
+    def counted(cols: dict[str, list]) -> dict:
+        return {"doc_id": cols["doc_id"], "toxic": cols["toxic"], "words": [list(words_in(t).items()) for t in cols["text"]]}
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("words", T.MapType(T.StringType(), T.IntegerType()))])
+    found = map_rows(examples, schema, counted).collect()  # at most 2 * max_examples rows
+    rows = sorted(((r.doc_id, r.toxic, Counter(r.words)) for r in found), key=lambda r: (r[0], r[1]))
+    here = Counter(r[1] for r in rows)
+    if not here[0] or not here[1]:
+        return Model([], {0: 1.0, 1: 1.0})
+    return Model(rows, {c: sizes[c] / here[c] for c in (0, 1)}, relevance=relevance)
 
 
 def scorer(docs: DataFrame, model: Model):
-    """texts -> (counts by feature, (score, neighbours)) in the tasks; a worker keeps one vocabulary."""
+    """texts -> (score, neighbours) in the tasks; a worker keeps one vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def of(texts: list[str | None]) -> tuple[Model, list, list]:
+    def of(texts: list[str | None]) -> list[tuple[float, list[dict]]]:
         m = shared.value
-        if not hasattr(m, "words"):
-            m.words = Vocabulary(m.features)
-        counts = [m.words.counts(t) for t in texts]
-        return m, counts, [m.score(c) for c in counts]
+        if not hasattr(m, "vocabulary"):
+            m.vocabulary = Vocabulary(m.words, m.prefixes)
+        return list(m.scores([m.vocabulary.counts(words_in(t)) for t in texts]))
 
     return of
 
@@ -268,21 +304,16 @@ def scorer(docs: DataFrame, model: Model):
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that score under the threshold."""
     of = scorer(docs, model)
-    return filter_rows(docs, lambda texts: [s < threshold for s, _ in of(texts)[2]])
+    return filter_rows(docs, lambda texts: [s < threshold for s, _ in of(texts)])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, features (found ones) and neighbours (evidence) for every row."""
+    """doc_id, score and neighbours (evidence) for every row."""
     of = scorer(docs, model)
 
     def rows(cols: dict[str, list]) -> dict:
-        m, counts, scored = of(cols["text"])
-        return {
-            "doc_id": cols["doc_id"],
-            "score": [s for s, _ in scored],
-            "features": [sorted(m.features[i] for i in c) for c in counts],
-            "neighbours": [n for _, n in scored],
-        }
+        scored = of(cols["text"])
+        return {"doc_id": cols["doc_id"], "score": [s for s, _ in scored], "neighbours": [n for _, n in scored]}
 
     return map_rows(docs.select("doc_id", "text"), SCORED, rows)
 
@@ -290,4 +321,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.array_join("features", ",").alias("evidence"))
+    nearest = F.transform(F.slice("neighbours", 1, 3), lambda n: F.concat_ws(":", n.doc_id, n.toxic, F.round(n.cosine, 4)))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.array_join(nearest, ",").alias("evidence"))

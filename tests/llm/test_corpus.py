@@ -4,10 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import xxhash
 
 import corpus_pipeline
-from storyline.llm import decontaminate, packing, sharding, simhash, toxicity
+from storyline.llm import decontaminate, packing, registry, sharding, simhash, toxicity
 
 RNG = random.Random(7)
 VOCABULARY = ["".join(RNG.choices("abcdefghij", k=RNG.randint(2, 7))) for _ in range(300)]
@@ -232,19 +233,72 @@ def test_toxicity_without_labels(spark):
     assert [r.score for r in toxicity.score(docs, model).collect()] == [0.5, 0.5]
 
 
+def test_toxicity_equals_brute_force(spark, tmp_path):
+    """Neighbours and scores of every text against all cosines of dictionaries."""
+    texts = toxic_tables(spark, tmp_path) + ["ﬁné ñandú 17", "vile"]
+    docs, labels = frame(spark, texts), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    for relevance in (True, False):
+        model = toxicity.fit(docs, labels, relevance=relevance)
+        scale = dict(zip((*model.words, *model.prefixes), model.scale))
+
+        def vector(text, scale=scale, unknown=model.unknown):
+            tf, out = {}, {}
+            for w in toxicity.LETTERS.findall((text or "").lower()):
+                for f in (w, *toxicity.prefixes_of(w)):
+                    if f in scale or f == w:
+                        tf[f] = tf.get(f, 0) + 1
+            out = {f: (1 + np.log(n)) * scale.get(f, unknown) for f, n in tf.items()}
+            norm = sum(v * v for v in out.values()) ** 0.5
+            return {f: v / norm for f, v in out.items()}
+
+        toxic = {}
+        for r in labels.filter("doc_id < 600 AND toxic IS NOT NULL").collect():
+            if zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+                toxic[r.doc_id] = max(r.toxic, toxic.get(r.doc_id, 0))
+        examples = {i: vector(texts[i]) for i in toxic}
+        assert len({texts[i] for i in toxic}) == len(toxic)
+        here = [sum(t == c for t in toxic.values()) for c in (0, 1)]
+        sizes = [here[0], here[1] + (zlib.crc32(b"9999") % 3 != 1)]  # a label without a document
+        mean = sum(sizes) / sum(here)
+        for r in toxicity.score(docs, model).collect():
+            v = vector(texts[r.doc_id])
+            cosines = {i: sum(x * v.get(f, 0.0) for f, x in e.items()) for i, e in examples.items()}
+            expected = sorted((c for c in cosines.values() if c > 0), reverse=True)[:15]
+            assert np.allclose([n.cosine for n in r.neighbours], expected)
+            assert all(np.isclose(cosines[n.doc_id], n.cosine) and toxic[n.doc_id] == n.toxic for n in r.neighbours)
+            if expected:
+                votes = [(sizes[n.toxic] / here[n.toxic] / mean / (1.1 - n.cosine), n.toxic) for n in r.neighbours] + [(1 / 1.1, sizes[1] / sum(sizes))]
+                share = sum(w * t for w, t in votes) / sum(w for w, _ in votes)
+                assert np.isclose(r.score, 1 / (1 + np.exp(-model.slope * np.log(share / (1 - share)) - model.shift)))
+            else:
+                assert r.score == model.without
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(4)
-    vectors = rng.random((300, 12)) * (rng.random((300, 12)) < 0.3)
+    vectors = rng.random((300, 40)) * (rng.random((300, 40)) < np.linspace(0.02, 0.9, 40))  # rare to frequent features
     vectors[:, 0] += 0.01
     vectors /= np.linalg.norm(vectors, axis=1)[:, None]
-    index = toxicity.BlockMaxIndex(vectors, np.arange(300), np.zeros(300, int), np.ones(300))
-    for _ in range(50):
-        q = rng.random(12) * (rng.random(12) < 0.5)
-        if not q.any():
-            continue
-        numbers = np.flatnonzero(q)
-        _, cosines = index.nearest(numbers, q[numbers] / np.linalg.norm(q), 15)
-        assert np.allclose(cosines, np.sort(index.vectors @ (q / np.linalg.norm(q)))[::-1][:15])
+    sparse = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in vectors]
+    index = toxicity.BlockMaxIndex(sparse, np.arange(300), np.zeros(300, int), np.ones(300), 40)
+    assert 0 < index.matrix.shape[0] < 40
+    queries = rng.random((50, 40)) * (rng.random((50, 40)) < 0.3)
+    queries[0] = 0
+    asked = [(np.flatnonzero(q), q[np.flatnonzero(q)] / (np.linalg.norm(q) or 1)) for q in queries]
+    for q, (places, cosines) in zip(queries, index.nearest(asked, 15)):
+        all_ = np.sort(vectors @ (q / (np.linalg.norm(q) or 1)))[::-1]
+        assert np.allclose(cosines, all_[:15][all_[:15] > 0]) and np.allclose(vectors[index.ids[places]] @ q / (np.linalg.norm(q) or 1), cosines)
+    for row, (places, _) in enumerate(index.nearest(index.vectors, 5, leave_one_out=True)):
+        assert row not in places
+
+
+@pytest.mark.parametrize("name", ["op2_url_filter", "op3_toxicity", "op5_simhash_near_dedup", "op6_benchmark_decontamination", "op8_sharding", "op10_best_fit_packing", "pipeline"])
+def test_empty_tables(spark, tmp_path, name):
+    empty = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string"}
+    for table, schema in empty.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    query = corpus_pipeline.run if name == "pipeline" else registry.QUERIES[name]
+    assert query(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
