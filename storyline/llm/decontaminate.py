@@ -1,20 +1,27 @@
 """Benchmark decontamination with training suffix arrays.
 
-Every Arrow block of documents is a shard: its words become one integer sequence, the suffixes of that sequence are
-sorted, and every suffix of every test item is looked up by binary search. The suffix array is
-sparse: a position enters it only if its leading words are also the leading words of some test suffix, since no other
-position can be a match. That keeps the array exact for the lookups and small for clean text.
+Every Arrow block of documents is a shard: its words become one sequence of numbers, whose suffixes are sorted whole (by
+prefix doubling), and every suffix of every test item that is long enough for a window is searched in the array by
+binary search, one word after the other, for all test suffixes at once. Matches of neighbouring suffixes on one diagonal
+are united to the longest verbatim matches with their places in item and document.
+
+Words that no test item has are numbered 0 and end a suffix: no match can reach over them, so the array is exact for
+the searches, and positions of such words have no suffix in it. Shards are rebuilt from the documents where a task is
+lost; nothing is stored.
 
 The map has no shuffle. The test items go to the tasks in blocks of a checked size (`max_block_words`); with more than
-one block the per-document findings are united by one aggregation on the row key.
+one block the documents are read once for each, and the per-document findings are united by one aggregation on the row
+key.
 
 Defined results: a null or empty text has no words and is not contaminated; an item without words never matches;
-repeated documents give one row each; an empty table gives an empty result; columns other than doc_id and text are
-not read.
+repeated documents give one row each; of several occurrences all are hit; an empty table gives an empty result; columns
+other than doc_id and text are not read (`keep_clean` returns them as they are).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +31,9 @@ from storyline.llm.common import filter_rows, map_rows, table, words_of, written
 
 WINDOW = 13
 
+#: Words of test items that a task holds at once, about.
+MAX_BLOCK_WORDS = 1_000_000
+
 MATCH = T.ArrayType(
     T.StructType(
         [
@@ -44,91 +54,125 @@ SCHEMA = T.StructType(
 )
 
 
-def codes(words: np.ndarray) -> np.ndarray:
-    """Rows of word numbers as byte strings that sort like the rows."""
-    words = np.ascontiguousarray(words, dtype=">u4")
-    return words.view(f"S{4 * words.shape[1]}").ravel()
+def groups(rank: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values."""
+    return np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))) if rank.size else np.zeros(0, np.int64)
+
+
+def suffix_array(seq: np.ndarray) -> np.ndarray:
+    """Places of all nonzero numbers, sorted by the suffixes from there to the next zero (equal ones in any order).
+
+    seq ends with a zero. Prefix doubling: suffixes sorted by their first h numbers are sorted by 2 h with the ranks of
+    the suffixes h behind; only groups that are still tied and have a suffix of over h numbers are sorted again. Ranks
+    and numbers stay under the length of seq or the number of words, so that pairs of them never overflow.
+    """
+    zeros = np.flatnonzero(seq == 0)
+    places = np.flatnonzero(seq)
+    length = np.zeros(seq.size, np.int64)
+    length[places] = zeros[np.searchsorted(zeros, places)] - places
+    array = places[np.argsort(seq[places], kind="stable")]
+    rank = np.zeros(seq.size, np.int64)
+    starts, h = groups(seq[array]), 1
+    sizes = np.diff(np.append(starts, array.size))
+    rank[array] = np.repeat(starts + 1, sizes)
+    while array.size:
+        tied = (sizes > 1) & (np.maximum.reduceat(length[array], starts) > h)
+        slots = np.flatnonzero(np.repeat(tied, sizes))
+        if not slots.size:
+            break
+        at = array[slots]
+        behind = np.where(length[at] > h, rank[np.minimum(at + h, seq.size - 1)], 0)
+        own = rank[at]
+        order = np.lexsort((behind, own))
+        array[slots], own, behind = at[order], own[order], behind[order]
+        new = np.concatenate(([True], (own[1:] != own[:-1]) | (behind[1:] != behind[:-1])))
+        rank[array[slots]] = (slots + 1)[np.maximum.accumulate(np.where(new, np.arange(slots.size), 0))]
+        starts, h = groups(rank[array]), 2 * h
+        sizes = np.diff(np.append(starts, array.size))
+    return array
 
 
 class TestSuffixes:
-    """The test items of one block, ready for lookups: word numbers, items as integer arrays, leading-word keys."""
+    """The test items of one block as one sequence of word numbers, with the suffixes to search."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
-        self.window = window
+    def __init__(self, items: Iterable[tuple[int, list[bytes]]], window: int):
         self.words: dict[bytes, int] = {}
-        for _, words in items:
-            for w in words:
-                self.words.setdefault(w, len(self.words) + 1)
-        self.items = [(i, np.array([self.words[w] for w in words], dtype=np.int64)) for i, words in items if words]
-        self.lead = min([3, *(len(seq) for _, seq in self.items)])
-        # A lookup is a suffix of an item, with the number of words that it must share with the document.
-        self.lookups = [
-            (item, start, min(window, len(seq)))
-            for item, (_, seq) in enumerate(self.items)
-            for start in range(len(seq) - min(window, len(seq)) + 1)
-        ]
-        low = np.zeros((len(self.lookups), window), dtype=np.int64)
-        high = np.full((len(self.lookups), window), 0xFFFFFFFF, dtype=np.int64)
-        for row, (i, s, need) in enumerate(self.lookups):
-            low[row, :need] = high[row, :need] = self.items[i][1][s : s + need]
-        self.low, self.high = codes(low), codes(high)
-        self.leads = np.unique([self.key(self.items[i][1][s : s + self.lead]) for i, s, _ in self.lookups]) if self.items else np.zeros(0, np.int64)
-
-    def key(self, words: np.ndarray) -> int:
-        out = 0
-        for w in words:
-            out = out * (len(self.words) + 1) + int(w)
-        return out
-
-    def keys(self, seq: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(n, dtype=np.int64)
-        for k in range(self.lead):
-            out = out * (len(self.words) + 1) + seq[k : k + n]
-        return out
+        self.ids: list[int] = []
+        sequences, starts, needs, owners, at = [], [], [], [], 0
+        for item, words in items:
+            if not words:
+                continue
+            sequences.append(np.array([self.words.setdefault(w, len(self.words) + 1) for w in words] + [0], dtype=np.int64))
+            need = min(window, len(words))  # the words that a suffix must share with a document
+            starts.append(np.arange(at, at + len(words) - need + 1))
+            needs.append(np.full(starts[-1].size, need))
+            owners.append(np.full(starts[-1].size, len(self.ids)))
+            self.ids.append(item)
+            at += len(words) + 1
+        none = [np.zeros(0, np.int64)]
+        self.seq, self.starts, self.needs, self.owners = (np.concatenate(none + x) for x in (sequences, starts, needs, owners))
+        self.begins = np.cumsum([0] + [s.size for s in sequences])  # of the items in seq
+
+    def search(self, array: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per test suffix the range of the suffix array that shares its needed words."""
+        first = seq[array]
+        low = np.searchsorted(first, self.seq[self.starts], "left")
+        high = np.searchsorted(first, self.seq[self.starts], "right")
+
+        def bound(lo: np.ndarray, hi: np.ndarray, target: np.ndarray, k: int, right: bool) -> np.ndarray:
+            while (open_ := lo < hi).any():
+                middle = (lo + hi) >> 1
+                word = seq[array[np.minimum(middle, array.size - 1)] + k]
+                beyond = (word > target) if right else (word >= target)
+                lo, hi = np.where(open_ & ~beyond, middle + 1, lo), np.where(open_ & beyond, middle, hi)
+            return lo
+
+        for k in range(1, int(self.needs.max(initial=1))):
+            on = np.flatnonzero((low < high) & (self.needs > k))
+            if not on.size:
+                break
+            target = self.seq[self.starts[on] + k]
+            lo, hi = low[on], high[on]
+            low[on], high[on] = bound(lo, hi, target, k, False), bound(lo, hi, target, k, True)
+        return low, high
 
     def matches(self, docs: list[list[bytes]]) -> list[tuple[list[int], list[dict]]]:
-        """Per document the hit word positions and the longest verbatim match from each found pair of positions."""
+        """Per document the hit word positions and the longest verbatim matches."""
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
-        starts = np.concatenate(([0], np.cumsum(lengths + 1)))  # a zero parts the documents
-        n, pad = int(starts[-1]), self.window + 1
-        seq = np.zeros(n + pad, dtype=np.int64)
+        begins = np.concatenate(([0], np.cumsum(lengths + 1)))  # a zero parts the documents
+        seq = np.zeros(int(begins[-1]) + 1, dtype=np.int64)
         get = self.words.get
-        for d, at in zip(docs, starts.tolist()):
+        for d, at in zip(docs, begins.tolist()):
             seq[at : at + len(d)] = [get(w, 0) for w in d]
         out: list[tuple[list[int], list[dict]]] = [([], []) for _ in docs]
-        if not self.items or not n:
+        if not self.ids or not seq.any():
             return out
-        known = np.flatnonzero(seq[:n])
-        keys = self.keys(seq, n)[known]
-        if self.leads.size:
-            found = np.searchsorted(self.leads, keys)
-            found[found == self.leads.size] = 0
-            known = known[self.leads[found] == keys]
-        if not known.size:
+        array = suffix_array(seq)
+        low, high = self.search(array, seq)
+        found = np.flatnonzero(low < high)
+        sizes = high[found] - low[found]
+        lookup = np.repeat(found, sizes)
+        at = array[np.arange(lookup.size) + np.repeat(low[found] - (np.cumsum(sizes) - sizes), sizes)]
+        if not at.size:
             return out
-        prefix = codes(seq[known[:, None] + np.arange(self.window)])
-        order = np.argsort(prefix, kind="stable")
-        prefix, order = prefix[order], known[order]  # the suffix array: compared words and positions
-        low, high = np.searchsorted(prefix, self.low, "left"), np.searchsorted(prefix, self.high, "right")
-        hits: dict[int, set[int]] = {}
-        spans: dict[tuple[int, int, int], int] = {}  # document, item, diagonal -> end of the run seen last
-        for at_lookup in np.flatnonzero(low < high).tolist():
-            item, start, need = self.lookups[at_lookup]
-            test, lo, hi = self.items[item][1], low[at_lookup], high[at_lookup]
-            for at in np.sort(order[lo:hi]).tolist():
-                d = int(np.searchsorted(starts, at, "right")) - 1
-                place = at - int(starts[d])
-                hits.setdefault(d, set()).update(range(place, place + need))
-                diagonal = (d, item, place - start)
-                if spans.get(diagonal, -1) >= place + need:
-                    continue  # inside a match that was extended before
-                length = need
-                while start + length < len(test) and seq[at + length] == test[start + length]:
-                    length += 1
-                spans[diagonal] = place + length
-                out[d][1].append({"item_id": self.items[item][0], "item_start": start, "doc_start": place, "length": length})
-        for d, places in hits.items():
-            out[d][0].extend(sorted(places))
+        edges = np.bincount(at, minlength=seq.size) - np.bincount(at + self.needs[lookup], minlength=seq.size)[: seq.size]
+        places = np.flatnonzero(np.cumsum(edges) > 0)
+        owner = np.searchsorted(begins, places, "right") - 1
+        for d, place in zip(owner.tolist(), (places - begins[owner]).tolist()):
+            out[d][0].append(place)
+        # one run per diagonal and neighbouring suffixes: a longest verbatim match
+        diagonal = at - self.starts[lookup]
+        order = np.lexsort((at, diagonal))
+        at, diagonal, lookup = at[order], diagonal[order], lookup[order]
+        new = np.concatenate(([True], (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], at.size) - 1
+        length = at[last] - at[first] + self.needs[lookup[first]]
+        doc = np.searchsorted(begins, at[first], "right") - 1
+        item = self.owners[lookup[first]]
+        in_item = self.starts[lookup[first]] - self.begins[item]
+        for d, i, s, p, n in zip(doc.tolist(), item.tolist(), in_item.tolist(), (at[first] - begins[doc]).tolist(), length.tolist()):
+            out[d][1].append({"item_id": self.ids[i], "item_start": s, "doc_start": p, "length": n})
         return out
 
 
@@ -142,7 +186,7 @@ def item_blocks(items: DataFrame, max_block_words: int) -> list[DataFrame]:
     return [words.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text") for b in range(blocks)]
 
 
-def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_block_words: int = 4_000_000) -> DataFrame:
+def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, hits (hit word positions) and matches (item_id, item_start, doc_start, length) per document."""
     blocks = item_blocks(items, max_block_words)
     if len(blocks) > 1:  # a key that outlives recomputation: written first
@@ -152,7 +196,7 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_bl
     schema = T.StructType([*SCHEMA, T.StructField("row_key", T.LongType())])
     parts = []
     for block in blocks:
-        tests = TestSuffixes([(r.item_id, words_of(r.text)) for r in block.collect()], window)
+        tests = TestSuffixes(((r.item_id, words_of(r.text)) for r in block.toLocalIterator()), window)
         shared = docs.sparkSession.sparkContext.broadcast(tests)
 
         def rows(cols: dict[str, list], shared=shared) -> dict:
@@ -192,7 +236,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", contaminated(n_hit, F.col("n_words")))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_block_words: int = 4_000_000) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
     blocks = item_blocks(items, max_block_words)
     if len(blocks) > 1:  # the hits of all blocks count together, so every row needs a key
@@ -200,7 +244,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_bloc
         found = find_matches(keyed.select(F.col("_key").alias("doc_id"), "text"), items, window, max_block_words)
         bad = found.filter(contaminated(F.size("hits"), F.col("n_words"))).select(F.col("doc_id").alias("_key"))
         return keyed.join(bad, "_key", "left_anti").select("_row.*")
-    tests = TestSuffixes([(r.item_id, words_of(r.text)) for r in blocks[0].collect()], window)
+    tests = TestSuffixes(((r.item_id, words_of(r.text)) for r in blocks[0].toLocalIterator()), window)
     shared = docs.sparkSession.sparkContext.broadcast(tests)
 
     def keep(texts: list[str | None]) -> list[bool]:

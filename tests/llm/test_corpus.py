@@ -125,6 +125,30 @@ def test_contamination(spark):
         assert clean == {i for i, t in enumerate(texts) if not (h := plain_hits(decontaminate.words_of(t), parsed)[0]) or 20 * len(h) < len(decontaminate.words_of(t))}
 
 
+def test_suffix_array_is_sorted():
+    rng = np.random.default_rng(5)
+    for words in (1, 2, 3, 50):
+        seq = np.append(rng.integers(0, words + 1, 400) * (rng.random(400) < 0.97), 0)
+        seq[100:150] = seq[200:250]
+
+        def suffix(p, seq=seq.tolist()):
+            return seq[p : seq.index(0, p)]
+
+        array = decontaminate.suffix_array(seq).tolist()
+        assert sorted(array) == np.flatnonzero(seq).tolist()
+        assert [suffix(p) for p in array] == sorted(suffix(p) for p in array)
+
+
+def test_contamination_among_very_many_words():
+    """Numbers of over two million different test words: no key overflows, a verbatim copy is found."""
+    many = [(b"%d" % i) for i in range(2_200_000)]
+    tests = decontaminate.TestSuffixes([(7, many)], 13)
+    hits, matches = tests.matches([many[-40:], many[5:17], many[:20] + [b"x"] + many[100:113]])[0]
+    assert hits == list(range(40)) and matches == [{"item_id": 7, "item_start": 2_199_960, "doc_start": 0, "length": 40}]
+    found = tests.matches([many[5:17], many[:20] + [b"x"] + many[100:113]])
+    assert found[0] == ([], []) and [(m["doc_start"], m["length"]) for m in found[1][1]] == [(21, 13), (0, 20)]
+
+
 def test_packing(spark):
     texts = [None, "", *(prose(n, n) for n in (1, 5, 50, 500, 500, 3000, 9000, 40, 40, 41)), "Ünïcode ﬁ 日本語 it's 12"]
     rows = packing.pack(packing.pieces(frame(spark, texts))).collect()
