@@ -3,9 +3,11 @@
 One automaton finds the keywords of all rules in one pass over the ASCII-lower-cased text. A rule's expression is
 tried only at the places of its keywords, anchored there, from left to right and never inside its previous match: the
 matches are the leftmost non-overlapping ones that a full search would give. Runs of hexadecimal digits have no
-keyword; they are found by one expression over the text.
+keyword; they are found by one expression over the text. Every expression is linear over all hits of a text: unbounded
+parts are possessive and start at the beginning of their run, or end where the next keyword can begin.
 
-Tokens with an embedded checksum (CRC-32 in base 62, Bech32) or a decodable header are reported only if it holds.
+Tokens with an embedded checksum (CRC-32 in base 62, Bech32, Base58Check) or a decodable part of a known form are
+reported only if it holds.
 
 A map without a shuffle. Defined results: null and empty texts have no secrets; a secret of two kinds gives a span for
 each kind; repeated rows give a row each; columns other than doc_id and text are not read.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import json
 import re
 import zlib
@@ -28,6 +31,7 @@ from storyline.llm.common import map_rows, table
 
 DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", SPANS)])
@@ -60,6 +64,33 @@ def bech32_holds(m: re.Match) -> bool:
     return check == 1
 
 
+def base58_holds(m: re.Match) -> bool:
+    """The last four bytes are the beginning of the doubled SHA-256 of those before."""
+    number = 0
+    for c in m[0]:
+        number = 58 * number + BASE58.index(c)
+    data = number.to_bytes(-(-number.bit_length() // 8), "big")
+    return hashlib.sha256(hashlib.sha256(data[:-4]).digest()).digest()[:4] == data[-4:]
+
+
+def decoded(text: str) -> bytes | None:
+    try:
+        return base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
+    except (ValueError, binascii.Error):
+        return None
+
+
+def macaroon_decodes(m: re.Match) -> bool:
+    """Base64 of a version byte, then a field of the named place."""
+    data = decoded(m[0].split("-", 1)[1])
+    return data is not None and data[:3] == b"\x02\x01\x08" and data[3:11] == b"pypi.org"
+
+
+def account_key_decodes(m: re.Match) -> bool:
+    """Base64 of 64 bytes."""
+    return len(base64.b64decode(m[1], validate=True)) == 64
+
+
 def header_decodes(m: re.Match) -> bool:
     """The part before the first dot is Base64 of a JSON object that names an algorithm."""
     head = m[0].split(".")[0]
@@ -82,9 +113,19 @@ RULES = [
     Rule("github", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", crc_holds),
     Rule("npm", ["npm_"], r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", crc_holds),
     Rule("age", ["age-secret-key-1"], r"AGE-SECRET-KEY-1[AC-HJ-NP-Z02-9]{58}(?![A-Z0-9])", bech32_holds),
-    Rule("jwt", ["eyj"], r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", header_decodes),
+    Rule("jwt", ["eyj"], r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", header_decodes),
     Rule("slack", ["xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"], r"xox[bpars]-[0-9]{6,}-[A-Za-z0-9-]{10,}", lambda m: True),
     Rule("pem", ["-----begin "], r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----", lambda m: True),
+    Rule("bip32", ["xprv"], r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![A-Za-z0-9])", base58_holds),
+    Rule("nsec", ["nsec1"], r"nsec1[02-9ac-hj-np-z]{58}(?![a-z0-9])", bech32_holds),
+    Rule("pypi", ["pypi-ageichlwas5vcmc"], r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}+", macaroon_decodes),
+    Rule("azure", ["accountkey="], r"AccountKey=([A-Za-z0-9+/]{86}==)", account_key_decodes),
+    Rule("gitlab", ["glpat-"], r"glpat-[A-Za-z0-9_-]{20}(?![A-Za-z0-9_-])", lambda m: True),
+    Rule("google", ["aiza"], r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])", lambda m: True),
+    Rule("stripe", ["sk_live_", "rk_live_"], r"[sr]k_live_[A-Za-z0-9]{24,99}(?![A-Za-z0-9])", lambda m: True),
+    Rule("sendgrid", ["sg."], r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}(?![A-Za-z0-9_-])", lambda m: True),
+    Rule("huggingface", ["hf_"], r"(?<![A-Za-z0-9_])hf_[A-Za-z]{34}(?![A-Za-z0-9])", lambda m: True),
+    Rule("digitalocean", ["dop_v1_", "doo_v1_", "dor_v1_"], r"do[opr]_v1_[0-9a-f]{64}(?![0-9a-f])", lambda m: True),
 ]
 BASE = ("assign", "access", "hex")
 

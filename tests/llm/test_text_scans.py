@@ -92,6 +92,89 @@ def test_checksum_decides():
     assert kinds == {"github"} and len(secret_scan.Scanner().scan(f"x {good} y ghp_{'A' * 36}")) == 1
 
 
+def base58(data):
+    import hashlib
+
+    number, out = int.from_bytes(data + hashlib.sha256(hashlib.sha256(data).digest()).digest()[:4], "big"), ""
+    while number:
+        number, digit = divmod(number, 58)
+        out = secret_scan.BASE58[digit] + out
+    return out
+
+
+def secrets_of_all_kinds():
+    """One string per kind, right checksums included; each with one character changed is another string."""
+    import base64
+    import zlib
+
+    body = "Ab3" * 10
+    crc = body + secret_scan.base62(zlib.crc32(body.encode()), 6)
+    jwt = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    return {
+        "github": "ghp_" + crc,
+        "npm": "npm_" + crc,
+        "age": "AGE-SECRET-KEY-1" + bech32("age-secret-key-", [7] * 52).upper(),
+        "nsec": "nsec1" + bech32("nsec", [3] * 52),
+        "jwt": f"{jwt}.eyJhIjoxfQ.c2ln",
+        "slack": "xoxb-123456789-abcdefghij1",
+        "pem": "-----BEGIN RSA PRIVATE KEY-----\nQUJD\n-----END RSA PRIVATE KEY-----",
+        "bip32": base58(bytes.fromhex("0488ade4") + bytes(range(74))),
+        "pypi": "pypi-" + base64.urlsafe_b64encode(b"\x02\x01\x08pypi.org" + bytes(range(60))).decode().rstrip("="),
+        "azure": "AccountKey=" + base64.b64encode(bytes(range(64))).decode(),
+        "gitlab": "glpat-" + "a1" * 10,
+        "google": "AIza" + "b" * 35,
+        "stripe": "sk_live_" + "c3" * 15,
+        "sendgrid": "SG." + "d" * 22 + "." + "e" * 43,
+        "huggingface": "hf_" + "f" * 34,
+        "digitalocean": "dop_v1_" + "0a" * 32,
+    }
+
+
+def bech32(prefix, values):
+    """Data and checksum characters of a Bech32 string."""
+
+    def polymod(numbers):
+        check = 1
+        for v in numbers:
+            top, check = check >> 25, (check & 0x1FFFFFF) << 5 ^ v
+            for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+                check ^= g if top >> i & 1 else 0
+        return check
+
+    wide = [ord(c) >> 5 for c in prefix] + [0] + [ord(c) & 31 for c in prefix]
+    rest = polymod(wide + values + [0] * 6) ^ 1
+    return "".join(secret_scan.BECH32[v] for v in values + [rest >> 5 * (5 - i) & 31 for i in range(6)])
+
+
+def test_secrets_of_all_kinds_equal_a_full_search():
+    """The anchored search at keyword hits against each expression over the whole text."""
+    import random
+
+    known, draw = secrets_of_all_kinds(), random.Random(1)
+    assert set(known) == {r.kind for r in secret_scan.RULES} - set(secret_scan.BASE)
+    scanner = secret_scan.Scanner()
+    for kind, secret in known.items():
+        assert (kind, 2, 2 + len(secret)) in scanner.scan(f"é {secret} x"), kind
+    for kind in ("github", "npm", "age", "nsec", "bip32"):
+        wrong = known[kind][:-9] + ("Z" if known[kind][-9] not in "Zz" else "Y").replace("Z", "z" if kind == "nsec" else "Z") + known[kind][-8:]
+        assert kind not in {k for k, _, _ in scanner.scan(wrong)}
+    parts = [*known.values(), *TEXTS[4:9], "eyJ", "eyJa.eyJb.c", "token=", "password: ", "AKIA", " ", "\n", "-----BEGIN ", "ſ", "xoxb-"]
+    for _ in range(300):
+        text = "".join(draw.choices(parts, k=8))
+        whole = sorted((m.start(), i, m.end()) for i, r in enumerate(secret_scan.RULES) for m in r.pattern.finditer(text) if r.valid(m))
+        assert scanner.scan(text) == [(secret_scan.RULES[i].kind, s, e) for s, i, e in whole]
+
+
+@pytest.mark.parametrize("part", ["eyJ", "eyJa.", "eyJa-", "token ", "password", "token=", "AKIA", "-----BEGIN ", "-----BEGIN A ", "-----BEGIN PRIVATE KEY-----a", "xoxb-111111-", "0a", "ghp_", "pypi-AgEIcHlwaS5vcmc", "SG.", "token'  ", "api_key\x20\x20"])
+def test_secrets_in_a_megabyte_take_seconds(part):
+    import time
+
+    scanner = secret_scan.Scanner()
+    began = time.process_time()
+    scanner.scan(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 5
+
+
 def base_private(text):
     text, out = text or "", []
 
