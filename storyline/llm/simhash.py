@@ -10,7 +10,9 @@ Pigeonhole over at most three differing bits:
   * else each segment differs in exactly one bit: then one half of every segment is equal (eight choices of halves).
 Keys hold 32 to 34 bits, so that buckets stay small at 10^9 fingerprints. Buckets are compared in sorted partitions
 without building groups: a bucket emits the links of a spanning forest only, never all its pairs, and holds eight
-bytes a fingerprint.
+bytes a fingerprint. A key that over SPLIT fingerprints have (of one template with a varying part, say) is counted
+first and dealt to tiles: its fingerprints are hashed to parts of about SPLIT / 2, and every pair of parts is a bucket
+of its own, so that no task compares more than SPLIT or so at once and no link is lost.
 
 Equal fingerprints are merged before keys are made (a group of copies counts once). Links are joined to components by
 large-star / small-star rounds on DataFrames (storyline.operators.graph), each round written to the shared folder.
@@ -31,13 +33,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyline.llm.common import lower_bytes, map_rows, table, written
+from storyline.llm.common import lower_bytes, map_rows, private, table, written
 from storyline.operators.graph import connected_components
 
 MAX_BITS = 3
 SHINGLE = 3
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and width
 
+#: Fingerprints of a key beyond which its bucket is dealt to tiles.
+SPLIT = 4096
+
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """64 bits: 1 where over half of the shingles' hashes have a 1."""
@@ -160,7 +165,21 @@ def forest(prints: np.ndarray, max_bits: int = MAX_BITS, tile: int = 1024) -> li
     return links
 
 
-def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def tiled(keyed: DataFrame, split: int = SPLIT) -> DataFrame:
+    """keyed (key, fp) with the rows of frequent keys dealt to the tiles of all pairs of parts, as keys of their own."""
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split)
+    hot = written(counts.select("key", F.ceil(F.col("n") * 2 / split).cast("int").alias("parts")), "hot-keys")
+    if hot.isEmpty():
+        return keyed
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    dealt = keyed.join(hot, "key", "left").withColumn("part", part)
+    others = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("other", others)
+    tile = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))  # two tiles of one hash only add comparisons
+    return dealt.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(tile).alias("key"), "fp")
+
+
+def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, split: int = SPLIT) -> DataFrame:
     """Links (a, b) between different fingerprints (column fp, each once) that connect all at max_bits or fewer."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +215,8 @@ def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             kept_keys, kept_prints = keys[last:], values[last:]
         yield links(kept_keys, kept_prints)
 
-    keyed = prints.select("fp").mapInArrow(expand, "key long, fp long")
-    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    keyed = written(prints.select("fp").mapInArrow(expand, "key long, fp long"), "fingerprint-keys")
+    found = tiled(keyed, split).repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -217,21 +236,31 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """One row of each class, all columns: that with the smallest doc_id (null ones last), then the smallest text hash;
     of equal rows one."""
-    return keep_of_classes(docs, near_duplicates(docs, max_bits, shingle))
+    return keep_of_classes(docs, written(near_duplicates(docs, max_bits, shingle), "classes"))
 
 
 def keep_of_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """keep_one for given classes (doc_id, text_hash, class). The rows to drop are the smaller side of the join."""
+    """keep_one for given classes (doc_id, text_hash, class), a written table.
+
+    What to drop is decided on the narrow table and written: Spark broadcasts the ids while they are under its bound,
+    so that texts stay where they are, and joins by hash beyond it.
+    """
     best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
     best = written(best, "best")  # else the join would keep the aggregate's partitions, which Spark can't split
-    others = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash")))
-    drop = found.join(best, "class").filter(others).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash"))
+    judged = found.join(best, "class").select("doc_id", "text_hash", chosen.alias("kept"))
+    id_, hash_, nth = private(docs, "_id", "_hash", "_n")
+    ids = [F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)]
+    drop = written(judged.filter("NOT kept").select(*ids).distinct(), "dropped")
+    again = written(judged.filter("kept").groupBy("doc_id", "text_hash").count().filter("count > 1").select(*ids), "repeated")
     text_hash = F.xxhash64("text")
-    kept = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")), "left_anti")
-    if kept.groupBy("doc_id", text_hash).count().filter("count > 1").isEmpty():
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_))
+    kept = docs.join(drop, same, "left_anti")
+    if again.isEmpty():
         return kept
     first = F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy(text_hash))
-    return kept.withColumn("_n", first).filter("_n = 1").select(*docs.columns)
+    one = kept.join(again, same, "left_semi").withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)
+    return kept.join(again, same, "left_anti").unionByName(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,29 @@ def test_keep_one(spark):
     assert sorted((r.doc_id or 0, r.fp) for r in kept) == [(0, "z"), (3, "y"), (9, "n")]
 
 
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(5, "a b c d", 1, "x", 0), (3, "a b c d", 2, "y", 0), (3, "a b c d", 2, "y", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _hash string, class int")
+    for keep_one in (simhash.keep_one, corpus_pipeline.jaccard.keep_one):
+        kept = keep_one(docs)
+        assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [rows[1]]
+
+
+def test_a_frequent_key_is_split_without_losing_links(spark):
+    """Fingerprints that share two whole segments, over the bound for one bucket."""
+    rng = np.random.default_rng(8)
+    prints = np.unique(rng.integers(0, 1 << 21, 700).astype(np.int64) | (5 << 42))
+    frame_ = spark.createDataFrame([(int(p),) for p in prints], "fp long")
+    apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    near = {(int(prints[i]), int(prints[j])) for i, j in zip(*np.nonzero(apart <= 3)) if i < j}
+    roots = []
+    for split in (64, simhash.SPLIT):
+        found = simhash.link_fingerprints(frame_, split=split)
+        assert {(r.a, r.b) for r in found.collect()} <= near
+        roots.append({r.node: r.component for r in simhash.connected_components(found).collect()})
+    assert roots[0] == roots[1] and {x for pair in near for x in pair} == set(roots[0])
+
+
 def plain_hits(words, items, window=13):
     hit, found = set(), set()
     for item, test in items:
