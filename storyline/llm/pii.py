@@ -12,10 +12,13 @@ Edges are counted before they are joined: an entity that was copied into a third
 its patterns, and a pattern with many instances is joined on the side that Spark can split. DataFrame functions only.
 
 Discovered spans are kept by the text's digest: equal texts have equal spans, so that a group of copies is looked at
-once and no row numbers are needed.
+once and no row numbers are needed. They are written, so that Spark broadcasts them while they are under its bound;
+beyond it every digest is joined in SALTS parts, so that a group of copies isn't one task's.
 
 Defined results: null and empty texts have no spans; repeated rows give a row each; without seeds nothing is
-discovered; columns other than doc_id and text are not read (`masked` returns them as they are).
+discovered; equally good kinds of a pattern or an instance: the last by name; spans of one place and two kinds both stay;
+an empty table gives an empty result; columns other than doc_id and text are not read (`masked` returns them as they are,
+but for n_chars, the length of the text).
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm.common import ascii_lower, table, written
+from storyline.llm.common import ascii_lower, discard, private, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -50,6 +53,9 @@ DOT = r"(?i)\x20?[(\[{<]\x20?(?:dot|\.)\x20?[)\]}>]\x20?|\x20dot\x20"
 
 ROUNDS, MIN_INSTANCES, SMOOTHING, THRESHOLD = 3, 5, 1.0, 0.6
 
+#: Parts of a digest's rows in joins.
+SALTS = 16
+
 PLACED = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -166,7 +172,8 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         else:
             scored = edges.join(score_values(edges, patterns), "value", "left").withColumn("score", score.otherwise(F.coalesce("value_score", F.lit(0.0))))
         sums = scored.groupBy("pattern").agg(F.count("*").alias("n"), (F.sum("score") / (F.count("*") + SMOOTHING)).alias("score"), F.mode("kind", deterministic=True).alias("kind"))
-        patterns = written(sums, "pii-patterns")  # a round ends; joins on patterns get partitions that Spark can split
+        before, patterns = patterns, written(sums, "pii-patterns")  # joins on patterns get partitions that Spark can split
+        discard(before)
     return patterns
 
 
@@ -189,6 +196,16 @@ def discover(base: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return found.select("digest", F.filter("all", lambda x: ~longer(x)).alias("found"))
 
 
+def with_found(rows: DataFrame, found: DataFrame, digest: Column, name: str) -> DataFrame:
+    """rows with the spans found for their text's digest as a column `name` (an empty array: none)."""
+    key, salt, salt_of_row = private(rows, "_digest", "_salt", "_row_salt")
+    found = written(found, "pii-found").select(F.col("digest").alias(key), F.col("found").alias(name))
+    found = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn(salt_of_row, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(found, (digest == F.col(key)) & (F.col(salt_of_row) == F.col(salt)), "left")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(SPANS))).drop(key, salt, salt_of_row)
+
+
 def span_of(kind: str):
     return lambda x: F.struct(F.lit(kind).alias("kind"), x.start.alias("start"), x.end.alias("end"))
 
@@ -202,7 +219,7 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     base = written(base_spans(docs), "pii-base")
     spans = F.concat(*(F.transform(k, span_of(k)) for k in KINDS))
     rows = base.select("digest", "doc_id", spans.cast(SPANS).alias("base"))
-    return rows.join(discover(base, rounds), "digest", "left").withColumn("found", F.coalesce("found", F.array().cast(SPANS)))
+    return with_found(rows, discover(base, rounds), F.col("digest"), "found")
 
 
 def mask(text: Column, spans: Column) -> Column:
@@ -219,15 +236,16 @@ def mask(text: Column, spans: Column) -> Column:
 
 def masked(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """docs with every span of the text replaced by its kind in angle brackets; n_chars, if there, follows the text."""
-    found = discover(written(base_spans(docs), "pii-base"), rounds).select(F.col("digest").alias("_digest"), F.col("found").alias("_found"))
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("_digest", F.md5(text.cast("binary"))).join(found, "_digest", "left")
-    spans = F.concat(*(F.transform(c, span_of(k)) for k, c in base_places(text).items()), F.coalesce("_found", F.array().cast(SPANS)))
+    found_name, spans_name = private(docs, "_found", "_spans")
+    keyed = with_found(docs, discover(written(base_spans(docs), "pii-base"), rounds), F.md5(text.cast("binary")), found_name)
+    spans = F.concat(*(F.transform(c, span_of(k)) for k, c in base_places(text).items()), F.col(found_name))
     by_start = F.sort_array(F.transform(spans, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind"))))
-    keyed = keyed.withColumn("_spans", by_start)
-    changed = keyed.withColumn("text", F.when(F.size("_spans") > 0, mask(text, F.col("_spans"))).otherwise(F.col("text")))
+    keyed = keyed.withColumn(spans_name, by_start)
+    some = F.size(spans_name) > 0
+    changed = keyed.withColumn("text", F.when(some, mask(text, F.col(spans_name))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
 
 
