@@ -1,47 +1,57 @@
 """Sharding by fixed virtual slots.
 
-A record hashes to one of `slots` virtual slots by its doc_id; the slots never change. Bytes and rows are added up per
-slot, and a slot-to-shard map says which shard holds a slot. Rebalancing edits the map: slots move (or change places)
-from the fullest to the emptiest shard until no move makes the two more equal. Maps are stored by version.
+A record hashes to one of `slots` virtual slots by its doc_id (without one: by its text); the slots never change. Bytes
+and rows are added up per slot, and a slot-to-shard map says which shard holds a slot. Maps are stored by version: a
+run reads the last version (the first is an even map), rebalances it for the bytes that the slots hold now, and appends
+the next version if that moved a slot. Rebalancing edits the map: slots move (or change places) from the fullest to the
+emptiest shard until no move makes the two more equal; all others stay where they are.
 
-What reaches the driver is one row per slot, whatever the input; the map goes back into the plan as a literal. A
-record's place in its shard is its rank in its slot plus the sizes of the shard's slots before it, so that no window
-holds more than a slot.
+What reaches the driver is one row per slot and part, whatever the input; the map goes back into the plan as a literal.
+A record's place in its shard is its rank in its part of its slot plus the sizes of the parts and slots before it in the
+shard. Parts deal the rows of a slot evenly, so that a doc_id that repeats without end is no task of its own.
 
 Law `bytes`: shard sizes near equal. DataFrame functions only.
 
-Defined results: null text counts as empty; records with a null doc_id share a slot; repeated rows get places of their
-own; an empty table gives an empty result; columns other than doc_id and text are not read.
+Defined results: null text counts as empty; repeated rows get places of their own (all rows of one doc_id lie in one
+slot, and so in one shard); equally good moves: the smaller slot; an empty table gives an empty result and leaves the
+map as it is; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm.common import shared_dir, table
+from storyline.llm.common import exists, shared_dir, table, written
 
-SHARDS, SLOTS = 16, 4096
+SHARDS, SLOTS, PARTS = 16, 4096, 8
 
 
-def slot_of(doc_id: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(slots)).cast("int")
+def slot_of(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.coalesce(F.when(doc_id.isNotNull(), F.xxhash64(doc_id)), F.xxhash64(text)), F.lit(slots)).cast("int")
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot."""
+    """doc_id, size, text_crc32, vslot and part; written, so that parts stay what they are."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("vslot"))
-
-
-def slot_totals(docs: DataFrame, slots: int = SLOTS) -> dict[int, tuple[int, int]]:
-    """slot -> (bytes, rows): at most `slots` rows to the driver."""
-    size = F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1).cast("long")
-    totals = docs.groupBy(slot_of(F.col("doc_id"), slots).alias("vslot")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
-    return {r.vslot: (r.bytes, r.rows) for r in totals.collect()}
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)).cast("int")
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), text, slots).alias("vslot"), part.alias("part"))
+    return written(rows, "sized")
+
+
+def slot_totals(rows: DataFrame) -> dict[int, tuple[int, list[int]]]:
+    """slot -> (bytes, rows of each part): at most slots * PARTS rows to the driver."""
+    totals = rows.groupBy("vslot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    out: dict[int, tuple[int, list[int]]] = {}
+    for r in totals.collect():
+        size, parts = out.get(r.vslot, (0, [0] * PARTS))
+        parts[r.part] = r.rows
+        out[r.vslot] = size + r.bytes, parts
+    return out
 
 
 def even_map(shards: int = SHARDS, slots: int = SLOTS) -> list[int]:
@@ -116,34 +126,55 @@ def map_frame(spark: SparkSession, shard_of: list[int]) -> DataFrame:
 
 
 def save_map(spark: SparkSession, shard_of: list[int], path: str, version: int) -> None:
-    map_frame(spark, shard_of).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    """A new version; an existing one is never overwritten."""
+    map_frame(spark, shard_of).coalesce(1).write.parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
     return [r.shard for r in spark.read.parquet(f"{path}/version={version}").orderBy("slot").collect()]
 
 
-def place(docs: DataFrame, shard_of: list[int], totals: dict[int, tuple[int, int]]) -> DataFrame:
+def last_version(spark: SparkSession, path: str) -> int:
+    """Number of the newest stored map, 0 if there is none."""
+    version = 0
+    while exists(spark, f"{path}/version={version + 1}/_SUCCESS"):  # versions have no gaps
+        version += 1
+    return version
+
+
+def place(rows: DataFrame, shard_of: list[int], totals: dict[int, tuple[int, list[int]]]) -> DataFrame:
     """doc_id, size, text_crc32, vslot, shard and slot (the place in the shard, gapless from 0)."""
-    slots, before, used = len(shard_of), [0] * len(shard_of), defaultdict(int)
+    slots, used = len(shard_of), defaultdict(int)
+    before = [0] * (slots * PARTS)
     for s in range(slots):
-        before[s] = used[shard_of[s]]
-        used[shard_of[s]] += totals.get(s, (0, 0))[1]
-    ranked = sized(docs, slots).selectExpr("*", "row_number() OVER (PARTITION BY vslot ORDER BY doc_id, text_crc32, size) - 1 AS nth")
-    return ranked.select("doc_id", "size", "text_crc32", "vslot", lookup(shard_of, F.col("vslot"), "int").alias("shard"), (lookup(before, F.col("vslot"), "bigint") + F.col("nth")).alias("slot"))
+        for part, n in enumerate(totals.get(s, (0, [0] * PARTS))[1]):
+            before[s * PARTS + part] = used[shard_of[s]]
+            used[shard_of[s]] += n
+    ranked = rows.selectExpr("*", "row_number() OVER (PARTITION BY vslot, part ORDER BY doc_id, text_crc32, size) - 1 AS nth")
+    first = lookup(before, F.col("vslot") * PARTS + F.col("part"), "bigint")
+    return ranked.select("doc_id", "size", "text_crc32", "vslot", lookup(shard_of, F.col("vslot"), "int").alias("shard"), (first + F.col("nth")).alias("slot"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
-    """Even map, bytes per slot, rebalanced map (both stored under path, if given), placed records."""
-    totals = slot_totals(docs, slots)
-    first = even_map(shards, slots)
-    second = rebalance(first, {s: b for s, (b, _) in totals.items()}, shards)
-    if path:
-        save_map(docs.sparkSession, first, path, 1)
-        save_map(docs.sparkSession, second, path, 2)
-    return place(docs, second, totals)
+    """Placed records by the last map under path, rebalanced for the records' bytes and stored as the next version.
+
+    A stored map of other numbers of slots or shards is no predecessor: an even map takes its place.
+    """
+    spark, rows = docs.sparkSession, sized(docs, slots)
+    totals = slot_totals(rows)
+    version = last_version(spark, path) if path else 0
+    last = load_map(spark, path, version) if version else None
+    if last is None or len(last) != slots or max(last) >= shards:
+        last, version = even_map(shards, slots), version + 1
+        if path:
+            save_map(spark, last, path, version)
+    now = rebalance(last, {s: b for s, (b, _) in totals.items()}, shards)
+    if path and now != last:
+        save_map(spark, now, path, version + 1)
+    return place(rows, now, totals)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = shard(table(spark, sf_dir, "documents"), path=f"{shared_dir(spark)}/slot-map")
+    own = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]  # each folder of tables has its own map
+    placed = shard(table(spark, sf_dir, "documents"), path=f"{shared_dir(spark)}/slot-map-{own}")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")

@@ -241,10 +241,29 @@ def test_sharding(spark, tmp_path):
     assert all(sorted(p for p, _ in v) == list(range(len(v))) for v in sizes.values())
     first, second = (sharding.load_map(spark, str(tmp_path), v) for v in (1, 2))
     assert first == sharding.even_map() and sum(a != b for a, b in zip(first, second)) < 600
+    assert sharding.last_version(spark, str(tmp_path)) == 2
+    again = sharding.shard(frame(spark, texts), path=str(tmp_path)).select("doc_id", "shard").collect()
+    assert {r.doc_id: r.shard for r in again} == {r.doc_id: r.shard for r in rows} and sharding.last_version(spark, str(tmp_path)) == 2
+    more = spark.createDataFrame([(1000 + i, "y" * 3000) for i in range(40)], "doc_id long, text string")
+    moved = sharding.shard(frame(spark, texts).unionByName(more), path=str(tmp_path))
+    sums = [r["sum(size)"] for r in moved.groupBy("shard").sum("size").collect()]
+    assert len(sums) == 16 and max(sums) - min(sums) <= 3001
+    third = sharding.load_map(spark, str(tmp_path), 3)
+    assert sharding.last_version(spark, str(tmp_path)) == 3 and 0 < sum(a != b for a, b in zip(second, third)) < 200
     grown = sharding.grow(second, {s: 1 for s in range(4096)}, 16)
     assert all(a == b or b == 16 for a, b in zip(second, grown)) and grown.count(16) in (240, 241)  # a seventeenth
 
 
+def test_sharding_of_repeated_and_missing_ids(spark):
+    rows = [(7, "a")] * 60 + [(None, f"t{i}") for i in range(300)] + [(None, None)] * 5
+    placed = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(placed) == len(rows) and len({r.shard for r in placed if r.doc_id == 7}) == 1
+    for k in range(16):
+        own = sorted(r.slot for r in placed if r.shard == k)
+        assert own == list(range(len(own)))
+    assert len({r.shard for r in placed if r.doc_id is None}) > 12
+
+
 def toxic_tables(spark, folder):
     marks = ["vile", "rotten", "nasty"]
     texts, labels = [], []
