@@ -13,6 +13,9 @@ The rule whose host and path are the longest decides before the model. A rule's
 Joins are on chunks (each once on one side), so that a chunk that all pages share is split by Spark or broadcast by
 its measured size; counts are added up before they are shuffled.
 
+Ties: of two cuts of one probability the one that starts its last word later; a
+probability of one half blocks; of rules of one length the later listed.
+
 Defined results: a null url or one without `://` has empty host and path, no words and no rule, and is judged by the
 prior alone; repeated rows give a row each (a row key is written with the parsed urls); without any seed page all are
 allowed; an empty table gives an empty result; columns other than page_id, url and html are not read.
@@ -104,7 +107,7 @@ def segment(chunks: DataFrame, model: DataFrame) -> DataFrame:
     return map_rows(ready, T.StructType([T.StructField("chunk", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))]), rows)
 
 
-def judge(pages: DataFrame) -> DataFrame:
+def judge(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict, words of host and path, block_probability."""
     host, path = parsed(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -115,7 +118,7 @@ def judge(pages: DataFrame) -> DataFrame:
     cut = written(segment(chunks, written(unigrams(pages, urls), "unigrams")), "segments")
 
     # the class of each page, with its chunks kept for the counts
-    seeded = cut.select("chunk", F.arrays_overlap("words", F.array(*map(F.lit, SEEDS))).alias("seeded"))
+    seeded = cut.select("chunk", F.arrays_overlap("words", F.array(*map(F.lit, seeds))).alias("seeded"))
     uses = urls.select("row_key", F.explode("chunks").alias("chunk"))
     labelled = written(uses.join(seeded, "chunk").groupBy("row_key").agg(F.max("seeded").alias("block"), F.collect_list("chunk").alias("chunks")), "url-classes")
     by_chunk = labelled.select("block", F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count_if("block").alias("n1"), F.count_if(~F.col("block")).alias("n0"))
@@ -123,7 +126,8 @@ def judge(pages: DataFrame) -> DataFrame:
     by_word = written(by_word, "url-words")
     sums = by_word.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count("*").alias("v")).first()
     pages_by_class = labelled.agg(F.count_if("block").alias("n1"), F.count_if(~F.col("block")).alias("n0")).first()
-    n1, n0 = pages_by_class.n1 or 0, pages_by_class.n0 or 0
+    n1 = pages_by_class.n1 or 0
+    n0 = urls.count() - n1  # pages without a chunk hold no seed
     prior = math.log((n1 + ALPHA) / (n0 + ALPHA))
     v, t1, t0 = sums.v or 0, sums.n1 or 0, sums.n0 or 0
     ratio = F.log((F.col("n1") + ALPHA) / (t1 + ALPHA * v)) - F.log((F.col("n0") + ALPHA) / (t0 + ALPHA * v))

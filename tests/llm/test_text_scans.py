@@ -65,6 +65,58 @@ def test_license_containment(spark):
     assert [(m.start, m.end, m.label) for m in kept] == [(0, 8, "apache")]
 
 
+BODIES = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: ... Neither the name of the Example Group nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-2-clause,bsd-3-clause"),
+    ("you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n http://www.apache.org/licenses/LICENSE-2.0", "apache"),
+    ("This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by", "gpl"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("Unauthorized copying of this file, via any medium is strictly prohibited", "proprietary"),
+    ("nothing of the sort, with permission of the software's warranty", ""),
+]
+
+
+def test_license_bodies(spark, tmp_path):
+    frame(spark, [t for t, _ in BODIES]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = by_id(licenses.query(spark, str(tmp_path)))
+    for i, (_, labels) in enumerate(BODIES):
+        own = set(found[i].labels.split(",")) - set(found[i].base_labels.split(","))
+        assert own | set(labels.split(",")) & set(found[i].base_labels.split(",")) == set(labels.split(",")) or (not labels and not found[i].labels), (labels, found[i].labels)
+
+
+def test_license_labels_equal_plain_python(spark):
+    """All matches and those that stay, against Python's expressions without gates, over mixed and cut passages."""
+    import random
+
+    draw, ordered = random.Random(11), licenses.rules()
+    expressions = [(r, re.compile(r["pattern"])) for r in ordered]
+    parts = [*(t for t, _ in BODIES), *TEXTS[3:6], "see the file license for the mit license", "under the terms of the", "SPDX-License-Identifier: MIT OR Apache-2.0", "cc by nc 4.0", "in the"]
+    texts = []
+    for _ in range(40):
+        words = " ".join(draw.choices(parts, k=4)).split()
+        at = draw.randrange(len(words))
+        texts.append(" ".join(words[at:] + words[:at]))
+    rows = {r.doc_id: r for r in licenses.scan(frame(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        joined_ = " ".join(re.findall(WORDS, text.translate(LOWER)))
+        all_ = []
+        for rule, expression in expressions:
+            for m in expression.finditer(joined_):
+                start = joined_[: m.start()].count(" ")
+                all_.append((start, -(start + m[0].count(" ") + 1), rule["rule"]))
+        all_.sort()
+        assert [(m.start, m.minus_end, m.rule) for m in sorted(rows[i].found)] == all_
+        kept = []
+        for m in all_:
+            if not kept or m[0] >= -kept[-1][1]:
+                kept.append(m)
+            elif ordered[m[2]]["weight"] > ordered[kept[-1][2]]["weight"]:
+                kept[-1] = m
+        assert [(m.start, m.minus_end, m.rule) for m in rows[i].kept] == kept
+
+
 def base_secrets(text):
     text = text or ""
     spans = []
@@ -247,6 +299,53 @@ def test_urls(spark):
     assert found[0].host == "a.example.net" and found[0].path == "/en/x" and found[5].host == ""
 
 
+def test_url_model_equals_plain_python(spark):
+    """Words, probabilities and verdicts of every page against dictionaries."""
+    import math
+    import random
+
+    draw = random.Random(2)
+    good, bad = "news city river garden school market music".split(), "casino pills cheap spam win".split()
+    rows = []
+    for i in range(60):
+        words = draw.sample(bad if i % 4 == 0 else good, 2)
+        sign = draw.choice(["-", ""])
+        rows.append((i, f"https://www.{sign.join(words)}.io/{draw.choice(good)}/{i}", " ".join(draw.choices(good + bad, k=30))))
+    rows += [(60, None, None), (61, "x://", ""), (62, "x://12.34/5", "<p>river</p>"), (63, "x://a.org/fr/x", None)]
+    found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    counts, chunks = {}, {}
+
+    def runs(t):
+        return re.findall("[a-z]+", (t or "").translate(LOWER))
+
+    for i, url, html in rows:
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host, path = re.match("[^/?#]*", rest)[0].translate(LOWER), re.match("[^/?#]*([^?#]*)", rest)[1]
+        chunks[i] = runs(host) + runs(path)
+        text = re.sub(r"<[^>]*>", " ", html or "")
+        for w in runs(text) + runs(path) + [w for label in host.split(".") if "-" in label for w in runs(label)]:
+            if len(w) <= urls.MAX_WORD:
+                counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    cut = {c: urls.best_cut(c, counts, total) for own in chunks.values() for c in own}
+    words = {i: [w for c in own for w in cut[c]] for i, own in chunks.items()}
+    blocked = {i: bool(set(w) & set(urls.SEEDS)) for i, w in words.items()}
+    tally = {1: {}, 0: {}}
+    for i, own in words.items():
+        for w in own:
+            tally[blocked[i]][w] = tally[blocked[i]].get(w, 0) + 1
+    vocabulary = set(tally[0]) | set(tally[1])
+    t1, t0 = sum(tally[1].values()), sum(tally[0].values())
+    n1 = sum(blocked.values())
+    for i, own in words.items():
+        odds = math.log((n1 + 1) / (len(rows) - n1 + 1))
+        for w in own:
+            odds += math.log((tally[1].get(w, 0) + 1) / (t1 + len(vocabulary))) - math.log((tally[0].get(w, 0) + 1) / (t0 + len(vocabulary)))
+        assert found[i].block_probability == pytest.approx(1 / (1 + math.exp(-odds))) and set(found[i].words) == set(own)
+        assert found[i].verdict == ("allow" if i == 63 else "block" if odds >= 0 else "allow")
+    assert found[63].rule == "org/fr/" and n1 >= 10
+
+
 def test_best_cut():
     assert urls.best_cut("cheappills", {"cheap": 50, "pills": 40, "che": 1}, 1000) == ["cheap", "pills"]
     assert urls.best_cut("", {}, 0) == []
