@@ -81,7 +81,7 @@ class Vocabulary(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = tuple(self.number[f] for f in (word, *prefixes_of(word)) if f in self.number)
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = found
         return found
 
@@ -296,7 +296,10 @@ def scorer(docs: DataFrame, model: Model):
         m = shared.value
         if not hasattr(m, "vocabulary"):
             m.vocabulary = Vocabulary(m.words, m.prefixes)
-        return list(m.scores([m.vocabulary.counts(words_in(t)) for t in texts]))
+        out = []
+        for at in range(0, len(texts), BATCH):
+            out += m.scores([m.vocabulary.counts(words_in(t)) for t in texts[at : at + BATCH]])
+        return out
 
     return of
 
