@@ -48,8 +48,3 @@ def classify(title: Column, summary: Column, body: Column, categories: dict[str,
     top = reduce(lambda a, s: F.greatest(a, s[1]), scores[1:], scores[0][1]) if len(scores) > 1 else scores[0][1]
     name = F.coalesce(*(F.when(score == top, n) for n, score in scores))
     return F.when(top >= least, name).otherwise("other")
-
-
-def saturating(x: Column, k: float) -> Column:
-    """1 - e^(-x/k) for x of zero or more."""
-    return 1 - F.exp(-F.greatest(x, F.lit(0)) / k)

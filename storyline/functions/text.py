@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what counts as a word.
 WORD = r"(?U)\d+(?:[.,]\d+)+|[^\W_]+(?:[-'’][^\W_]+)*"
 
 #: English stop-words.
@@ -16,11 +17,34 @@ might should also than then there here which who whom what when where why how in
 during under again more most some any each other such only own same so very just said says say reported reports
 according told added noted year years""".split()
 
-#: Endings that the light stemmer strips, in their order.
+#: Russian stop-words.
+STOP_RU = """и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее её мне было вот от
+меня еще ещё нет о из ему теперь когда даже ну вдруг ли если уже или ни быть был него до вас нибудь опять уж вам
+ведь там потом себя ничего ей может они тут где есть надо ней для мы тебя их чем была сам чтоб без будто чего раз
+тоже себе под будет ж тогда кто этот того потому этого какой совсем ним здесь этом один почти мой тем чтобы нее
+сейчас были куда зачем всех никогда можно при наконец два об другой хоть после над больше тот через эти нас про
+всего них какая много разве три эту моя впрочем хорошо свою этой перед иногда лучше чуть том нельзя такой им более
+всегда конечно всю между также который которые которая которого которым которых которое сообщает сообщил сообщили
+сообщила передает передал передали рассказал рассказали заявил заявили заявила отметил отметили отметила
+году года лет год будут стал стала станет свой своей своих вместе очень либо какие подчеркнул пояснил добавил
+отмечается сообщается информации информацию данным данных словам""".split()
+
+#: Kazakh stop-words.
+STOP_KK = """және мен бен пен да де та те бір бұл сол осы ол олар біз сіз сен үшін деп деген туралы болып болды болады бойынша
+кейін дейін арқылы сондай сонымен тағы тек әр қандай қалай неге қай кім не айтты хабарлады мәлімдеді атап өтті
+жылы жыл жылдың""".split()
+
+#: Endings that the light stemmer strips, the longest first where it matters.
 ENDINGS_EN = ("ing", "ed", "es", "ly", "s")
+ENDINGS_RU = """ами ями ого его ому ему ыми ими ах ях ов ев ей ой ий ый ая яя ое ее ые ие ых их ую юю ом ем ам ям а я ы и у
+ю е о ь й""".split()
 
 #: Letters that only Kazakh has, lower case.
-KAZAKH = "әғқңөұүһі"
+KAZAKH = "әғқңөұүһ"
+
+#: Abbreviations whose dot ends no sentence.
+ABBREVIATIONS = """г гг тыс млн млрд трлн руб тг долл ул пр им др см рис напр обл р-н проф акад т.д т.п т.е т.к mr mrs dr inc ltd
+no vs etc u.s st jr sr co corp прим англ букв ок мл чел кв куб авт гос зам пос""".split()
 
 #: Query parameters that only track.
 TRACKING = """utm_source utm_medium utm_campaign utm_term utm_content utm_id fbclid gclid yclid ysclid mc_cid mc_eid ref
@@ -29,12 +53,17 @@ ref_src from _ga igshid cmpid at_medium at_campaign ocid smid sr_share spm share
 #: Host parts of trackers.
 TRACKER_HOSTS = ("pixel.", "counter.", "stat.", "analytics.", "doubleclick.", "mc.yandex", "top-fwz", "googletagmanager")
 
-#: Secret kinds and the text that takes their place.
+#: Secrets as expressions and the texts that take their place, in their order.
 SECRET_RULES = (
-    (r"(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]{8,}", "$1 [redacted]"),
-    (r"(?i)\b(password|passwd|secret|token|api[_-]?key)(\s*[:=]\s*)[\"']?[^\s\"',;]{4,}[\"']?", "$1$2[redacted]"),
-    (r"\bAKIA[A-Z0-9]{12,}", "[redacted]"),
-    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[redacted]"),
+    (r"\b\d{6,12}:[A-Za-z0-9_-]{30,}\b", "[telegram-token]"),
+    (r"\bEA[A-Za-z0-9]{40,}\b", "[meta-token]"),
+    (r"\bIG[A-Za-z0-9]{40,}\b", "[instagram-token]"),
+    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{12,}", "Bearer [redacted]"),
+    (r"\bsk-[A-Za-z0-9_-]{16,}\b", "[api-key]"),
+    (r"\bsmi_[A-Za-z0-9_-]{20,}\b", "[smi-token]"),
+    (r"(?i)((?:access_token|refresh_token|client_secret|api[_-]?key|password|passwd|secret|token|fb_exchange_token)=)[^&\s\"']+", "$1[redacted]"),
+    (r"(?i)(\"(?:access_token|refresh_token|client_secret|api[_-]?key|password|secret|token)\"\s*:\s*\")[^\"]+", "$1[redacted]"),
+    (r"(?i)(/bot)\d{6,12}:[A-Za-z0-9_-]{30,}", "$1[telegram-token]"),
 )
 
 
@@ -43,9 +72,9 @@ def text_of(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """Zero-width signs out, quotes and dashes made plain, white space to single spaces. Input is taken as NFKC."""
+    """Zero-width signs out, double quotes and dashes made plain, white space to single spaces. Input is taken as NFKC."""
     s = F.regexp_replace(text_of(c), "[​‌‍⁠﻿­]", "")
-    s = F.translate(s, "«»“”„‟‹›‘’‚‛", "\"\"\"\"\"\"\"\"''''")
+    s = F.translate(s, "«»“”„‟❝❞", '"' * 8)
     s = F.translate(s, "‐‑‒–—―−", "-------")
     return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
 
@@ -71,19 +100,30 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(normalize(c)), "ё", "е"), F.lit(WORD), F.lit(0))
 
 
-def stem(token: Column) -> Column:
-    """Light stemmer for Latin words: one ending off if four letters stay, then six letters."""
-    cut = token
-    for i, end in enumerate(reversed(ENDINGS_EN)):
-        cut = F.when(token.endswith(end) & (F.length(token) - len(end) >= 4), F.left(token, F.length(token) - len(end))).otherwise(cut)
-    return F.when((F.length(token) <= 4) | token.rlike(r"^\d+$"), token).otherwise(F.left(cut, F.lit(6)))
+def is_cyrillic(token: Column) -> Column:
+    return token.rlike("[Ѐ-ӿ]")
+
+
+def stem(token: Column, lang: Column | None = None) -> Column:
+    """Light stemmer: one ending off if four letters stay, then six letters; Kazakh words keep five letters."""
+
+    def cut(endings: list[str]) -> Column:
+        """The first ending of the list that fits, the longest first."""
+        out = token
+        for end in reversed(sorted(endings, key=len, reverse=True)):
+            out = F.when(token.endswith(end) & (F.length(token) - len(end) >= 4), F.left(token, F.length(token) - len(end))).otherwise(out)
+        return F.left(out, F.lit(6))
+
+    russian = F.when(lang == "kk", F.left(token, F.lit(5))).otherwise(cut(ENDINGS_RU)) if lang is not None else cut(ENDINGS_RU)
+    stemmed = F.when(is_cyrillic(token), russian).otherwise(cut(list(ENDINGS_EN)))
+    return F.when((F.length(token) <= 4) | token.rlike(r"(?U)^\d+$"), token).otherwise(stemmed)
 
 
 def tokenize(c: Column, stemming: bool = True) -> Column:
-    """Words without stop-words and single letters, stemmed."""
-    stops = F.array(*map(F.lit, STOP_EN))
-    words = F.filter(word_tokens(c), lambda t: ~F.array_contains(stops, t) & ((F.length(t) >= 2) | t.rlike(r"^\d$")))
-    return F.transform(words, stem) if stemming else words
+    """Words without stop-words of three languages and single letters, stemmed by the text's language."""
+    stops = F.array(*map(F.lit, sorted({*STOP_RU, *STOP_KK, *STOP_EN})))
+    words = F.filter(word_tokens(c), lambda t: ~F.array_contains(stops, t) & ((F.length(t) >= 2) | t.rlike(r"(?U)^\d$")))
+    return let(detect_language(normalize(c)), lambda lang: F.transform(words, lambda t: stem(t, lang))) if stemming else words
 
 
 def let(value: Column, body) -> Column:
@@ -111,16 +151,9 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def skeleton(c: Column) -> Column:
-    """Consonants of a Latin word, doubles once, a last s off if more than three letters are left."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(text_of(c)), "[^a-z]", ""), "[aeiouyh]", "")
-    s = F.regexp_replace(s, r"(.)\1+", "$1")
-    return F.when((F.length(s) > 3) & s.endswith("s"), F.left(s, F.length(s) - 1)).otherwise(s)
-
-
 #: Cyrillic letters that one Latin letter or several stand for.
-TRANSLIT_ONE = ("абвгдезийклмнопрстуфыэәғқңөұүһі", "abvgdeziiklmnoprstufyeagqnouuhi")
-TRANSLIT_MORE = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya", "ё": "e", "ъ": "", "ь": ""}
+TRANSLIT_ONE = ("абвгдезийклмнопрстуфыэёәғқңөұүһі", "abvgdeziiklmnoprstufyeeagknouuhi")
+TRANSLIT_MORE = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sh", "ю": "yu", "я": "ya", "ъ": "", "ь": ""}
 
 
 def transliterate(c: Column) -> Column:
@@ -128,17 +161,39 @@ def transliterate(c: Column) -> Column:
     return reduce(lambda s, kv: F.replace(s, F.lit(kv[0]), F.lit(kv[1])), TRANSLIT_MORE.items(), F.translate(F.lower(text_of(c)), *TRANSLIT_ONE))
 
 
+def skeleton(c: Column) -> Column:
+    """Consonants of a word in Latin letters, doubles once, a last s off if more than three letters are left."""
+    s = F.regexp_replace(F.regexp_replace(transliterate(c), "[^a-z]", ""), "[aeiouyh]", "")
+    s = F.regexp_replace(s, r"(.)\1+", "$1")
+    return F.when((F.length(s) > 3) & s.endswith("s"), F.left(s, F.length(s) - 1)).otherwise(s)
+
+
 def clip(c: Column, n: int, ellipsis: str = "…") -> Column:
     """At most n characters, cut at the last space if it lies beyond 60 % of n, punctuation off, ellipsis on."""
-    head = F.left(c, F.lit(n - len(ellipsis)))
-    at = F.length(head) - F.length(F.substring_index(head, " ", -1))
-    cut = F.when(at > 0.6 * n, F.left(head, at)).otherwise(head)
-    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.rtrim(cut, F.lit(" ,;:.-")), F.lit(ellipsis)))
+    whole = F.trim(c)
+    head = F.left(whole, F.lit(n - len(ellipsis)))
+    before = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1  # place of the last space
+    cut = F.when(before > 0.6 * n, F.left(head, before)).otherwise(head)
+    return F.when(F.length(whole) <= n, whole).otherwise(F.concat(F.rtrim(cut, F.lit(" ,;:-—")), F.lit(ellipsis)))
 
 
 def sentences(c: Column) -> Column:
-    """Cut after . ! ? … before white space and a capital letter, digit or quote."""
-    return F.filter(F.split(F.trim(text_of(c)), r"(?U)(?<=[.!?…])\s+(?=[\p{Lu}\d\"«])"), lambda s: F.length(F.trim(s)) > 0)
+    """Cut after . ! ? … before white space and a capital letter or digit; not after abbreviations and initials."""
+    pieces = F.split(normalize(c), r"(?<=[.!?…])\s+(?=[«\"(\[]?[A-ZА-ЯЁӘҒҚҢӨҰҮҺІ0-9])")
+    stops = F.array(*map(F.lit, ABBREVIATIONS))
+
+    def open_(sentence: Column) -> Column:
+        """Whether the sentence goes on behind its last dot."""
+        last = F.rtrim(F.lower(F.regexp_extract(sentence, r"(\S+)\.$", 1)), F.lit("."))
+        return F.array_contains(stops, last) | sentence.rlike(r"(?:^|\s)[A-ZА-ЯЁ]\.$")
+
+    def step(done: Column, piece: Column) -> Column:
+        before = F.try_element_at(done, F.lit(-1))
+        joined = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", before, piece)))
+        return F.when((F.size(done) > 0) & open_(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))), joined).otherwise(F.concat(done, F.array(piece)))
+
+    merged = F.aggregate(pieces, F.array().cast("array<string>"), step)
+    return F.filter(F.transform(merged, F.trim), lambda s: s != "")
 
 
 def lead(c: Column, n: int = 3, most: int = 600) -> Column:
@@ -178,8 +233,9 @@ def redact(c: Column) -> Column:
 
 
 def mask(c: Column, keep: int = 4) -> Column:
-    """First and last characters only; short values wholly hidden."""
-    return F.when(F.length(c) <= 2 * keep, "…").otherwise(F.concat(F.left(c, F.lit(keep)), F.lit("…"), F.right(c, F.lit(keep))))
+    """First and last characters only; short values as stars."""
+    value = text_of(c)
+    return F.when(F.length(value) <= 2 * keep, F.repeat(F.lit("*"), F.length(value))).otherwise(F.concat(F.left(value, F.lit(keep)), F.lit("…"), F.right(value, F.lit(keep))))
 
 
 def numbers(c: Column) -> Column:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 #: Moves that a publication may make.
 MOVES = {
-    "draft": ("awaiting_approval", "scheduled", "cancelled"),
-    "awaiting_approval": ("scheduled", "draft", "cancelled"),
-    "scheduled": ("publishing", "awaiting_approval", "cancelled"),
-    "publishing": ("published", "error", "scheduled", "unknown"),
-    "error": ("scheduled", "published", "cancelled"),
-    "unknown": ("published", "error", "scheduled"),
+    "draft": ("awaiting_approval", "needs_review", "scheduled", "cancelled"),
+    "awaiting_approval": ("scheduled", "needs_review", "cancelled", "draft"),
+    "needs_review": ("awaiting_approval", "cancelled", "draft"),
+    "scheduled": ("publishing", "awaiting_approval", "needs_review", "cancelled"),
+    "publishing": ("published", "error", "scheduled", "needs_review", "awaiting_approval", "cancelled"),
+    "error": ("scheduled", "needs_review", "cancelled", "published", "awaiting_approval"),
+    "published": (),
+    "cancelled": (),
 }
 
 

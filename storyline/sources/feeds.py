@@ -72,7 +72,6 @@ def published_at(raw: Column, now: Column) -> Column:
     return F.when(parsed.isNull() | (parsed > now + F.expr("INTERVAL 10 MINUTES")), now).otherwise(parsed)
 
 
-DROPPED = r"(?is)<(script|style|nav|header|footer|aside|form)\b.*?</\1>|<!--.*?-->"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 

@@ -43,14 +43,17 @@ def test_text_functions(spark):
     assert one(spark, lambda c: text.ngrams(text.word_tokens(c), 2), "a b c") == ["a b", "b c"]
     assert one(spark, lambda c: text.ngrams(text.word_tokens(c), 4), "a b c") == []
     assert one(spark, text.skeleton, "Kassels") == "ksl"
-    assert one(spark, text.transliterate, "Щука") == "shchuka"
-    assert one(spark, lambda c: text.clip(c, 12), "one two three four") == "one two…"
+    assert one(spark, text.transliterate, "Щука") == "shuka"
+    assert one(spark, text.skeleton, "Гейтс") == one(spark, text.skeleton, "Gates") == "gts"
+    assert one(spark, text.tokenize, "Министерство сообщило о новых дорогах") == ["минист", "сообщи", "новых", "дорог"]
+    assert one(spark, text.sentences, "Mr. Smith met A. Jones. They left. г. Алматы ждёт.") == ["Mr. Smith met A. Jones.", "They left. г. Алматы ждёт."]
+    assert one(spark, lambda c: text.clip(c, 10), "one two three four") == "one two…"
     assert one(spark, text.sentences, "One. Two! three? Four") == ["One.", "Two! three?", "Four"]
     assert one(spark, text.numbers, "1,234 and 2.5 and 2,5") == [1234.0, 2.5]
     assert one(spark, text.iso_dates, "on 31.01.2024 and 2024-02-01") == ["2024-02-01", "2024-01-31"]
     assert one(spark, text.quotes, 'He said "this is a longer quotation" twice') == ["this is a longer quotation"]
-    assert "[redacted]" in one(spark, text.redact, 'password="hunter22"')
-    assert one(spark, text.mask, "abcdefghijkl") == "abcd…ijkl" and one(spark, text.mask, "abc") == "…"
+    assert "[redacted]" in one(spark, text.redact, "a?password=hunter22&x=1")
+    assert one(spark, text.mask, "abcdefghijkl") == "abcd…ijkl" and one(spark, text.mask, "abc") == "***" and one(spark, text.mask, None) == ""
     assert one(spark, text.is_tracker, "https://pixel.example.com/x") is True
 
 
@@ -194,10 +197,17 @@ def test_similarity(spark):
 
 
 def test_commands(spark):
-    parsed = one(spark, commands.parse, "Take №2 in english; skip the third. Replace 4")
-    assert [(c.kind, c.slot) for c in parsed] == [("select", 2), ("reject", 3), ("replace", 4)]
-    assert parsed[0].modifiers == {"language": "en"}
-    assert one(spark, commands.parse, None) == [] and one(spark, commands.parse, "hello 2024") == []
+    def parsed(t):
+        return [(c.kind, c.slot, c.modifiers) for c in one(spark, commands.parse, t)]
+
+    assert parsed("Take №2 in english; skip the third. Replace 4") == [("modify", 2, {"language": "en"}), ("reject", 3, {"reason": "the third"}), ("replace", 4, {})]
+    assert parsed(None) == [] and parsed("hello 2024") == []
+    assert parsed("2") == [("select", 2, {})] and parsed("Беру №2") == [("select", 2, {})]
+    assert parsed("№4, но сделай акцент на Казахстан") == [("modify", 4, {"emphasis_text": "казахстан", "emphasis": "kazakhstan"})]
+    assert parsed("№1 неинтересна, замени №3")[0][:2] == ("reject", 1) and parsed("№1 неинтересна, замени №3")[1] == ("replace", 3, {})
+    assert parsed("Раскрой №5 подробнее") == [("more_info", 5, {})]
+    assert parsed("не беру первую, слишком скучно")[0] == ("reject", 1, {"reason": "первую, слишком скучно"})
+    assert parsed("беру вторую короче, только для телеграм") == [("modify", 2, {"length": "shorter", "platforms": "telegram"})]
 
 
 RSS = """<rss version="2.0"><channel><title>f</title><item><title>One</title><link>https://a.b/1</link><description>d</description><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate><category>x</category><category>y</category></item><item><title>No link</title></item></channel></rss>"""
