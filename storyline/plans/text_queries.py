@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyline.functions import lexicon, text
 from storyline.operators import similarity
+from storyline.sources.scratch import written
 from storyline.sources.tables import table
 
 QUERIES: dict = {}
@@ -152,31 +153,47 @@ def longest_common_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.common_runs(d, b, 5)
 
 
-KEYS = TERMS + """, f AS (SELECT term FROM u GROUP BY term HAVING count(*) BETWEEN 2 AND 20), k AS (SELECT doc_id, term FROM u JOIN f USING (term)),
-  p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM k x JOIN k y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL) """
+#: Different word lists, each named by its smallest document, and their words: equal texts are compared once.
+SETS = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+') AS w FROM documents), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS rep, w FROM d),
+  t AS (SELECT doc_id, unnest(w) AS term FROM c WHERE doc_id = rep), u AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), z AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id),
+  p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM u x JOIN u y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL),
+  j AS (SELECT a, b, shared, shared / (x.n + y.n - shared) AS jaccard FROM p JOIN z x ON a = x.doc_id JOIN z y ON b = y.doc_id) """
 
 
-@query(KEYS + """, z AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id) SELECT a, b, shared, shared / (x.n + y.n - shared) AS jaccard FROM p JOIN z x ON a = x.doc_id JOIN z y ON b = y.doc_id WHERE shared >= 3""")
+def word_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.classes_of(docs(spark, sf_dir), plain_words(F.coalesce("text", F.lit(""))))
+
+
+def class_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, term, tf of one document of each class of equal word lists."""
+    reps = word_classes(spark, sf_dir).filter("doc_id = rep").select("doc_id")
+    words = docs(spark, sf_dir).join(reps, "doc_id", "left_semi").select("doc_id", F.explode(plain_words(F.col("text"))).alias("term"))
+    return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+@query(SETS + "SELECT a, b, shared, round(jaccard, 9) AS jaccard FROM j WHERE jaccard >= 0.8")
 def jaccard_pairs_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("key"))
-    few = terms.groupBy("key").agg(F.count("*").alias("n")).filter("n BETWEEN 2 AND 20").select("key")
-    keys = terms.join(few, "key")
-    pairs = similarity.pairs_by_key(keys, 20).filter("shared >= 3")
-    scored = similarity.set_jaccard(pairs, keys.groupBy("doc_id").agg(F.count("*").alias("n")))
-    return scored.select("a", "b", "shared", "jaccard")
+    """All pairs of different texts whose sets of words have a Jaccard of 0.8 or more; no bound on words or partners."""
+    terms = written(class_terms(spark, sf_dir).select("doc_id", "term"), "terms")
+    return similarity.jaccard_pairs(terms, 0.8).select("a", "b", "shared", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query(KEYS + """, i AS (SELECT term, ln(((SELECT count(*) FROM documents) + 2.0) / (count(*) + 1)) + 1 AS idf FROM u GROUP BY term), x AS (SELECT doc_id, term, tf * idf AS x FROM u JOIN i USING (term)),
-  n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM x GROUP BY doc_id), v AS (SELECT doc_id, term, x / norm AS w FROM x JOIN n USING (doc_id)), c AS (SELECT a, b FROM p WHERE shared >= 5)
-  SELECT a, b, round(sum(v1.w * v2.w), 6) AS cosine FROM c JOIN v v1 ON v1.doc_id = a JOIN v v2 ON v2.doc_id = b AND v1.term = v2.term GROUP BY a, b""")
+@query(SETS + "SELECT doc_id, rep, count(*) OVER (PARTITION BY rep) AS n FROM c")
+def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership that goes with the pairs: every document, the document that stands for it, the size of its class."""
+    found = word_classes(spark, sf_dir)
+    return found.join(found.groupBy("rep").agg(F.count("*").alias("n")), "rep").select("doc_id", "rep", "n")
+
+
+@query(SETS + """, i AS (SELECT term, ln(((SELECT count(*) FROM z) + 2.0) / (count(*) + 1)) + 1 AS idf FROM u GROUP BY term), x AS (SELECT doc_id, term, tf * idf AS x FROM u JOIN i USING (term)),
+  n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM x GROUP BY doc_id), v AS (SELECT doc_id, term, x / norm AS w FROM x JOIN n USING (doc_id)),
+  s AS (SELECT v1.doc_id AS a, v2.doc_id AS b, sum(v1.w * v2.w) AS cosine FROM v v1 JOIN v v2 ON v1.term = v2.term AND v1.doc_id < v2.doc_id GROUP BY ALL) SELECT a, b, round(cosine, 6) AS cosine FROM s WHERE cosine >= 0.8""")
 def tfidf_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    tf = d.select("doc_id", F.explode(plain_words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    frequencies = similarity.idf(tf, d.count())
-    vectors = similarity.unit_vectors(tf, frequencies)
-    pairs = similarity.pairs_by_key(tf.select("doc_id", F.col("term").alias("key")), 20).filter("shared >= 5").select("a", "b")
-    a, b = vectors.select(F.col("doc_id").alias("a"), "term", F.col("w").alias("wa")), vectors.select(F.col("doc_id").alias("b"), "term", F.col("w").alias("wb"))
-    return pairs.join(a, "a").join(b, ["b", "term"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine"))
+    """All pairs of different texts at a TF-IDF cosine of 0.8 or more over all their words."""
+    tf = written(class_terms(spark, sf_dir), "terms")
+    frequencies = similarity.idf(tf, tf.select("doc_id").distinct().count())
+    vectors = written(similarity.unit_vectors(tf, frequencies), "vectors")
+    return similarity.cosine_pairs(vectors, 0.8).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query("""WITH q AS (SELECT vec_id AS q, embedding AS x FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q, vec_id, list_cosine_similarity(x, embedding) AS cosine FROM q, embeddings WHERE vec_id <> q)

@@ -196,6 +196,33 @@ def test_similarity(spark):
     assert {r.node: r.component for r in graph.connected_components(spark.createDataFrame([(1, 2), (3, 2), (9, 8)], "a long, b long")).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
 
 
+@pytest.mark.parametrize("n", [25, 100, 1000])
+def test_groups_of_equal_texts_keep_their_links(spark, tmp_path, n):
+    from storyline.plans import registry
+
+    rows = [(i, "one text that all of these have in common") for i in range(n)] + [(n, "one text that all of these have in common too"), (n + 1, "quite another story"), (n + 2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.event_id for r in registry.QUERIES["cluster_components"](spark, str(tmp_path)).collect()}
+    assert found == {**{i: 0 for i in range(n + 1)}, n + 1: n + 1, n + 2: n + 2}
+    assert [(r.a, r.b, r.shared) for r in registry.QUERIES["jaccard_pairs_blocked"](spark, str(tmp_path)).collect()] == [(0, n, 9)]
+
+
+def test_exact_pairs_against_all_pairs(spark):
+    import random
+
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    sets = {i: set(draw.choices(words[: draw.choice([6, 40])], k=draw.randrange(1, 12))) for i in range(120)}
+    terms = spark.createDataFrame([(i, w) for i, s in sets.items() for w in s], "doc_id long, term string")
+    plain = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    for least in (0.5, 0.8):
+        found = {(r.a, r.b): r.jaccard for r in similarity.jaccard_pairs(terms, least).collect()}
+        assert found == {k: v for k, v in plain.items() if v >= least}
+    unit = terms.withColumn("w", 1 / F.sqrt(F.count("*").over(__import__("pyspark").sql.Window.partitionBy("doc_id"))))
+    found = {(r.a, r.b) for r in similarity.cosine_pairs(unit, 0.6).collect()}
+    assert found == {(a, b) for (a, b) in plain if len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5 >= 0.6 + 1e-12} | {p for p in found if abs(len(sets[p[0]] & sets[p[1]]) / (len(sets[p[0]]) * len(sets[p[1]])) ** 0.5 - 0.6) < 1e-9}
+
+
 def test_commands(spark):
     def parsed(t):
         return [(c.kind, c.slot, c.modifiers) for c in one(spark, commands.parse, t)]
