@@ -7,12 +7,15 @@ itself), after a ranking window, so a group holds at most that many rows.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyline.operators.rollup import verification_status
 from storyline.settings import FunnelSettings
+from storyline.sources.scratch import written
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
@@ -116,3 +119,44 @@ def pick_final(candidates: DataFrame, n: int, look_ahead: int = 80) -> DataFrame
 
     types = dict(candidates.dtypes)
     return best.groupBy("run_id").applyInPandas(pick, f"run_id {types['run_id']}, event_id {types['event_id']}, position int")
+
+
+#: What a verification leaves of a score.
+VERIFIED = {"multi_confirmed": 1.0, "confirmed": 0.97, "needs_check": 0.8, "rejected": 0.0}
+
+
+def run(pool: DataFrame, settings: FunnelSettings) -> DataFrame:
+    """The four stages as a decision log: run_id, event_id, stage, decision, position (of kept ones), reason.
+
+    pool: run_id, event_id, score, bucket, theme, category and the columns of the stages' rules and of the
+    verification. Each stage reads what the one before kept: at most stages[i] rows of a run, written once.
+    """
+    first, second, third, final = settings.stages
+    log = []
+
+    def note(df: DataFrame, stage: str, decision: str, reason: Column, position: Column | None = None) -> None:
+        place = position if position is not None else F.lit(None).cast("int")
+        log.append(df.select("run_id", "event_id", F.lit(stage).alias("stage"), F.lit(decision).alias("decision"), place.alias("position"), reason.alias("reason")))
+
+    def stage(df: DataFrame, name: str, rules: list[tuple[str, Column]], n: int, too_low: str) -> DataFrame:
+        judged = written(df.withColumn("why", first_reason(rules) if rules else F.lit(None).cast("string")), f"funnel-{name}")
+        note(judged.filter("why IS NOT NULL"), name, "dropped", F.col("why"))
+        good = judged.filter("why IS NULL").drop("why")
+        kept = written(select_balanced(good, n, settings), f"funnel-{name}-kept")
+        note(kept, name, "kept", F.lit(None).cast("string"), F.col("position"))
+        note(good.join(kept, ["run_id", "event_id"], "left_anti"), name, "dropped", F.lit(too_low))
+        return good.join(kept.select("run_id", "event_id"), ["run_id", "event_id"])
+
+    s1 = stage(pool, "s50", stage_one(settings), first, "not among the best")
+    s2 = stage(s1, "s15", stage_two(settings), second, "not among the strongest")
+    status = verification_status(s2.drop("score")).select("run_id", "event_id", "status")
+    checked = s2.join(status, ["run_id", "event_id"])
+    nth = F.row_number().over(Window.partitionBy("run_id", "status").orderBy(F.desc("score"), "event_id"))
+    factor = F.create_map(*(F.lit(x) for kv in VERIFIED.items() for x in kv))
+    checked = checked.withColumn("nth", nth).withColumn("score", F.round(F.col("score") * F.element_at(factor, F.col("status")), 2))
+    rules = [("rejected by verification", F.col("status") == "rejected"), ("needs a check", (F.col("status") == "needs_check") & (F.col("nth") > settings.max_unverified))]
+    s3 = written(stage(checked, "s10", rules, third, "not among the verified"), "funnel-s10-rows")
+    chosen = written(pick_final(s3.filter(F.col("score") >= settings.score_floor), final), "funnel-s5")
+    note(chosen, "s5", "kept", F.lit(None).cast("string"), F.col("position"))
+    note(s3.join(chosen, ["run_id", "event_id"], "left_anti"), "s5", "dropped", F.lit("kept in reserve"))
+    return reduce(DataFrame.unionByName, log)

@@ -223,6 +223,46 @@ def test_exact_pairs_against_all_pairs(spark):
     assert found == {(a, b) for (a, b) in plain if len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5 >= 0.6 + 1e-12} | {p for p in found if abs(len(sets[p[0]] & sets[p[1]]) / (len(sets[p[0]]) * len(sets[p[1]])) ** 0.5 - 0.6) < 1e-9}
 
 
+def test_funnel_run_equals_plain_python(spark):
+    from storyline.plans import story_queries
+
+    sf = "/root/testdata/sf0.001"
+    pool = story_queries.pool(spark, sf).withColumn("run_id", F.col("run_id") % 2)
+    pool = pool.groupBy("run_id", "event_id").agg(*(F.max_by(c, "trend_score").alias(c) for c in pool.columns if c not in ("run_id", "event_id")))
+    settings = story_queries.SETTINGS
+    rules = [funnel.first_reason(funnel.stage_one(settings)).alias("r1"), funnel.first_reason(funnel.stage_two(settings)).alias("r2")]
+    status = {(r.run_id, r.event_id): r.status for r in rollup.verification_status(pool.drop("score")).select("run_id", "event_id", "status").collect()}
+    rows = [r.asDict() for r in pool.select("*", *rules).collect()]
+    target, expected = {"KZ": settings.geo_target, "WORLD": 1 - settings.geo_target}, set()
+
+    def ordered(rs):
+        return sorted(rs, key=lambda r: (-r["score"], r["event_id"]))
+
+    def stage(rs, name, reason, n, low):
+        good = ordered(r for r in rs if not reason(r))
+        picked = funnel.balanced([(r["score"], r["bucket"]) for r in good], n, target, settings.geo_strength, settings.look_ahead)
+        expected.update((r["run_id"], r["event_id"], name, "dropped", None, reason(r)) for r in rs if reason(r))
+        expected.update((good[i]["run_id"], good[i]["event_id"], name, "kept", k, None) for k, i in enumerate(picked, 1))
+        expected.update((r["run_id"], r["event_id"], name, "dropped", None, low) for i, r in enumerate(good) if i not in picked)
+        return [good[i] for i in picked]
+
+    for run in (0, 1):
+        s1 = stage([r for r in rows if r["run_id"] == run], "s50", lambda r: r["r1"], settings.stages[0], "not among the best")
+        s2 = stage(s1, "s15", lambda r: r["r2"], settings.stages[1], "not among the strongest")
+        unsure = [r["event_id"] for r in ordered(s2) if status[run, r["event_id"]] == "needs_check"][settings.max_unverified :]
+        why = {r["event_id"]: "rejected by verification" if status[run, r["event_id"]] == "rejected" else "needs a check" if r["event_id"] in unsure else None for r in s2}
+        for r in s2:
+            r["score"] = round(r["score"] * funnel.VERIFIED[status[run, r["event_id"]]], 2)
+        s3 = stage(s2, "s10", lambda r: why[r["event_id"]], settings.stages[2], "not among the verified")
+        good = ordered(r for r in s3 if r["score"] >= settings.score_floor)
+        final = funnel.diversified([(r["score"], r["theme"], r["category"]) for r in good], settings.stages[3])
+        expected.update((run, good[i]["event_id"], "s5", "kept", k, None) for k, i in enumerate(final, 1))
+        ids = {good[i]["event_id"] for i in final}
+        expected.update((run, r["event_id"], "s5", "dropped", None, "kept in reserve") for r in s3 if r["event_id"] not in ids)
+    found = {tuple(r) for r in funnel.run(pool, settings).select("run_id", "event_id", "stage", "decision", "position", "reason").collect()}
+    assert found == expected and {e[2] for e in expected} == {"s50", "s15", "s10", "s5"}
+
+
 def test_commands(spark):
     def parsed(t):
         return [(c.kind, c.slot, c.modifiers) for c in one(spark, commands.parse, t)]
