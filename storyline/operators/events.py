@@ -34,7 +34,7 @@ def story_stats(events: DataFrame, now: Column, window_s: int) -> DataFrame:
 
 
 def phase(age_first: Column, age_last: Column, n_independent: Column, v_now: Column, v_prev: Column, freshness: Column, max_age_h: float) -> Column:
-    """stale, emerging, rising, peak or fading: the first rule that fits."""
+    """stale, emerging, rising, peak or fading: the first rule that fits. The numbers are fixed values."""
     return (
         F.when((age_first > max_age_h) | (freshness < 0.08), "stale")
         .when((n_independent <= 2) & (age_first < 8), "emerging")
@@ -65,7 +65,7 @@ def trend(stats: DataFrame, now: Column, settings: TrendSettings) -> DataFrame:
 
 
 def full_score(events: DataFrame, settings: TrendSettings) -> DataFrame:
-    """The thirteen-component score with penalties, from ready inputs.
+    """The thirteen-component score with penalties, from ready inputs. The numbers are fixed values.
 
     Columns: the thirteen component names of SCORE_WEIGHTS, clickbait, ad, hedge, opinion (shares), injection (boolean),
     repeat_sim. Adds trend_score, interest and value.

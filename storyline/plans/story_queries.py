@@ -190,3 +190,17 @@ def merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = story_events(spark, sf_dir).select("id", F.col("story").alias("event_id"))
     merges = e.select("event_id").distinct().filter("event_id >= 5").withColumn("survivor", F.col("event_id") % 5)
     return rollup.follow_merges(e, merges).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+#: Events read as a state log of publications.
+STATES = {"view": "draft", "click": "awaiting_approval", "signup": "scheduled", "purchase": "publishing", "error": "error"}
+ALLOWED = " OR ".join(f"(before = '{a}' AND state IN ({', '.join(repr(x) for x in b)}))" for a, b in publishing.MOVES.items() if b)
+STATE_OF = " ".join(f"WHEN '{t}' THEN '{state}'" for t, state in STATES.items())
+
+
+@query(f"WITH s AS (SELECT event_id, user_id, ts, CASE event_type {STATE_OF} END AS state FROM events), l AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s) SELECT event_id, before, state FROM l WHERE before IS NOT NULL AND NOT ({ALLOWED})")
+def publication_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves that a publication may not make, by the table of moves."""
+    names = F.create_map(*(F.lit(x) for kv in STATES.items() for x in kv))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("sec"), F.element_at(names, F.col("event_type")).alias("state"))
+    return publishing.illegal_moves(e, publishing.MOVES).select(F.col("id").alias("event_id"), "before", "state")

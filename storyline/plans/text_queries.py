@@ -71,9 +71,15 @@ def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", lexicon.count(F.lower("text"), WORDS).alias("hits"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)\b(password|passwd|secret|token|api[_-]?key)(\s*[:=]\s*)["'']?[^\s"'',;]{4,}["'']?', '\1\2[redacted]', 'g'), '\bAKIA[A-Z0-9]{12,}', '[redacted]', 'g')) AS digest FROM documents""")
+REDACTED = "coalesce(text, '')"
+for _rx, _to in text.SECRET_RULES:  # one replacement after the other, in the rules' order
+    REDACTED = f"""regexp_replace({REDACTED}, '{_rx.replace("'", "''")}', '{_to.replace("$1", chr(92) + "1")}', 'g')"""
+
+
+@query(f"SELECT doc_id, md5({REDACTED}) AS digest, {REDACTED} <> coalesce(text, '') AS changed FROM documents")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.md5(text.redact(F.col("text")).cast("binary")).alias("digest"))
+    found = docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text.redact(F.col("text")).alias("redacted"))
+    return found.select("doc_id", F.md5(F.col("redacted").cast("binary")).alias("digest"), (F.col("redacted") != F.col("text")).alias("changed"))
 
 
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?]\s')) AS INTEGER) AS ends, CAST(len(regexp_extract_all(text, '!')) AS INTEGER) AS exclaims,
