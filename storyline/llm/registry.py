@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyline.llm import decontaminate, fertility, licenses, packing, pii, secret_scan, sharding, simhash, toxicity, urls
+from storyline.llm import decontaminate, fertility, licenses, packing, parity, pii, resampling, secret_scan, sharding, simhash, toxicity, urls, whitening
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_personal_data": pii.query,
     "op10_best_fit_packing": packing.query,
+    "op11_parity_jaccard": parity.query,
+    "op12_importance_resampling": resampling.query,
+    "op13_whitening": whitening.query,
 }
-ORACLE_SQL = {"op6_benchmark_decontamination": decontaminate.ORACLE}
+ORACLE_SQL = {"op6_benchmark_decontamination": decontaminate.ORACLE, "op12_importance_resampling": resampling.ORACLE}
