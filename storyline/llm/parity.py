@@ -12,14 +12,15 @@ most (a + b) (1 - t) / (1 + t) for sets of a and b members. The sketch is used a
 Size bands: sizes go to windows [l, 2 l] such that any two sizes at a ratio of t share one; a window has one number of
 segments. A set of n members in a window differs from a partner there in at most D(n); it gives the keys of its first
 D(n) + 1 segments that are not empty, rare ones first. At most D of those are touched in any pair, so a pair has an
-equal one among the keys of both. A set with too few segments that are not empty, or with too few rare ones, gives all of
-its keys. Which keys are frequent is estimated on an eighth of the texts: it changes the order, never the result.
+equal one among the keys of both. A set with too few segments that are not empty gives all of its keys. Which keys are
+frequent is estimated on an eighth of the texts: it changes the order, never the result.
 
 Equal sets are merged before keys are made. A key of two sets is a pair. Of a key of more sets all are paired with one of
-them; then components are taken, and only sets of different components that share such a key meet again. A pair of those
-must share so many keys that the untouched segments suffice, and pass the folded sketch, before its sets are read. Keys
-that are frequent in the estimate never meet in one task: they are counted with partial sums, and their joins can be
-split. What stays quadratic are sets that consist of frequent segments almost wholly and are yet no links.
+them; then components are taken, and only sets of different components that share such a key meet again. The rows of that
+join carry sketches of 1024 bits, so that pairs beyond the bound are no rows of its result; the others' sketches at full
+width are compared before their sets are read. Keys that are frequent in the estimate never meet in one task: they are
+counted with partial sums, and their joins can be split. What stays quadratic is the comparison of sketches between sets
+that share frequent keys and are no links, as in a large group of texts that stay just under the threshold.
 
 Defined results: null and empty texts and texts without words have an empty set, which is linked with nothing, itself
 and other empty ones included; fewer words than a shingle are one shingle; a null doc_id takes part in links, and a
@@ -31,6 +32,8 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,9 @@ NUM, DEN = 4, 5  # the threshold as a fraction: whole numbers keep the bounds ex
 #: A key of FREQUENT or more of an eighth of the texts is frequent; at most MOST keys are, by a higher bound.
 FREQUENT, MOST = 4, 2_000_000
 
+#: Bits of the sketches that joins compare.
+NARROW = 1024
+
 NONE = np.zeros(0, np.int64)
 
 
@@ -121,19 +127,19 @@ def segment_keys(tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return keys.view(np.int64), digests != 0
 
 
-def chosen_keys(tokens: np.ndarray, window: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rare keys and frequent keys that a set gives in a window, and how many it has there (all those given, at least)."""
+def chosen_keys(tokens: np.ndarray, window: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rare keys and frequent keys that a set gives in a window."""
     most = most_differing(tokens.size, window)
     if not most:  # only equal sets are links
-        return NONE, NONE, 0
+        return NONE, NONE
     keys, full = segment_keys(tokens, window)
-    enough = int(full.sum()) > most
-    if enough:
-        keys = keys[full]
+    if int(full.sum()) <= most:
+        hot = is_in(keys, frequent)
+        return keys[~hot], keys[hot]
+    keys = keys[full]
     hot = is_in(keys, frequent)
-    if enough and keys.size - int(hot.sum()) > most:
-        return keys[~hot][: most + 1], NONE, keys.size
-    return keys[~hot], keys[hot], keys.size
+    rare = keys[~hot][: most + 1]
+    return rare, keys[hot][: most + 1 - rare.size]
 
 
 def is_in(values: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -143,18 +149,18 @@ def is_in(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), of.size - 1)] == values
 
 
-def folded(tokens: np.ndarray) -> bytes:
-    """The sketch at a power of two of bits, two to four a token."""
-    bits = max(64, 1 << (2 * tokens.size - 1).bit_length())
+def folded(tokens: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """The sketch at a power of two of bits (two to four a token, NARROW at least) as words of 64."""
+    bits = bits or max(NARROW, 1 << (2 * tokens.size - 1).bit_length())
     at = (mixed(tokens) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
-def distance(a: bytes, b: bytes) -> int:
+def distance(a: np.ndarray, b: np.ndarray) -> int:
     """Hamming distance of two sketches at the width of the narrower."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    x, y = (x, y) if x.size <= y.size else (y, x)
-    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, x.size), axis=0) ^ x).sum())
+    x, y = (a, b) if a.size <= b.size else (b, a)
+    apart = np.bitwise_xor.reduce(y.reshape(-1, x.size), axis=0) ^ x
+    return int(np.bitwise_count(apart.view(np.uint64)).sum())  # of signed numbers it would count the absolute value
 
 
 def uid_of(tokens: np.ndarray) -> int | None:
@@ -186,28 +192,22 @@ def frequent_keys(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_hash, uid (of the set, null if empty), n, in_windows (window, segments, given), sketch, rare and
-    often (keys)."""
+    """row, doc_id, text_hash, uid (of the set, null if empty), n, sketch and narrow (words of bits), rare and often (keys)."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs))
+    arrays = ("sketch", "narrow", "rare", "often")
 
     def rows(cols: dict[str, list]) -> dict:
-        out: dict[str, list] = {c: cols[c] for c in ("row", "doc_id", "text_hash")} | {c: [] for c in ("uid", "n", "in_windows", "sketch", "rare", "often")}
+        out: dict[str, list] = {c: cols[c] for c in ("row", "doc_id", "text_hash")} | {c: [] for c in ("uid", "n", *arrays)}
         for text in cols["text"]:
             tokens = shingles(text)
-            places = windows_of(tokens.size)
-            chosen = [chosen_keys(tokens, w, frequent.value) for w in places]
-            out["uid"].append(uid_of(tokens))
-            out["n"].append(tokens.size)
-            out["in_windows"].append([{"window": w, "f": f, "all": r.size + o.size == f} for w, (r, o, f) in zip(places, chosen)])
-            out["sketch"].append(folded(tokens) if tokens.size else None)
-            out["rare"].append(np.concatenate([NONE, *(r for r, _, _ in chosen)]))
-            out["often"].append(np.concatenate([NONE, *(o for _, o, _ in chosen)]))
+            chosen = [chosen_keys(tokens, w, frequent.value) for w in windows_of(tokens.size)]
+            keys = (np.concatenate([NONE, *(c[k] for c in chosen)]) for k in (0, 1))
+            for name, value in zip(("uid", "n", *arrays), (uid_of(tokens), tokens.size, folded(tokens), folded(tokens, NARROW), *keys)):
+                out[name].append(value)
         return out
 
     longs = [T.StructField(c, T.LongType()) for c in ("row", "doc_id", "text_hash", "uid", "n")]
-    window = T.StructType([T.StructField("window", T.LongType()), T.StructField("f", T.LongType()), T.StructField("all", T.BooleanType())])
-    keys = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "often")]
-    schema = T.StructType([*longs, T.StructField("in_windows", T.ArrayType(window)), T.StructField("sketch", T.BinaryType()), *keys])
+    schema = T.StructType([*longs, *(T.StructField(c, T.ArrayType(T.LongType())) for c in arrays)])
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return written(map_rows(given, schema, rows, 200), "parity-rows")
 
@@ -273,8 +273,11 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))
-            yield batch.select([0, 1]).filter(pa.array([distance(x, y) <= differing(m + n) for m, n, x, y in members], pa.bool_()))
+            keep = []
+            for at, m, n in zip(range(batch.num_rows), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = (batch.column(k).slice(at, 1).flatten().to_numpy() for k in (4, 5))
+                keep.append(distance(x, y) <= differing(m + n))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left = written(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long"), "near")
     uids = left.select(F.col("a").alias("uid")).unionByName(left.select(F.col("b").alias("uid"))).distinct()
@@ -295,16 +298,12 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def enough() -> Column:
-    """Whether a pair with c keys of `apart` in common, in one window, can be a link.
-
-    f segments of either (k of them are keys in `apart`), of which at most the bound differ. An equal segment that is not
-    counted in c is no such key of one side; where both give all of their segments, of neither.
-    """
-    bound = F.floor((F.col("na") + F.col("nb")) * (DEN - NUM) / (DEN + NUM))
-    a, b = F.col("fa") - F.col("ka"), F.col("fb") - F.col("kb")
-    others = F.when(F.col("alla") & F.col("allb"), F.least(a, b)).otherwise(a + b)
-    return F.col("c") + others >= F.least("fa", "fb") - bound
+def similar() -> Column:
+    """Whether a pair's sizes and narrow sketches allow the threshold."""
+    sizes = (DEN * F.col("na") >= NUM * F.col("nb")) & (DEN * F.col("nb") >= NUM * F.col("na"))
+    words = (F.bit_count(F.col("xa")[k].bitwiseXOR(F.col("xb")[k])) for k in range(NARROW // 64))
+    apart = reduce(add, words)
+    return sizes & (apart <= F.floor((F.col("na") + F.col("nb")) * (DEN - NUM) / (DEN + NUM)))
 
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -320,20 +319,14 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     rest = met.filter("NOT pair").select("key", F.col("a").alias("uid")).unionByName(hot)
     rest = written(rest.join(joined, "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("label")), "labelled")
     apart = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key")
-    window = F.col("key").bitwiseAND(F.lit(63)).alias("window")
-    in_keys = rest.groupBy("uid", window).agg(F.count("*").alias("k"))
-    sizes = sets.select("uid", "n", F.explode("in_windows").alias("w")).select("uid", "n", "w.*").join(in_keys, ["uid", "window"])
-    rest = written(rest.join(apart, "key").withColumn("window", window).join(sizes, ["uid", "window"]), "apart")
-    columns = ("label", "n", "f", "k", "all")
+    rest = written(rest.join(apart, "key").join(sets.select("uid", "n", F.col("narrow").alias("x")), "uid"), "apart")
 
     def side(x: str) -> DataFrame:
-        return rest.select("key", F.col("uid").alias(x), *(F.col(c).alias(f"{c}{x}") for c in columns))
+        return rest.select("key", F.col("uid").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("label", "n", "x")))
 
-    similar = (DEN * F.col("na") >= NUM * F.col("nb")) & (DEN * F.col("nb") >= NUM * F.col("na"))
-    pairs = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb")) & similar)
-    by = [f"{c}{x}" for c in columns[1:] for x in "ab"]
-    counted = pairs.groupBy("a", "b", window, *by).agg(F.count("*").alias("c")).filter(enough()).select("a", "b").distinct()
-    out = first.unionByName(verified(counted, docs, sets))
+    met_again = (F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb")) & similar()
+    pairs = side("a").join(side("b"), "key").filter(met_again).select("a", "b").distinct()
+    out = first.unionByName(verified(pairs, docs, sets))
     discard(hot, met, joined, rest)
     return out
 
