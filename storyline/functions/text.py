@@ -60,7 +60,7 @@ SECRET_RULES = (
     (r"\bIG[A-Za-z0-9]{40,}\b", "[instagram-token]"),
     (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{12,}", "Bearer [redacted]"),
     (r"\bsk-[A-Za-z0-9_-]{16,}\b", "[api-key]"),
-    (r"\bsmi_[A-Za-z0-9_-]{20,}\b", "[smi-token]"),
+    (r"\b[a-z]{3}_[A-Za-z0-9_-]{20,}\b", "[service-token]"),
     (r"(?i)((?:access_token|refresh_token|client_secret|api[_-]?key|password|passwd|secret|token|fb_exchange_token)=)[^&\s\"']+", "$1[redacted]"),
     (r"(?i)(\"(?:access_token|refresh_token|client_secret|api[_-]?key|password|secret|token)\"\s*:\s*\")[^\"]+", "$1[redacted]"),
     (r"(?i)(/bot)\d{6,12}:[A-Za-z0-9_-]{30,}", "$1[telegram-token]"),
