@@ -9,7 +9,7 @@ from storyline.operators import checks
 
 
 def results(spark, **inputs):
-    df = spark.range(1).selectExpr(*(f"{v} AS {k}" for k, v in inputs.items()))
+    df = spark.range(1).selectExpr(*(f"{v} AS {k}" for k, v in ({"body": "'text'"} | inputs).items()))
     row = checks.checked(df).first()
     return {r.key: (r.status, r.blocks) for r in row.results}, row.passed, row.blocks
 
