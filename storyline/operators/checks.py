@@ -120,11 +120,25 @@ def media_findings(assets: DataFrame) -> DataFrame:
 TOLERANCE = 0.01
 
 
-def number_bucket(v: Column) -> Column:
-    """Numbers that count as one lie in the same or in neighbouring buckets: steps of twice the tolerance on a log scale."""
-    size = F.abs(v)
-    step = F.floor(F.log(size) / F.log(F.lit(1 + 2 * TOLERANCE))).cast("long")
-    return F.when(size < 1e-9, F.lit(-(2**40))).otherwise(step)
+#: Below this size numbers are compared by their difference (1e-9) instead of their ratio.
+SMALL = 2e-7
+
+
+def log_bucket(v: Column) -> Column:
+    """Steps of twice the tolerance: numbers that count as one lie in the same or in neighbouring ones."""
+    return F.floor(F.log(F.abs(v)) / F.log(F.lit(1 + 2 * TOLERANCE))).cast("long")
+
+
+def even_bucket(v: Column) -> Column:
+    """Steps of 2e-9, apart from all others."""
+    return F.floor(v / 2e-9).cast("long") - F.lit(2**40)
+
+
+def buckets_near(v: Column) -> Column:
+    """Buckets of all numbers that count as a known one."""
+    around = lambda b: F.array(*(b + k for k in (-1, 0, 1)))
+    none = F.array().cast("array<bigint>")
+    return F.concat(F.when(F.abs(v) < 1.5 * SMALL, around(even_bucket(v))).otherwise(none), F.when(F.abs(v) > 0.5 * SMALL, around(log_bucket(v))).otherwise(none))
 
 
 def ungrounded_numbers(drafts: DataFrame, sources: DataFrame) -> DataFrame:
@@ -134,8 +148,8 @@ def ungrounded_numbers(drafts: DataFrame, sources: DataFrame) -> DataFrame:
     empty unit fits any. Of a group's equal numbers only the first place is kept, so that a group's size doesn't matter.
     """
     known = sources.groupBy("group", "v", "unit").agg(F.min("place").alias("since"))
-    near = known.select("group", F.col("v").alias("kv"), F.col("unit").alias("ku"), "since", F.explode(F.array(*(number_bucket(F.col("v")) + k for k in (-1, 0, 1)))).alias("bucket"))
-    asked = drafts.withColumn("bucket", number_bucket(F.col("v")))
+    near = known.select("group", F.col("v").alias("kv"), F.col("unit").alias("ku"), "since", F.explode(buckets_near(F.col("v"))).alias("bucket"))
+    asked = drafts.withColumn("bucket", F.when(F.abs("v") < SMALL, even_bucket(F.col("v"))).otherwise(log_bucket(F.col("v"))))
     fits = (F.abs(F.col("v") - F.col("kv")) <= F.greatest(F.lit(1e-9), TOLERANCE * F.abs(F.col("kv")))) & ((F.col("unit") == F.col("ku")) | (F.col("unit") == "") | (F.col("ku") == ""))
     found = asked.join(near, ["group", "bucket"]).filter(fits & (F.col("since") < F.col("place"))).select("draft", "v", "unit").distinct()
     judged = drafts.select("draft", "v", "unit").distinct().join(found.withColumn("ok", F.lit(1)), ["draft", "v", "unit"], "left")
