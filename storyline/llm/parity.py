@@ -15,10 +15,11 @@ D(n) + 1 segments that are not empty, rare ones first. At most D of those are to
 equal one among the keys of both. A set with too few segments that are not empty gives all of its keys. Which keys are
 frequent is estimated on an eighth of the texts: it changes the order, never the result.
 
-Equal sets are merged before keys are made. A key of two sets is a pair. Of a key of more sets all are paired with one of
-them; then components are taken, and only sets of different components that share such a key meet again. The rows of that
-join carry sketches of 1024 bits, so that pairs beyond the bound are no rows of its result; the others' sketches at full
-width are compared before their sets are read. Keys that are frequent in the estimate never meet in one task: they are
+Equal sets are merged before keys are made. A key of two sets is a pair. Of a key of more sets all are paired with its
+first and its last one; then components are taken, and only sets of different components that share such a key meet
+again: with one of the key, drawn by hash, and after new components all with all. The rows of these joins carry sketches of
+1024 bits, so that pairs beyond the bound are no rows of the result; the others' sketches at full width are compared
+before their sets are read. Keys that are frequent in the estimate never meet in one task: they are
 counted with partial sums, and their joins can be split. What stays quadratic is the comparison of sketches between sets
 that share frequent keys and are no links, as in a large group of texts that stay just under the threshold.
 
@@ -221,8 +222,8 @@ def one_of_each(found: DataFrame) -> DataFrame:
 
 
 def meetings(keyed: DataFrame) -> DataFrame:
-    """Of keyed (key, uid), each once: pairs (a, b) of keys of two sets; for keys of more sets the pairs (a, b) of one set
-    with all others, and rows (key, a) of all its sets."""
+    """Of keyed (key, uid), each once: pairs (a, b) of keys of two sets; for keys of more sets the pairs (a, b) of the first
+    and of the last one with all others, and rows (key, a) of all its sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by key: a key's run may cross batches, so the last run waits for the next batch."""
@@ -232,12 +233,13 @@ def meetings(keyed: DataFrame) -> DataFrame:
             if keys.size:
                 starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
                 sizes = np.diff(np.append(starts, keys.size))
-                run, size = np.repeat(np.minimum.reduceat(uids, starts), sizes), np.repeat(sizes, sizes)
-                linked, many = (size > 1) & (uids != run), size > 2
-                both = zip((np.zeros(int(linked.sum()), np.int64), run[linked], uids[linked]), (keys[many], uids[many], uids[many]))
-                columns = [pa.array(np.concatenate(x)) for x in both]
-                pair = pa.array(np.concatenate((np.ones(int(linked.sum()), bool), np.zeros(int(many.sum()), bool))))
-                yield pa.RecordBatch.from_arrays([pair, *columns], names=["pair", "key", "a", "b"])
+                size = np.repeat(sizes, sizes)
+                first, last = (np.repeat(f.reduceat(uids, starts), sizes) for f in (np.minimum, np.maximum))
+                up, down, many = (size > 1) & (uids != first), (size > 2) & (uids != last), size > 2
+                a, b = np.concatenate((first[up], uids[down])), np.concatenate((uids[up], last[down]))
+                pair = np.concatenate((np.ones(a.size, bool), np.zeros(int(many.sum()), bool)))
+                columns = (pair, np.concatenate((np.zeros(a.size, np.int64), keys[many])), np.concatenate((a, uids[many])), np.concatenate((b, uids[many])))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair", "key", "a", "b"])
 
         for batch in batches:
             keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False)))
@@ -306,28 +308,41 @@ def similar() -> Column:
     return sizes & (apart <= F.floor((F.col("na") + F.col("nb")) * (DEN - NUM) / (DEN + NUM)))
 
 
+def apart(rest: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """key, uid, label, n, x (narrow sketch) of the keys of rest (key, uid) whose sets are in several components of the links
+    found; a written table."""
+    joined = connected_components(found).select(F.col("node").alias("uid"), "component")
+    labelled = written(rest.join(joined, "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("label")), "labelled")
+    several = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key")
+    out = written(labelled.join(several, "key").join(sets.select("uid", "n", F.col("narrow").alias("x")), "uid"), "apart")
+    discard(labelled)
+    return out
+
+
+def side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select("key", F.col("uid").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("label", "n", "x")))
+
+
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different sets at the threshold or more that connect all such pairs."""
     cold = sets.select("uid", F.explode("rare").alias("key")).select("key", "uid")
     hot = written(sets.select("uid", F.explode("often").alias("key")).select("key", "uid"), "frequent-keys")
     met = written(meetings(cold), "meetings")
-    hubs = hot.groupBy("key").agg(F.min("uid").alias("a"))
-    stars = hot.join(hubs, "key").filter("uid <> a").select("a", F.col("uid").alias("b"))
-    first = verified(met.filter("pair").select("a", "b").unionByName(stars).distinct(), docs, sets)
+    ends = hot.groupBy("key").agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
+    stars = hot.join(ends, "key").select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("uid").alias("b")), F.struct(F.col("uid").alias("a"), F.col("last").alias("b")))).alias("p"))
+    pairs = met.filter("pair").select("a", "b").unionByName(stars.select("p.*").filter("a <> b"))
+    found = verified(pairs.distinct(), docs, sets)
 
-    joined = written(connected_components(first).select(F.col("node").alias("uid"), "component"), "joined")
     rest = met.filter("NOT pair").select("key", F.col("a").alias("uid")).unionByName(hot)
-    rest = written(rest.join(joined, "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("label")), "labelled")
-    apart = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key")
-    rest = written(rest.join(apart, "key").join(sets.select("uid", "n", F.col("narrow").alias("x")), "uid"), "apart")
-
-    def side(x: str) -> DataFrame:
-        return rest.select("key", F.col("uid").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("label", "n", "x")))
-
-    met_again = (F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb")) & similar()
-    pairs = side("a").join(side("b"), "key").filter(met_again).select("a", "b").distinct()
-    out = first.unionByName(verified(pairs, docs, sets))
-    discard(hot, met, joined, rest)
+    rows = apart(rest, sets, found)
+    one = rows.groupBy("key").agg(F.min_by(F.struct("uid", "label", "n", "x"), F.xxhash64("uid", "key")).alias("h")).select("key", "h.*")
+    drawn = side(one, "a").join(side(rows, "b"), "key").filter((F.col("labela") != F.col("labelb")) & similar())
+    found = written(found.unionByName(verified(drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, sets)), "links")
+    discard(rows)
+    rows = apart(rest, sets, found)
+    pairs = side(rows, "a").join(side(rows, "b"), "key").filter((F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb")) & similar())
+    out = written(found.unionByName(verified(pairs.select("a", "b").distinct(), docs, sets)), "links")
+    discard(hot, met, found, rows)
     return out
 
 
