@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from storyline.sources.scratch import clear, discard, exists, shared_dir, written  # noqa: F401  (shared by the operators from here)
+from storyline.sources.scratch import clear, discard, exists, folder_of, shared_dir, written  # noqa: F401  (shared by the operators from here)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -7,9 +7,9 @@ keywords, a regular expression over words, a label, a weight (its priority) and
 
 Gates in three steps: a text without any word of a short list is done; then a rule's own keywords must occur; the
 references of a template are tried only if one expression over all its families, which Java compiles once, finds any.
-Matches are intervals of words. They are resolved in the order of (start, longer first, rule order): a match that lies
-inside the one kept last, or overlaps it, goes unless its weight is higher, in which case the kept one goes. That
-resolves `apache license` inside `licensed under the apache license version 2 0`. Base phrases are never suppressed.
+Matches are intervals of words. They are resolved by falling weight, then (start, longer first, rule order): a match stays
+if it overlaps none that stays. That resolves `apache license` inside `licensed under the apache license version 2 0`, and
+what a suppressed match has hidden comes free with it. Base phrases are never suppressed.
 
 DataFrame functions only, one map without a shuffle; rules are a constant of the plan.
 
@@ -318,17 +318,14 @@ INTERVALS = "array<struct<start:int,minus_end:int,rule:int,end:int,label:string,
 
 
 def resolve(found: Column) -> Column:
-    """The matches that stay: of two that overlap the one of higher weight, else the earlier one of the order."""
+    """The matches that stay: by falling weight (then the order of fields) each that overlaps none that stays."""
+    first = F.sort_array(F.transform(found, lambda m: F.struct((-m.weight).alias("minus"), m.alias("m"))))
 
-    def step(state: Column, m: Column) -> Column:
-        apart = m.start >= state["last"].end
-        stronger = m.weight > state["last"].weight
-        kept = F.when(apart, F.concat(state.kept, F.array(state["last"]))).otherwise(state.kept)
-        return F.struct(F.when(apart | stronger, m).otherwise(state["last"]).alias("last"), kept.alias("kept"))
+    def step(kept: Column, x: Column) -> Column:
+        clash = F.exists(kept, lambda k: (k.start < x.m.end) & (x.m.start < k.end))
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x.m)))
 
-    ordered = F.sort_array(found)
-    start = F.struct(F.get(ordered, 0).alias("last"), F.array().cast(INTERVALS).alias("kept"))
-    return F.aggregate(F.slice(ordered, 2, 1 << 30), start, step, lambda s: F.concat(s.kept, F.array(s["last"])))
+    return F.sort_array(F.aggregate(first, F.array().cast(INTERVALS), step))
 
 
 def scan(docs: DataFrame, ordered: list[dict] | None = None) -> DataFrame:

@@ -1,12 +1,19 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are the entities that fixed expressions find (e-mail, address, card, phone). Candidates are all other tokens
-with a digit, runs of digit groups joined by spaces, dots, brackets and hyphens, and written-out mail addresses. Every seed and candidate is an instance that occurs in lexical patterns: the word before it, the word
-behind it, both, or the word before it with its shape. On the graph of patterns and instances Spark iterates: a pattern
-scores by the mean of its instances' scores, drawn to zero by SMOOTHING, or zero with fewer than MIN_INSTANCES; an
-instance that is no seed by the mean of its patterns that have MIN_INSTANCES. Instances over the threshold are discovered identifiers if they
-have about as many digits and signs as seeds of the kind that their best pattern's seeds mostly have; of those within
-a longer one only that stays.
+with a digit, runs of digit groups joined by spaces, dots, brackets and hyphens, and written-out mail addresses. Every
+seed and candidate is an instance that occurs in lexical patterns: the word before it, the word behind it, both, or the
+word before it with its shape. On the graph of patterns and instances Spark iterates: a pattern scores by the mean of its
+instances' scores, drawn to zero by SMOOTHING, times its words' strength; an instance that is no seed by its best
+pattern. Patterns of fewer than MIN_INSTANCES different instances are left out.
+
+Strength holds the patterns against ordinary text: of all places of a word in all texts, the share c that has an instance
+beside it counts as c / (c + CUE). A word that texts are full of says nothing, however many identifiers stand beside it.
+
+Instances over the threshold are discovered identifiers if they can be of the kind that their best pattern's seeds mostly
+have: a card passes its check sum, an address has four parts up to 255, a phone 9 to 15 digits, an e-mail a sign or a
+word for @; and if they have about as many digits and signs as the kind's seeds. Of those within a longer one only that
+stays.
 
 Edges are counted before they are joined: an entity that was copied into a third of all texts is one edge of each of
 its patterns, and a pattern with many instances is joined on the side that Spark can split. DataFrame functions only.
@@ -53,6 +60,12 @@ DOT = r"(?i)\x20?[(\[{<]\x20?(?:dot|\.)\x20?[)\]}>]\x20?|\x20dot\x20"
 
 ROUNDS, MIN_INSTANCES, SMOOTHING, THRESHOLD = 3, 5, 1.0, 0.6
 
+#: Share of a word's places with an instance beside them at which the word is half as strong as it can be.
+CUE = 0.05
+
+#: Words that are sent to every task to be counted; more are joined.
+MOST_WORDS = 200_000
+
 #: Parts of a digest's rows in joins.
 SALTS = 16
 
@@ -145,25 +158,56 @@ def occurrences(base: DataFrame) -> DataFrame:
     loose = F.transform("tokens", tagged(F.lit(None).cast("string")))
     rows = base.select("digest", F.inline(F.concat(*seeds, loose)))
     left, right = ascii_lower(F.col("left")), ascii_lower(F.col("right"))
+    nothing = F.lit(None).cast("string")
+
+    def pattern(kind: str, before: Column, behind: Column, *parts: Column) -> Column:
+        name = F.concat_ws(" ", F.lit(kind), *parts)
+        return F.struct(name.alias("pattern"), before.alias("before"), behind.alias("behind"))
+
     patterns = F.array(
-        F.when(left != "", F.concat(F.lit("before "), left)),
-        F.when(right != "", F.concat(F.lit("behind "), right)),
-        F.when((left != "") & (right != ""), F.concat(F.lit("both "), left, F.lit(" "), right)),
-        F.when(left != "", F.concat(F.lit("shape "), left, F.lit(" "), shape(F.col("value")))),
+        F.when(left != "", pattern("before", left, nothing, left)),
+        F.when(right != "", pattern("behind", nothing, right, right)),
+        F.when((left != "") & (right != ""), pattern("both", left, right, left, right)),
+        F.when(left != "", pattern("shape", left, nothing, left, shape(F.col("value")))),
     )
-    return rows.select("digest", "kind", "start", "end", "value", F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
+    return rows.select("digest", "kind", "start", "end", "value", left.alias("left"), right.alias("right"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
+
+
+def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """word, n: how often each of the words (a written table, each once) occurs in all texts."""
+    each = docs.select(F.explode(F.split(F.translate(ascii_lower(F.coalesce("text", F.lit(""))), "\n\t\r", "   "), " ")).alias("word"))
+    if words.count() <= MOST_WORDS:
+        return each.join(F.broadcast(words), "word").groupBy("word").agg(F.count("*").alias("n"))
+    return each.groupBy("word").agg(F.count("*").alias("n")).join(words, "word")
+
+
+def strengths(seen: DataFrame, patterns: DataFrame, docs: DataFrame) -> DataFrame:
+    """pattern, strength. patterns: pattern, before, behind, each once. Of two words the stronger one counts."""
+    words = patterns.select(F.col("before").alias("word")).unionByName(patterns.select(F.col("behind").alias("word"))).filter("word IS NOT NULL")
+    words = written(words.distinct(), "pii-words")
+    totals = written(word_counts(docs, words), "pii-word-counts")
+    out = patterns
+    for side, at in (("before", "left"), ("behind", "right")):
+        beside = seen.groupBy(F.col(at).alias("word")).agg(F.count("*").alias("k")).join(totals, "word")
+        share = F.least(F.lit(1.0), F.col("k") / F.col("n"))
+        cue = beside.select(F.col("word").alias(side), (share / (share + CUE)).alias(f"by_{side}"))
+        out = out.join(cue, side, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = written(out.select("pattern", F.greatest(zero("by_before"), zero("by_behind")).alias("strength")), "pii-strengths")
+    discard(words, totals)
+    return out
 
 
 def score_values(edges: DataFrame, patterns: DataFrame) -> DataFrame:
-    """value, value_score and best_kind of the instances that are no seeds and have a pattern of enough instances."""
-    sure = patterns.filter(F.col("n") >= MIN_INSTANCES).select("pattern", F.col("score").alias("pattern_score"), F.col("kind").alias("pattern_kind"))
+    """value, value_score and best_kind of the instances that are no seeds."""
+    sure = patterns.select("pattern", F.col("score").alias("pattern_score"), F.col("kind").alias("pattern_kind"))
     joined = edges.filter("kind IS NULL").join(sure, "pattern")
     best = F.struct("pattern_score", "pattern_kind")
-    return joined.groupBy("value").agg(F.avg("pattern_score").alias("value_score"), F.max_by("pattern_kind", best).alias("best_kind"))
+    return joined.groupBy("value").agg(F.max("pattern_score").alias("value_score"), F.max_by("pattern_kind", best).alias("best_kind"))
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, n (different instances), score, kind. edges: pattern, value, kind (null where it is no seed), each once."""
+    """pattern, score, kind. edges: pattern, value, kind (null where it is no seed), strength; each pattern and value once."""
     patterns = None
     for _ in range(rounds):
         score = F.when(F.col("kind").isNotNull(), 1.0)
@@ -171,25 +215,38 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             scored = edges.withColumn("score", score.otherwise(0.0))
         else:
             scored = edges.join(score_values(edges, patterns), "value", "left").withColumn("score", score.otherwise(F.coalesce("value_score", F.lit(0.0))))
-        sums = scored.groupBy("pattern").agg(F.count("*").alias("n"), (F.sum("score") / (F.count("*") + SMOOTHING)).alias("score"), F.mode("kind", deterministic=True).alias("kind"))
+        mean = F.sum("score") / (F.count("*") + SMOOTHING) * F.max("strength")
+        sums = scored.groupBy("pattern").agg(mean.alias("score"), F.mode("kind", deterministic=True).alias("kind"))
         before, patterns = patterns, written(sums, "pii-patterns")  # joins on patterns get partitions that Spark can split
         discard(before)
     return patterns
 
 
-def discover(base: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def can_be(value: Column, kind: Column) -> Column:
+    """Whether a value, its written-out signs read as one, can be of a kind."""
+    plain = F.regexp_replace(F.regexp_replace(value, AT, "@"), DOT, ".")
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    ip = F.rlike(plain, F.lit(r"^[0-9]+([./-][0-9]+){3}$")) & valid("ip", F.translate(plain, "/-", ".."))
+    checks = {"email": F.contains(plain, F.lit("@")), "ip": ip, "card": digits.between(13, 19) & luhn(value), "phone": digits.between(9, 15)}
+    return F.coalesce(*(F.when(kind == k, check) for k, check in checks.items()), F.lit(False))
+
+
+def discover(base: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """digest and found: spans (kind, start, end) of identifiers that only patterns know."""
     seen = written(occurrences(base), "pii-occurrences")
-    edges = seen.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    edges = written(edges, "pii-edges")
+    edges = seen.select("value", "kind", F.explode("patterns").alias("p")).groupBy("p", "value").agg(F.max("kind").alias("kind"))
+    edges = written(edges.select("p.*", "value", "kind"), "pii-edges")
+    frequent = edges.groupBy("pattern", "before", "behind").agg(F.count("*").alias("n"))
+    frequent = written(frequent.filter(F.col("n") >= MIN_INSTANCES).drop("n"), "pii-frequent")
+    edges = written(edges.select("pattern", "value", "kind").join(strengths(seen, frequent, docs), "pattern"), "pii-strong-edges")
     patterns = score_patterns(edges, rounds)
     plain = F.regexp_replace(F.regexp_replace("value", AT, "@"), DOT, ".")  # written-out signs count as one
     digits, signs = F.length(F.regexp_replace("value", "[^0-9]", "")), F.length(plain)
-    limits = edges.filter("kind IS NOT NULL").groupBy("kind").agg(F.min(digits).alias("d0"), F.max(digits).alias("d1"), F.min(signs).alias("s0"), F.max(signs).alias("s1"))
+    seeds = seen.filter("kind IS NOT NULL").groupBy("kind").agg(F.min(digits).alias("d0"), F.max(digits).alias("d1"), F.min(signs).alias("s0"), F.max(signs).alias("s1"))
     new = score_values(edges, patterns).filter((F.col("value_score") >= THRESHOLD) & F.col("best_kind").isNotNull())
     like = digits.between(F.col("d0") - 2, F.col("d1") + 2) & signs.between(F.col("s0") / 2, F.col("s1") + 4)
-    alike = (F.col("best_kind") == F.col("kind")) & like
-    new = new.join(F.broadcast(limits), alike).select("value", "best_kind")  # a row for each kind
+    alike = (F.col("best_kind") == F.col("kind")) & like & can_be(F.col("value"), F.col("best_kind"))
+    new = new.join(F.broadcast(seeds), alike).select("value", "best_kind")  # a row for each kind
     hits = seen.filter("kind IS NULL").join(new, "value")
     found = hits.groupBy("digest").agg(F.collect_set(F.struct(F.col("best_kind").alias("kind"), "start", "end")).alias("all"))
     longer = lambda x: F.exists("all", lambda o: (o.start <= x.start) & (x.end <= o.end) & (o.end - o.start > x.end - x.start))
@@ -203,7 +260,7 @@ def with_found(rows: DataFrame, found: DataFrame, digest: Column, name: str) ->
     found = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn(salt_of_row, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(found, (digest == F.col(key)) & (F.col(salt_of_row) == F.col(salt)), "left")
-    return joined.withColumn(name, F.coalesce(name, F.array().cast(SPANS))).drop(key, salt, salt_of_row)
+    return joined.withColumn(name, F.coalesce(name, F.array())).drop(key, salt, salt_of_row)
 
 
 def span_of(kind: str):
@@ -219,7 +276,7 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     base = written(base_spans(docs), "pii-base")
     spans = F.concat(*(F.transform(k, span_of(k)) for k in KINDS))
     rows = base.select("digest", "doc_id", spans.cast(SPANS).alias("base"))
-    return with_found(rows, discover(base, rounds), F.col("digest"), "found")
+    return with_found(rows, discover(base, docs, rounds), F.col("digest"), "found")
 
 
 def mask(text: Column, spans: Column) -> Column:
@@ -237,11 +294,15 @@ def mask(text: Column, spans: Column) -> Column:
 def masked(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """docs with every span of the text replaced by its kind in angle brackets; n_chars, if there, follows the text."""
     text = F.coalesce("text", F.lit(""))
-    found_name, spans_name = private(docs, "_found", "_spans")
-    keyed = with_found(docs, discover(written(base_spans(docs), "pii-base"), rounds), F.md5(text.cast("binary")), found_name)
-    spans = F.concat(*(F.transform(c, span_of(k)) for k, c in base_places(text).items()), F.col(found_name))
-    by_start = F.sort_array(F.transform(spans, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind"))))
-    keyed = keyed.withColumn(spans_name, by_start)
+    (spans_name,) = private(docs, "_spans")
+    base = written(base_spans(docs), "pii-base")
+    known = F.concat(*(F.transform(k, span_of(k)) for k in KINDS)).cast(SPANS)
+    known = base.select("digest", known.alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["digest"])
+    both = known.join(discover(base, docs, rounds), "digest", "full")
+    none = F.array().cast(SPANS)
+    both = both.select("digest", F.concat(F.coalesce("spans", none), F.coalesce("found", none)).alias("found"))
+    by_start = F.sort_array(F.transform("found", lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind"))))
+    keyed = with_found(docs, both.select("digest", by_start.alias("found")), F.md5(text.cast("binary")), spans_name)
     some = F.size(spans_name) > 0
     changed = keyed.withColumn("text", F.when(some, mask(text, F.col(spans_name))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -14,7 +14,8 @@ Law `bytes`: shard sizes near equal. DataFrame functions only.
 
 Defined results: null text counts as empty; repeated rows get places of their own (all rows of one doc_id lie in one
 slot, and so in one shard); equally good moves: the smaller slot; an empty table gives an empty result and leaves the
-map as it is; columns other than doc_id and text are not read.
+map as it is; columns other than doc_id and text are not read. A run that dies leaves a version without its mark, which
+later runs pass over; of two runs at once both store a version, and the higher number is the next run's predecessor.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm.common import exists, shared_dir, table, written
+from storyline.llm.common import exists, folder_of, shared_dir, table, written
 
 SHARDS, SLOTS, PARTS = 16, 4096, 8
 
@@ -125,9 +126,37 @@ def map_frame(spark: SparkSession, shard_of: list[int]) -> DataFrame:
     return spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(shard_of)), "array<int>")).alias("slot", "shard"))
 
 
-def save_map(spark: SparkSession, shard_of: list[int], path: str, version: int) -> None:
-    """A new version; an existing one is never overwritten."""
+def numbers_in(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers N of the entries `prefix`N under path, rising."""
+    system, where = folder_of(spark, path)
+    if not system.exists(where):
+        return []
+    names = (status.getPath().getName() for status in system.listStatus(where))
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+
+def claim(spark: SparkSession, path: str) -> int:
+    """The next version's number, for this run alone: the file system makes a claim's file for one of two runs.
+
+    A number whose run has died stays claimed; versions may have gaps.
+    """
+    number = max(numbers_in(spark, path, "claim-") + numbers_in(spark, path, "version="), default=0) + 1
+    while True:
+        system, where = folder_of(spark, f"{path}/claim-{number}")
+        try:
+            system.create(where, False).close()
+            return number
+        except Exception:  # a Java exception of one of several kinds, by the file system
+            if not system.exists(where):
+                raise
+            number += 1
+
+
+def save_map(spark: SparkSession, shard_of: list[int], path: str) -> int:
+    """Stores a new version and returns its number; an existing one is never overwritten."""
+    version = claim(spark, path)
     map_frame(spark, shard_of).coalesce(1).write.parquet(f"{path}/version={version}")
+    return version
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
@@ -135,11 +164,11 @@ def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
 
 
 def last_version(spark: SparkSession, path: str) -> int:
-    """Number of the newest stored map, 0 if there is none."""
-    version = 0
-    while exists(spark, f"{path}/version={version + 1}/_SUCCESS"):  # versions have no gaps
-        version += 1
-    return version
+    """Number of the newest map that was written whole, 0 if there is none."""
+    for version in reversed(numbers_in(spark, path, "version=")):
+        if exists(spark, f"{path}/version={version}/_SUCCESS"):
+            return version
+    return 0
 
 
 def place(rows: DataFrame, shard_of: list[int], totals: dict[int, tuple[int, list[int]]]) -> DataFrame:
@@ -165,12 +194,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str |
     version = last_version(spark, path) if path else 0
     last = load_map(spark, path, version) if version else None
     if last is None or len(last) != slots or max(last) >= shards:
-        last, version = even_map(shards, slots), version + 1
+        last = even_map(shards, slots)
         if path:
-            save_map(spark, last, path, version)
+            save_map(spark, last, path)
     now = rebalance(last, {s: b for s, (b, _) in totals.items()}, shards)
     if path and now != last:
-        save_map(spark, now, path, version + 1)
+        save_map(spark, now, path)
     return place(rows, now, totals)
 
 

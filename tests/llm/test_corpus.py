@@ -254,6 +254,20 @@ def test_sharding(spark, tmp_path):
     assert all(a == b or b == 16 for a, b in zip(second, grown)) and grown.count(16) in (240, 241)  # a seventeenth
 
 
+def test_sharding_after_a_run_that_died_and_beside_another(spark, tmp_path):
+    docs, path = frame(spark, [prose(RNG.randint(0, 60), i) for i in range(200)]), str(tmp_path)
+    assert sharding.claim(spark, path) == 1 and sharding.claim(spark, path) == 2  # two runs at once get two numbers
+    (tmp_path / "version=1").mkdir()  # a run that died while it wrote
+    first = {r.doc_id: r.shard for r in sharding.shard(docs, path=path).collect()}
+    last = sharding.last_version(spark, path)
+    assert last == 4  # the even map and the rebalanced one, behind the claimed numbers
+    (tmp_path / "version=5").mkdir()
+    assert sharding.last_version(spark, path) == last
+    assert {r.doc_id: r.shard for r in sharding.shard(docs, path=path).collect()} == first
+    assert sharding.last_version(spark, path) == last and sharding.save_map(spark, sharding.load_map(spark, path, last), path) == 6
+
+
+
 def test_sharding_of_repeated_and_missing_ids(spark):
     rows = [(7, "a")] * 60 + [(None, f"t{i}") for i in range(300)] + [(None, None)] * 5
     placed = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()

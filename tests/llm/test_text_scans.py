@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from storyline.llm import fertility, licenses, pii, secret_scan, urls
 
@@ -109,12 +110,28 @@ def test_license_labels_equal_plain_python(spark):
         all_.sort()
         assert [(m.start, m.minus_end, m.rule) for m in sorted(rows[i].found)] == all_
         kept = []
-        for m in all_:
-            if not kept or m[0] >= -kept[-1][1]:
+        for m in sorted(all_, key=lambda m: (-ordered[m[2]]["weight"], m)):
+            if all(m[0] >= -k[1] or k[0] >= -m[1] for k in kept):
                 kept.append(m)
-            elif ordered[m[2]]["weight"] > ordered[kept[-1][2]]["weight"]:
-                kept[-1] = m
-        assert [(m.start, m.minus_end, m.rule) for m in rows[i].kept] == kept
+        assert [(m.start, m.minus_end, m.rule) for m in rows[i].kept] == sorted(kept)
+
+
+def test_a_suppressed_match_frees_what_it_hid(spark):
+    """Chains of overlaps, against plain Python."""
+    import random
+
+    draw = random.Random(21)
+    chains = [[(0, 6, 0.5), (1, 3, 0.4), (4, 8, 0.9)]] + [[(s := draw.randrange(20), s + draw.randint(1, 6), draw.choice([0.3, 0.5, 0.7, 0.9])) for _ in range(draw.randint(0, 12))] for _ in range(80)]
+    rows = [(i, [(s, -e, r, e, f"l{r}", w, False) for r, (s, e, w) in enumerate(chain)]) for i, chain in enumerate(chains)]
+    found = spark.createDataFrame(rows, f"id int, found {licenses.INTERVALS}")
+    kept = {r.id: [(m.start, m.end, m.rule) for m in r.kept] for r in found.withColumn("kept", licenses.resolve(F.col("found"))).collect()}
+    for i, chain in enumerate(chains):
+        plain = []
+        for w, s, e, r in sorted((-w, s, -e, r) for r, (s, e, w) in enumerate(chain)):
+            if all(s >= k[1] or k[0] >= -e for k in plain):
+                plain.append((s, -e, r))
+        assert kept[i] == sorted(plain, key=lambda m: (m[0], -m[1], m[2]))
+    assert kept[0] == [(1, 3, 1), (4, 8, 2)]
 
 
 def base_secrets(text):
@@ -409,3 +426,67 @@ def test_private_discovery_of_groups_and_written_addresses(spark):
     out = by_id(pii.masked(frame(spark, texts).drop("spans")))
     assert [out[len(seeds) + i].text for i in range(6)] == ["please call <PHONE> because"] * 3 + ["please write <EMAIL> because"] * 3
     assert [out[len(seeds) + 6 + i].text for i in range(4)] == plain
+
+
+def planted(seed=3):
+    """Random prose with identifiers: seeds and unseen ones behind cue words, numbers and addresses of no kind anywhere."""
+    import random
+
+    draw = random.Random(seed)
+    prose_ = ["".join(draw.choices("abcdeinorst", k=draw.randint(2, 6))) for _ in range(400)] + ["and", "the", "in"] * 60
+    digits = lambda n: "".join(draw.choices("0123456789", k=n))
+    name = lambda: "".join(draw.choices("abcdefg", k=6))
+    kinds = {
+        "phone": (["phone:", "mobile"], lambda: f"+1 ({digits(3)}) 555-{digits(4)}", [lambda: f"(0{digits(2)}) 555-{digits(4)}", lambda: f"0{digits(2)} {digits(3)} {digits(2)} {digits(2)}"]),
+        "email": (["mail:", "write-to"], lambda: f"{name()}@{name()}.org", [lambda: f"{name()} (at) {name()}.org", lambda: f"{name()} at {name()} dot org", lambda: f"{name()}@intranet"]),
+        "ip": (["host:"], lambda: ".".join(str(draw.randint(1, 255)) for _ in range(4)), [lambda: "-".join(str(draw.randint(1, 255)) for _ in range(4))]),
+    }
+    texts, unseen = [], []
+    for i in range(1200):
+        words = draw.choices(prose_, k=40)
+        at = draw.randrange(2, 38)
+        kind = draw.choice([*kinds, None, None])
+        if kind:
+            cues, seen, new = kinds[kind]
+            value = draw.choice(new)() if draw.random() < 0.25 else None
+            words[at - 1 : at + 1] = [draw.choice(cues), value or seen()]
+            if value:
+                unseen.append((i, kind, value))
+        elif draw.random() < 0.6:  # no identifiers, or ones without a cue
+            words[at] = draw.choice([digits(16), digits(11), f"{digits(2)}.{digits(2)}", seen_anywhere(kinds, draw)])
+        texts.append(" ".join(words))
+    return texts, unseen
+
+
+def seen_anywhere(kinds, draw):
+    return draw.choice([kinds[k][1] for k in kinds])()
+
+
+def test_private_discovery_recall_and_precision(spark, tmp_path):
+    texts, unseen = planted()
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {(i, kind, texts[i].index(value), texts[i].index(value) + len(value)) for i, kind, value in unseen}
+    found = set()
+    for r in pii.query(spark, str(tmp_path)).collect():
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        found |= {(r.doc_id, *s) for s in spans if s not in base_private(texts[r.doc_id])}
+    assert len(wanted) > 100
+    assert len(found & wanted) >= 0.9 * len(wanted) and len(found & wanted) >= 0.9 * len(found)
+
+
+def test_private_graph_equals_plain_python(spark):
+    """Pattern scores of the iterated graph."""
+    import random
+
+    draw = random.Random(9)
+    edges = {(f"p{draw.randrange(12)}", v): None for v in range(60) for _ in range(3)}
+    kind = {v: draw.choice(["email", "phone", None, None]) for v in range(60)}
+    strength = {f"p{k}": draw.choice([0.1, 0.8, 1.0]) for k in range(12)}
+    frame_ = spark.createDataFrame([(p, str(v), kind[v], strength[p]) for p, v in edges], "pattern string, value string, kind string, strength double")
+    patterns = pii.score_patterns(frame_, 3)
+    score = {p: 0.0 for p in strength}
+    for k in range(3):
+        of = {v: 1.0 if kind[v] else max(score[p] for p, x in edges if x == v) if k else 0.0 for v in range(60)}
+        members = {p: [v for q, v in edges if q == p] for p in strength}
+        score = {p: sum(of[v] for v in vs) / (len(vs) + 1) * strength[p] for p, vs in members.items()}
+    assert {r.pattern: pytest.approx(r.score) for r in patterns.collect()} == {p: score[p] for p, _ in edges}
