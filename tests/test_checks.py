@@ -95,7 +95,7 @@ def test_addresses(spark):
 
 def test_conflicts_equal_all_pairs(spark):
     rng = random.Random(8)
-    rows = [(rng.randrange(40), rng.choice(["t", "kg"]), round(rng.choice([5, -5]) * rng.choice([1, 1.005, 1.01, 1.03]), 4), rng.choice("xyz")) for _ in range(200)]
+    rows = [(rng.randrange(40), rng.choice(["t", "kg"]), round(rng.choice([5.0, 5.0, 5.0, -5.0]) * rng.choice([1.0, 1.005, 1.01, 1.03]), 4), rng.choice("xyz")) for _ in range(200)]
     found = {tuple(r) for r in checks.number_conflicts(spark.createDataFrame(rows, "event int, unit string, v double, origin string")).collect()}
     plain = set()
     for (e1, u1, a, o1), (e2, u2, b, o2) in itertools.combinations(rows, 2):
