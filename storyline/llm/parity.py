@@ -193,7 +193,7 @@ def frequent_keys(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_hash, uid (of the set, null if empty), n, sketch and narrow (words of bits), rare and often (keys)."""
+    """row, doc_id, text_hash, uid (of the set, null if empty), n, sketch and narrow (words of bits; null: as sketch), rare and often (keys)."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs))
     arrays = ("sketch", "narrow", "rare", "often")
 
@@ -203,7 +203,7 @@ def described(docs: DataFrame) -> DataFrame:
             tokens = shingles(text)
             chosen = [chosen_keys(tokens, w, frequent.value) for w in windows_of(tokens.size)]
             keys = (np.concatenate([NONE, *(c[k] for c in chosen)]) for k in (0, 1))
-            for name, value in zip(("uid", "n", *arrays), (uid_of(tokens), tokens.size, folded(tokens), folded(tokens, NARROW), *keys)):
+            for name, value in zip(("uid", "n", *arrays), (uid_of(tokens), tokens.size, sketch := folded(tokens), folded(tokens, NARROW) if sketch.size * 64 > NARROW else None, *keys)):
                 out[name].append(value)
         return out
 
@@ -213,12 +213,17 @@ def described(docs: DataFrame) -> DataFrame:
     return written(map_rows(given, schema, rows, 200), "parity-rows")
 
 
-def one_of_each(found: DataFrame) -> DataFrame:
-    """One row for each different set that is not empty; of the others only narrow rows are shuffled."""
-    sets = found.filter("uid IS NOT NULL")
+def repeated(found: DataFrame) -> DataFrame:
+    """row of all but the first row of each set, a written table; only narrow rows are shuffled."""
+    sets = found.filter("uid IS NOT NULL").select("uid", "row")
     several = sets.groupBy("uid").agg(F.count("*").alias("rows"), F.min("row").alias("first")).filter("rows > 1")
-    again = written(sets.select("uid", "row").join(several, "uid").filter("row <> first").select("row"), "repeated-sets")
-    return sets.join(again, "row", "left_anti")
+    return written(sets.join(several, "uid").filter("row <> first").select("row"), "repeated-sets")
+
+
+def keys_of(found: DataFrame, again: DataFrame, name: str) -> DataFrame:
+    """key, uid of one row of each set. The arrays of keys are not written once more."""
+    one = found.filter(F.size(name) > 0).select("row", "uid", name).join(again, "row", "left_anti")
+    return one.select(F.explode(name).alias("key"), "uid")
 
 
 def meetings(keyed: DataFrame) -> DataFrame:
@@ -323,11 +328,10 @@ def side(rows: DataFrame, x: str) -> DataFrame:
     return rows.select("key", F.col("uid").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("label", "n", "x")))
 
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different sets at the threshold or more that connect all such pairs."""
-    cold = sets.select("uid", F.explode("rare").alias("key")).select("key", "uid")
-    hot = written(sets.select("uid", F.explode("often").alias("key")).select("key", "uid"), "frequent-keys")
-    met = written(meetings(cold), "meetings")
+def links(docs: DataFrame, sets: DataFrame, rare: DataFrame, often: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different sets at the threshold or more that connect all such pairs. rare, often: key, uid."""
+    hot = written(often, "frequent-keys")
+    met = written(meetings(rare), "meetings")
     ends = hot.groupBy("key").agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
     stars = hot.join(ends, "key").select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("uid").alias("b")), F.struct(F.col("uid").alias("a"), F.col("last").alias("b")))).alias("p"))
     pairs = met.filter("pair").select("a", "b").unionByName(stars.select("p.*").filter("a <> b"))
@@ -349,8 +353,10 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, uid (null: no shingle), class (of linked sets), component_id."""
     found = described(docs)
-    sets = written(one_of_each(found), "parity-sets")
-    classes = written(connected_components(links(docs, sets)), "parity-classes")
+    again = repeated(found)
+    columns = ("uid", "text_hash", "n", "sketch", F.coalesce("narrow", "sketch").alias("narrow"))
+    sets = written(found.filter("uid IS NOT NULL").join(again, "row", "left_anti").select(*columns), "parity-sets")
+    classes = written(connected_components(links(docs, sets, keys_of(found, again, "rare"), keys_of(found, again, "often"))), "parity-classes")
     rows = found.select("doc_id", "text_hash", "n", "uid")
     labelled = rows.join(classes, F.col("uid") == F.col("node"), "left").withColumn("class", F.coalesce("component", "uid"))
     ids = written(labelled.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").select("class", "least"), "component-ids")
