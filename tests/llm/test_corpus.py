@@ -434,3 +434,17 @@ def test_near_copies_by_jaccard(spark):
     ids = [r.doc_id for r in docs.collect()]
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {ids[i] for i in expected}
     assert len(expected) < len(texts) - 20
+
+
+def test_toxicity_cut_is_the_best_of_all():
+    rng = np.random.default_rng(12)
+    for _ in range(50):
+        n = int(rng.integers(2, 40))
+        x, y, w = rng.integers(0, 8, n) / 4.0, rng.integers(0, 2, n), rng.random(n) + 0.1
+        if 0 < y.sum() < n:
+            def measure(cut):
+                found = x >= cut
+                return 2 * (w * y)[found].sum() / (w[found].sum() + (w * y).sum())
+
+            cut = toxicity.best_cut(x, y, w)
+            assert measure(cut) == pytest.approx(max(measure(c) for c in x))
