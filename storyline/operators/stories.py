@@ -23,12 +23,14 @@ id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline.functions.features import number_specificity
 from storyline.operators.graph import connected_components
-from storyline.operators.similarity import pair_score, time_factor
+from storyline.operators.similarity import LEVELS, pair_score, time_factor
 from storyline.sources.scratch import discard, written
 
 HORIZON = 72 * 3600
@@ -108,29 +110,67 @@ def weighted(items: DataFrame, df: DataFrame, n: int) -> DataFrame:
     return out.select("id", "kind", "lang", "key", "df", "idf", w.alias("w"), u.alias("u"))
 
 
-def blocking_keys(items: DataFrame, heads: DataFrame, weight: str) -> DataFrame:
-    """id, sec, kind, lang, key: the keys by which an attaching partner is found. items: weighted."""
-    square = F.col(weight) * F.col(weight)
-    terms = items.filter("kind = 'term'")
+@dataclass(frozen=True)
+class Keys:
+    """Blocking keys of reports or events: rows (id, sec, kind, lang, key, x), x being a term's share of its vector; and by
+    id and lang how far the vectors' first terms reach: last (df, key), rest (square of what is behind), under (square of
+    what lies in terms of less than 2^k occurrences)."""
+
+    rows: DataFrame
+    reach: DataFrame
+
+    def only(self, ids: DataFrame, how: str = "left_semi") -> Keys:
+        return Keys(self.rows.join(ids, "id", how), self.reach)
+
+
+def blocking_keys(items: DataFrame, heads: DataFrame, weight: str) -> Keys:
+    """The keys by which an attaching partner is found. items: weighted."""
+    terms = items.filter("kind = 'term'").withColumn("w2", F.col(weight) * F.col(weight))
     by = Window.partitionBy("id", "lang")
     upward = by.orderBy(F.desc("df"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mass = terms.withColumns({"all": F.sum(square).over(by), "rest": F.sum(square).over(upward)})
+    mass = terms.withColumns({"all": F.sum("w2").over(by), "rest": F.sum("w2").over(upward)})
     # a rounding error's width more than the bound demands
-    chosen = mass.filter(F.col("rest") >= (COS_ALONE * COS_ALONE - 1e-9) * F.col("all")).select("id", "kind", "lang", "key")
+    first = F.col("rest") >= (COS_ALONE * COS_ALONE - 1e-9) * F.col("all")
+    share = F.when(F.col("all") > 0, F.col("w2") / F.col("all")).otherwise(0.0)
+    mass = written(mass.select("id", "kind", "lang", "key", "df", first.alias("first"), share.alias("share")), "term-shares")
+    level = F.floor(F.log2(F.greatest("df", F.lit(1))) + 1e-9).cast("int")
+    last = F.max(F.when(F.col("first"), F.struct("df", "key"))).alias("last")
+    levels = mass.groupBy("id", "lang", level.alias("level")).agg(F.sum("share").alias("mass"), last, F.sum(F.when(F.col("first"), F.col("share"))).alias("head"))
+    under = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.aggregate("m", F.lit(0.0), lambda t, x: t + F.when(x["level"] < k, x["mass"]).otherwise(0.0)))
+    reach = levels.groupBy("id", "lang").agg(F.collect_list(F.struct("level", "mass")).alias("m"), F.max("last").alias("last"), F.sum("head").alias("head"))
+    reach = written(reach.select("id", "lang", "last", (1 - F.col("head")).alias("rest"), under.alias("under")), "term-reach")
+    chosen = mass.filter("first").select("id", "kind", "lang", "key", F.sqrt("share").alias("x"))
     sure = (F.col("kind") == "num") & (number_specificity(F.col("key")) >= 0.75)
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), "kind", F.desc("key")))
-    others = items.filter("kind IN ('ent', 'num')").withColumn("place", place).filter((F.col("place") > 1) | sure).select("id", "kind", "lang", "key")
-    return chosen.unionByName(others).join(heads.select("id", "sec"), "id")
+    others = items.filter("kind IN ('ent', 'num')").withColumn("place", place).filter((F.col("place") > 1) | sure)
+    others = others.select("id", "kind", "lang", "key", F.lit(None).cast("double").alias("x"))
+    return Keys(chosen.unionByName(others).join(heads.select("id", "sec"), "id"), reach)
+
 
+def candidates(new: Keys, old: Keys, horizon: int = HORIZON) -> DataFrame:
+    """v, p: pairs that may attach, v the later report. new: keys by w; old: keys by u.
 
-def candidates(new: DataFrame, old: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """v, p: pairs that share a key, v the later report. new: keys by w; old: keys by u."""
+    Pairs that meet on terms only must reach a cosine of COS_ALONE: the products of the first terms are summed, and what is
+    behind those of the one that ends first is bounded by its length times that of the other's rest.
+    """
     at = F.floor(F.col("sec") / horizon)
-    v = new.select("kind", "lang", "key", F.col("id").alias("v"), F.col("sec").alias("sv"), at.alias("at"))
-    p = old.select("kind", "lang", "key", F.col("id").alias("p"), F.col("sec").alias("sp"), F.explode(F.array(at, at + 1)).alias("at"))
-    met = v.join(p, ["kind", "lang", "key", "at"])
+    v = new.rows.select("kind", "lang", "key", F.col("id").alias("v"), F.col("sec").alias("sv"), F.col("x").alias("xv"), at.alias("at"))
+    p = old.rows.select("kind", "lang", "key", F.col("id").alias("p"), F.col("sec").alias("sp"), F.col("x").alias("xp"), F.explode(F.array(at, at + 1)).alias("at"))
     later = (F.col("sp") < F.col("sv")) | ((F.col("sp") == F.col("sv")) & (F.col("p") < F.col("v")))
-    return met.filter(later & (F.col("sv") - F.col("sp") <= horizon)).select("v", "p").distinct()
+    met = v.join(p, ["kind", "lang", "key", "at"]).filter(later & (F.col("sv") - F.col("sp") <= horizon))
+    # a pair meets in one horizon only, so no term counts twice
+    sums = met.groupBy("v", "p", "lang").agg(F.sum(F.col("xv") * F.col("xp")).alias("head"))
+    by_items = sums.filter("head IS NULL").select("v", "p")
+    terms = sums.filter("head IS NOT NULL")
+    for x, keys in (("v", new), ("p", old)):
+        terms = terms.join(keys.reach.select(F.col("id").alias(x), "lang", *(F.col(c).alias(f"{c}_{x}") for c in ("last", "rest", "under"))), [x, "lang"])
+
+    def behind(x: str, y: str) -> Column:
+        at = F.floor(F.log2(F.greatest(F.col(f"last_{x}.df"), F.lit(1))) + 1e-9).cast("int")
+        return F.greatest(F.lit(0.0), F.col(f"rest_{x}")) * F.greatest(F.lit(0.0), 1 - F.get(F.col(f"under_{y}"), at))
+
+    left = F.sqrt(F.when(F.col("last_v") <= F.col("last_p"), behind("v", "p")).otherwise(behind("p", "v")))
+    return by_items.unionByName(terms.filter(F.col("head") + left >= COS_ALONE - 1e-9).select("v", "p")).distinct()
 
 
 def scored(pairs: DataFrame, heads: DataFrame, items: DataFrame) -> DataFrame:

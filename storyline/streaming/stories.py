@@ -83,8 +83,8 @@ def advance(batch: DataFrame, number: int, state: EventState, horizon: int = sto
     weighed = written(stories.weighted(items.unionByName(stories.report_items(live)), df, n), "live-items")
     mine = new.select("id")
     w, u = (stories.blocking_keys(weighed, heads, x) for x in "wu")
-    pairs = stories.candidates(w.join(mine, "id", "left_semi"), u, horizon)
-    pairs = pairs.unionByName(stories.candidates(w.join(mine, "id", "left_anti"), u.join(mine, "id", "left_semi"), horizon))
+    pairs = stories.candidates(w.only(mine), u, horizon)
+    pairs = pairs.unionByName(stories.candidates(w.only(mine, "left_anti"), u.only(mine), horizon))
     links = written(stories.scored(pairs, heads, weighed).filter("attach").select("v", "p", "score", "cos"), "batch-links")
 
     event = live.select("id", "event").unionByName(new.select("id", F.col("id").alias("event")))
