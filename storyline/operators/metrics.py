@@ -66,3 +66,22 @@ def dimension_effects(df: DataFrame, dimensions: list[str], value: str, least: i
     groups = groups.withColumn("effect", F.col("_own") - F.col("_mean"))
     strong = (F.col("n") >= least) & (F.abs("effect") >= effect) & (F.abs("effect") > sigmas * F.col("_sd") / F.sqrt("n"))
     return groups.filter(strong).select("dimension", "key", "n", "effect", F.exp("effect").alias("ratio")).orderBy(F.desc(F.abs("effect")), "dimension", "key").limit(top)
+
+
+def effects_of_all(df: DataFrame, dimensions: list[str], several: list[str], value: str, least: int = 4, effect: float = 0.15, sigmas: float = 1.5) -> DataFrame:
+    """dimension, key, n, effect, confidence: keys whose mean differs from the overall mean; dimensions with one key a row,
+    and ones with several (arrays). Rows go to their keys in one pass and are summed before they are shuffled."""
+    one = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key")) for d in dimensions))
+    many = [_keyed(d) for d in several]
+    long = df.select(value, F.explode(F.concat(one, *many)).alias("d")).select("d.*", value).filter("key IS NOT NULL")
+    overall = df.agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    groups = long.groupBy("dimension", "key").agg(F.count("*").alias("n"), F.avg(value).alias("_own")).crossJoin(F.broadcast(overall))  # one row
+    size, error = F.abs(F.col("_own") - F.col("_mean")), F.col("_sd") / F.sqrt("n")
+    strong = groups.filter((F.col("n") >= least) & (size >= effect) & (size > sigmas * error))
+    confidence = F.when((F.col("n") >= 12) & (size > 3 * error), "high").when(F.col("n") >= 6, "medium").otherwise("low")
+    return strong.select("dimension", "key", "n", (F.col("_own") - F.col("_mean")).alias("effect"), confidence.alias("confidence"))
+
+
+def _keyed(dimension: str) -> Column:
+    keys = F.array_distinct(F.coalesce(dimension, F.array().cast("array<string>")))
+    return F.transform(keys, lambda x: F.struct(F.lit(dimension).alias("dimension"), x.cast("string").alias("key")))
