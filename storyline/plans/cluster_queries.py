@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline.operators import stories
-from storyline.sources.scratch import shared_dir, written
+from storyline.sources.scratch import TABLES, shared_dir, written
 from storyline.sources.tables import table
 from storyline.streaming import stories as stream
 
@@ -138,6 +138,7 @@ def story_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"story-stream-{uuid.uuid4().hex}"
     state = stream.EventState(spark, f"{shared_dir(spark)}/{name}")
     source = stream.arrivals(given, BATCHES, f"{name}-reports")
+    TABLES.extend((state.folder, source))
     stream.run_available(spark, source, state, frozen=(df, n))
     return stream.events_of(state).select(F.col("id").alias("doc_id"), F.col("event").alias("event_id"))
 

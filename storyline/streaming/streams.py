@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.sources.scratch import shared_dir
+from storyline.sources.scratch import TABLES, shared_dir
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -58,6 +58,7 @@ def run_once(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
 
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    TABLES.append(path)
 
     def keep(batch: DataFrame, epoch: int) -> None:
         # a batch that runs again overwrites its own folder: exactly once
