@@ -182,12 +182,10 @@ def test_merging_is_the_same_for_any_order(given, spark):
     start = {r[0]: r[0] for r in rows}
     plain = plain_merged(rows, start, plain_frequencies(rows), n)
     assert len(set(plain.values())) < len(rows) - 20
-    for seed in (1, 2):
-        given_rows = rows[:]
-        random.Random(seed).shuffle(given_rows)
-        labels = spark.createDataFrame([(r[0], r[0]) for r in given_rows], "id long, event long").repartition(3)
-        found = stories.merged(frame(spark, given_rows).select("id", "lang", "sec"), items, labels, df, n)
-        assert {r.id: r.event for r in found.collect()} == plain
+    random.Random(1).shuffle(rows := rows[:])
+    labels = spark.createDataFrame([(r[0], r[0]) for r in rows], "id long, event long").repartition(3)
+    found = stories.merged(frame(spark, rows).select("id", "lang", "sec"), items, labels, df, n)
+    assert {r.id: r.event for r in found.collect()} == plain
 
 
 def run_batches(spark, tmp_path, batches, **options):
