@@ -60,3 +60,11 @@ def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
         system, where = folder_of(spark, path)
         system.delete(where, True)
         TABLES.remove(path)
+
+
+def clear_since(spark: SparkSession, mark: int) -> None:
+    """Removes the tables written since TABLES had `mark` entries: what a finished step has left."""
+    for path in TABLES[mark:]:
+        system, where = folder_of(spark, path)
+        system.delete(where, True)
+        TABLES.remove(path)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from storyline.operators import stories
 from storyline.operators.graph import connected_components
-from storyline.sources.scratch import exists, folder_of, shared_dir, written
+from storyline.sources.scratch import TABLES, clear_since, exists, folder_of, shared_dir, written
 
 ARRAYS = ("title", "terms", "entities", "title_entities", "numbers", "quotes", "dates")
 REPORT = "id long, lang string, sec long, " + ", ".join(f"{c} array<string>" for c in ARRAYS)
@@ -116,8 +116,14 @@ def events_of(state: EventState) -> DataFrame:
 def run_available(spark: SparkSession, source: str, state: EventState, **options) -> None:
     """Runs the stream over the files of reports that have come since the checkpoint, one file a batch."""
     stream = spark.readStream.schema(REPORT).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def step(batch: DataFrame, number: int) -> None:
+        mark = len(TABLES)
+        advance(batch, number, state, **options)
+        clear_since(spark, mark)  # all that a batch leaves is in its state
+
     query = stream.writeStream.option("checkpointLocation", f"{state.folder}/checkpoint").trigger(availableNow=True)
-    query = query.foreachBatch(lambda batch, number: advance(batch, number, state, **options)).start()
+    query = query.foreachBatch(step).start()
     query.awaitTermination()
 
 
