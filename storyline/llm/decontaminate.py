@@ -122,7 +122,8 @@ class TestSuffixes:
         def bound(lo: np.ndarray, hi: np.ndarray, target: np.ndarray, k: int, right: bool) -> np.ndarray:
             while (open_ := lo < hi).any():
                 middle = (lo + hi) >> 1
-                word = seq[array[np.minimum(middle, array.size - 1)] + k]
+                # ranges that are closed already read any place, and that may lie near the end
+                word = seq[np.minimum(array[np.minimum(middle, array.size - 1)] + k, seq.size - 1)]
                 beyond = (word > target) if right else (word >= target)
                 lo, hi = np.where(open_ & ~beyond, middle + 1, lo), np.where(open_ & beyond, middle, hi)
             return lo

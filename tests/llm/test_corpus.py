@@ -148,6 +148,13 @@ def test_contamination(spark):
         assert clean == {i for i, t in enumerate(texts) if not (h := plain_hits(decontaminate.words_of(t), parsed)[0]) or 20 * len(h) < len(decontaminate.words_of(t))}
 
 
+def test_search_of_suffixes_at_the_end_of_a_block():
+    """One suffix's range is closed at the end of the array, whose last suffix ends the block, while another's is open."""
+    found = decontaminate.TestSuffixes([(1, [b"p", b"q", b"r"] * 5), (2, [b"z", b"y", b"x"] * 5), (3, [b"z", b"z", b"y"])], 13)
+    hits = [h for h, _ in found.matches([[b"p", b"q", b"r"] * 5, [b"z", b"y", b"x"] * 5, [b"z"]])]
+    assert hits == [list(range(15)), list(range(15)), []]
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(5)
     for words in (1, 2, 3, 50):
