@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import decontaminate, jaccard, packing, pii, toxicity
+from storyline.llm import decontaminate, jaccard, packing, pii, simhash, toxicity
 from storyline.llm.common import table, written
+from storyline.sources.scratch import TABLES, clear_since
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +23,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word Jaccard of 0.8 or more): that with the smallest doc_id."""
-    return jaccard.keep_one(docs)
+    """One document of each class of near copies: that with the smallest doc_id.
+
+    Links are those of op5 (fingerprints at three or fewer differing bits, by Golay keys) and, as an exact check of what
+    fingerprints miss, all at a five-word Jaccard of 0.8 or more. A class is what both kinds connect.
+    """
+    mark = len(TABLES)
+    close = simhash.near_duplicates(docs).select("text_hash", "class").distinct()
+    close = written(close, "fingerprint-classes")
+    clear_since(spark, mark, close)
+    return simhash.keep_of_classes(docs, simhash.united(jaccard.near_duplicates(docs), close))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -239,6 +239,20 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE)
     return keep_of_classes(docs, written(near_duplicates(docs, max_bits, shingle), "classes"))
 
 
+def united(found: DataFrame, more: DataFrame) -> DataFrame:
+    """found (doc_id, text_hash, class) with classes united that texts of one class of `more` (text_hash, class) are in.
+
+    Only classes of `more` that hold several of found's make links, one star each; the rest takes no part.
+    """
+    others = more.select("text_hash", F.col("class").alias("other"))
+    pairs = written(found.select("text_hash", "class").distinct().join(others, "text_hash").select("class", "other").distinct(), "class-pairs")
+    several = pairs.groupBy("other").agg(F.min("class").alias("a"), F.max("class").alias("most")).filter("a <> most")
+    links = pairs.join(several, "other").filter("class <> a").select("a", F.col("class").alias("b"))
+    into = written(connected_components(links), "united-classes")
+    rows = found.join(into, F.col("class") == F.col("node"), "left")
+    return written(rows.select("doc_id", "text_hash", F.coalesce("component", "class").alias("class")), "classes")
+
+
 def keep_of_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """keep_one for given classes (doc_id, text_hash, class), a written table.
 

@@ -443,6 +443,19 @@ def test_near_copies_by_jaccard(spark):
     assert len(expected) < len(texts) - 20
 
 
+def test_near_copies_by_either_kind_of_link(spark, monkeypatch):
+    """The pipeline drops op5's near copies too, and a class is what links of both kinds connect."""
+    base = prose(400, 31).split()
+    far = base[:30] + [f"x{i}" for i in range(6)] + base[36:]
+    texts = [" ".join(base), " ".join(far), prose(50, 32)]
+    far_prints = {texts[0]: 7, texts[1]: 1 << 40, texts[2]: 5 << 40 | 1}  # the last two differ in two bits
+    monkeypatch.setattr(simhash, "fingerprint", lambda t, shingle=3: far_prints[t])
+    docs = frame(spark, texts)
+    ids = [r.doc_id for r in docs.collect()]
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {ids[0]}
+    assert {r.doc_id for r in corpus_pipeline.jaccard.keep_one(docs).collect()} == {ids[0], ids[2]}
+
+
 def test_toxicity_cut_is_the_best_of_all():
     rng = np.random.default_rng(12)
     for _ in range(50):
