@@ -223,6 +223,41 @@ def test_exact_pairs_against_all_pairs(spark):
     assert found == {(a, b) for (a, b) in plain if len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5 >= 0.6 + 1e-12} | {p for p in found if abs(len(sets[p[0]] & sets[p[1]]) / (len(sets[p[0]]) * len(sets[p[1]])) ** 0.5 - 0.6) < 1e-9}
 
 
+def test_pairs_of_long_sets_meet_on_several_first_tokens(spark):
+    """Against all pairs, over sizes on both sides of a sketch's width; sets that share a few rare words don't go on."""
+    import random
+
+    draw = random.Random(9)
+    common, sets = [f"c{i}" for i in range(300)], {}
+    for size in (60, 66, 120, 140, 250, 260):
+        base = draw.sample(common, size // 2) + [f"r{size}-{i}" for i in range(size - size // 2)]
+        for cut in (0, 1, 4, 6, 8, 10, 12, 14, 30):
+            sets[len(sets)] = set(base[cut * size // 100 :]) | {f"n{len(sets)}-{i}" for i in range(cut * size // 150)}
+    for _ in range(40):
+        sets[len(sets)] = {"rare1", "rare2", "rare3"} | set(draw.sample(common, 60))
+    plain = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    tokens = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "doc_id long, words array<string>")
+    tokens = tokens.select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"))
+    for least in (0.7, 0.8):
+        found = {(r.a, r.b): r.jaccard for r in similarity.set_pairs(tokens, least).collect()}
+        assert found == {k: v for k, v in plain.items() if v >= least} and len(found) > 50
+    met = similarity.meetings(similarity.first_tokens(tokens.filter(f"doc_id >= {len(sets) - 40}"), 0.8), 0.8)
+    assert met.groupBy("a", "b", "need").count().filter("count >= need").count() < 20 * 39 / 2
+
+
+def test_numbers_of_contents_over_six_places(spark, tmp_path):
+    from storyline.plans import registry
+
+    rows = spark.range(1_000_002).select(F.col("id").alias("o_orderkey"), F.lit(1).alias("o_custkey"), F.lit("a").alias("o_orderpriority"), F.lit("F").alias("o_orderstatus"), F.expr("date'1995-01-01' + cast(id % 60 as int)").alias("o_orderdate"), F.lit(1.0).alias("o_totalprice"))
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    duckdb = pytest.importorskip("duckdb")
+    orders = f"(SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet'))"
+    sql = registry.ORACLE_SQL["content_sequence_ids"].replace("FROM orders", f"FROM {orders}")
+    cut = "pub_id % 60 = 59 OR pub_id < 60"
+    expected = set(duckdb.sql(f"SELECT * FROM ({sql}) WHERE {cut}").fetchall())
+    assert {tuple(r) for r in registry.QUERIES["content_sequence_ids"](spark, str(tmp_path)).filter(cut).collect()} == expected
+
+
 def test_funnel_run_equals_plain_python(spark):
     from storyline.plans import story_queries
 
