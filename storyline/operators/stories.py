@@ -1,17 +1,11 @@
-"""Grouping reports to events: blocking by rare items, weighted pair scores, components, merging of events.
+"""Grouping reports to events: pairs inside a horizon of time, weighted scores, components, merging of events.
 
 A report is a set of items: terms and title words (of its language), entities, title entities, numbers, quotes, dates.
 An event is the same table over its members: weights of terms add up, those of entities keep the maximum. One scoring
 serves both: a report against a report, a report against an event, an event against an event.
 
-Blocking is exact for the attaching rule. A pair that attaches has a term cosine of 0.5 or more, or a number that is
-specific enough, or two items in common among entities and numbers. So the keys are
-  * terms, from the rarest on, until what is left of a vector is shorter than 0.5: if all terms in common were in that
-    rest, the cosine would stay under it;
-  * specific numbers;
-  * entities and numbers but the most frequent one of each report: of two in common one is left.
-Pairs meet inside a horizon of time; keys carry the time in horizons, so that a key that all reports share holds no more
-than the reports of two horizons, and Spark can split its join.
+Pairs meet by time alone: every report is scored against all of its horizon and of the one before (profiles), so that none
+that attaches is lost and no key that many reports share can fill a task.
 
 The earlier of two reports (by time, then id) takes the part of the event. Components of the attached pairs don't depend
 on the order of arrival. Merging scores the events' profiles, unites those that match strongly, and goes on with the
@@ -23,14 +17,13 @@ id; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyline.functions.features import number_specificity
+from storyline.operators import profiles
 from storyline.operators.graph import connected_components
-from storyline.operators.similarity import LEVELS, pair_score, time_factor
+from storyline.operators.profiles import Packed
 from storyline.sources.scratch import discard, written
 
 HORIZON = 72 * 3600
@@ -73,12 +66,6 @@ def heads_of(reports: DataFrame) -> DataFrame:
     return langs.groupBy("id").agg(best, F.min("sec").alias("sec"), F.sum("n").alias("size"))
 
 
-def regrouped(items: DataFrame, labels: DataFrame) -> DataFrame:
-    """Items of the events. labels: id, event."""
-    tf = F.when(F.col("kind") == "term", F.sum("tf")).otherwise(F.max("tf")).alias("tf")
-    return items.join(labels, "id").groupBy(F.col("event").alias("id"), "kind", "lang", "key").agg(tf)
-
-
 def frequencies(items: DataFrame) -> DataFrame:
     """kind, lang, key, df: how many reports have an item."""
     return items.groupBy("kind", "lang", "key").agg(F.count("*").alias("df"))
@@ -110,149 +97,57 @@ def weighted(items: DataFrame, df: DataFrame, n: int) -> DataFrame:
     return out.select("id", "kind", "lang", "key", "df", "idf", w.alias("w"), u.alias("u"))
 
 
-@dataclass(frozen=True)
-class Keys:
-    """Blocking keys of reports or events: rows (id, sec, kind, lang, key, x), x being a term's share of its vector; and by
-    id and lang how far the vectors' first terms reach: last (df, key), rest (square of what is behind), under (square of
-    what lies in terms of less than 2^k occurrences)."""
-
-    rows: DataFrame
-    reach: DataFrame
-
-    def only(self, ids: DataFrame, how: str = "left_semi") -> Keys:
-        return Keys(self.rows.join(ids, "id", how), self.reach)
-
-
-def blocking_keys(items: DataFrame, heads: DataFrame, weight: str) -> Keys:
-    """The keys by which an attaching partner is found. items: weighted."""
-    terms = items.filter("kind = 'term'").withColumn("w2", F.col(weight) * F.col(weight))
-    by = Window.partitionBy("id", "lang")
-    upward = by.orderBy(F.desc("df"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mass = terms.withColumns({"all": F.sum("w2").over(by), "rest": F.sum("w2").over(upward)})
-    # a rounding error's width more than the bound demands
-    first = F.col("rest") >= (COS_ALONE * COS_ALONE - 1e-9) * F.col("all")
-    share = F.when(F.col("all") > 0, F.col("w2") / F.col("all")).otherwise(0.0)
-    mass = written(mass.select("id", "kind", "lang", "key", "df", first.alias("first"), share.alias("share")), "term-shares")
-    level = F.floor(F.log2(F.greatest("df", F.lit(1))) + 1e-9).cast("int")
-    last = F.max(F.when(F.col("first"), F.struct("df", "key"))).alias("last")
-    levels = mass.groupBy("id", "lang", level.alias("level")).agg(F.sum("share").alias("mass"), last, F.sum(F.when(F.col("first"), F.col("share"))).alias("head"))
-    under = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.aggregate("m", F.lit(0.0), lambda t, x: t + F.when(x["level"] < k, x["mass"]).otherwise(0.0)))
-    reach = levels.groupBy("id", "lang").agg(F.collect_list(F.struct("level", "mass")).alias("m"), F.max("last").alias("last"), F.sum("head").alias("head"))
-    reach = written(reach.select("id", "lang", "last", (1 - F.col("head")).alias("rest"), under.alias("under")), "term-reach")
-    chosen = mass.filter("first").select("id", "kind", "lang", "key", F.sqrt("share").alias("x"))
-    sure = (F.col("kind") == "num") & (number_specificity(F.col("key")) >= 0.75)
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), "kind", F.desc("key")))
-    others = items.filter("kind IN ('ent', 'num')").withColumn("place", place).filter((F.col("place") > 1) | sure)
-    others = others.select("id", "kind", "lang", "key", F.lit(None).cast("double").alias("x"))
-    return Keys(chosen.unionByName(others).join(heads.select("id", "sec"), "id"), reach)
-
-
-def candidates(new: Keys, old: Keys, horizon: int = HORIZON) -> DataFrame:
-    """v, p: pairs that may attach, v the later report. new: keys by w; old: keys by u.
-
-    Pairs that meet on terms only must reach a cosine of COS_ALONE: the products of the first terms are summed, and what is
-    behind those of the one that ends first is bounded by its length times that of the other's rest.
-    """
-    at = F.floor(F.col("sec") / horizon)
-    v = new.rows.select("kind", "lang", "key", F.col("id").alias("v"), F.col("sec").alias("sv"), F.col("x").alias("xv"), at.alias("at"))
-    p = old.rows.select("kind", "lang", "key", F.col("id").alias("p"), F.col("sec").alias("sp"), F.col("x").alias("xp"), F.explode(F.array(at, at + 1)).alias("at"))
-    later = (F.col("sp") < F.col("sv")) | ((F.col("sp") == F.col("sv")) & (F.col("p") < F.col("v")))
-    met = v.join(p, ["kind", "lang", "key", "at"]).filter(later & (F.col("sv") - F.col("sp") <= horizon))
-    # a pair meets in one horizon only, so no term counts twice
-    sums = met.groupBy("v", "p", "lang").agg(F.sum(F.col("xv") * F.col("xp")).alias("head"))
-    by_items = sums.filter("head IS NULL").select("v", "p")
-    terms = sums.filter("head IS NOT NULL")
-    for x, keys in (("v", new), ("p", old)):
-        terms = terms.join(keys.reach.select(F.col("id").alias(x), "lang", *(F.col(c).alias(f"{c}_{x}") for c in ("last", "rest", "under"))), [x, "lang"])
-
-    def behind(x: str, y: str) -> Column:
-        at = F.floor(F.log2(F.greatest(F.col(f"last_{x}.df"), F.lit(1))) + 1e-9).cast("int")
-        return F.greatest(F.lit(0.0), F.col(f"rest_{x}")) * F.greatest(F.lit(0.0), 1 - F.get(F.col(f"under_{y}"), at))
-
-    left = F.sqrt(F.when(F.col("last_v") <= F.col("last_p"), behind("v", "p")).otherwise(behind("p", "v")))
-    return by_items.unionByName(terms.filter(F.col("head") + left >= COS_ALONE - 1e-9).select("v", "p")).distinct()
-
-
-def scored(pairs: DataFrame, heads: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs (v, p) with their shares, score, cross_lang and attach. items: weighted; heads: id, lang, sec, size."""
-    sides = [heads.select(F.col("id").alias(x), F.col("lang").alias(f"l{x}"), F.col("sec").alias(f"s{x}"), F.col("size").alias(f"n{x}")) for x in "vp"]
-    pairs = pairs.join(sides[0], "v").join(sides[1], "p")
-    own = F.col("lang").isin("") | (F.col("lang") == F.col("lv"))
-    match = F.when(F.col("kind") == "title_ent", "ent").otherwise(F.col("kind"))
-    report = items.select(F.col("id").alias("v"), F.col("kind").alias("as"), match.alias("kind"), "lang", "key", "idf", "w")
-    event = items.select(F.col("id").alias("p"), "kind", "lang", "key", "u")
-    met = pairs.join(report, "v").filter(own).join(event, ["p", "kind", "lang", "key"])
-
-    def over(kind: str, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("as") == kind, value)), F.lit(0.0))
-
-    one = F.lit(1.0)
-    shared = met.groupBy("v", "p").agg(
-        over("term", F.col("w") * F.col("u")).alias("dot"),
-        over("title", F.col("idf")).alias("title"),
-        over("ent", F.least("w", "u")).alias("least"),
-        over("ent", one).alias("shared_ent"),
-        over("title_ent", one).alias("shared_title"),
-        over("num", one).alias("shared_num"),
-        over("num", number_specificity(F.col("key"))).alias("num_w"),
-        over("quote", one).alias("quotes"),
-        over("date", one).alias("dates"),
-    )
-
-    def total(kind: str, value: Column, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0.0)).alias(name)
-
-    by_lang = items.filter(F.col("kind").isin(*OF_LANGUAGE)).groupBy("id", "lang")
-    by_lang = by_lang.agg(total("term", F.col("w") * F.col("w"), "ww"), total("term", F.col("u") * F.col("u"), "uu"), total("title", F.col("idf"), "titles"))
-    rest = items.filter(F.col("kind").isin("ent", "num")).groupBy("id").agg(total("ent", F.col("w"), "ents"), total("num", one, "nums"))
-    out = pairs.join(shared, ["v", "p"])
-    for x in "vp":
-        out = out.join(by_lang.select(F.col("id").alias(x), F.col("lang").alias("lv"), *(F.col(c).alias(f"{c}_{x}") for c in ("ww", "uu", "titles"))), [x, "lv"], "left")
-        out = out.join(rest.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("ents", "nums"))), x, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    same = F.col("uu_p").isNotNull()
-    cos = F.when(same, zero(F.try_divide("dot", F.sqrt(F.col("ww_v") * F.col("uu_p"))))).otherwise(0.0)
-    title = F.when(same, zero(F.try_divide("title", zero(F.col("titles_v")) + zero(F.col("titles_p")) - F.col("title")))).otherwise(0.0)
-    ent = zero(F.try_divide("least", zero(F.col("ents_v")) + zero(F.col("ents_p")) - F.col("least")))
-    fewer = F.least(zero(F.col("nums_v")), zero(F.col("nums_p")))
-    num = F.when(fewer > 0, F.least(F.lit(1.0), F.col("num_w") / F.greatest(F.lit(1.0), 0.75 * fewer))).otherwise(0.0)
-    quote = (F.col("quotes") > 0).cast("double")
-    time = time_factor(F.abs(F.col("sv") - F.col("sp")) / 3600)
-    out = out.withColumns({"cos": cos, "title_share": title, "ent": ent, "num": num, "quote": quote, "time": time})
-    c = F.col
-    lexical = pair_score(c("cos"), c("title_share"), c("ent"), c("num"), c("quote"), (c("quote") > 0) & (c("shared_ent") > 0), c("time"))
-    by_items = (0.40 * c("ent") + 0.35 * c("num") + 0.10 * (c("dates") > 0).cast("double") + 0.15 * F.least(F.lit(1.0), c("shared_title") / 3)) * (0.8 + 0.2 * c("time"))
-    out = out.withColumns({"lexical": F.when(same, lexical).otherwise(0.0), "by_items": by_items})
+def rules(same: np.ndarray, cos: np.ndarray, title: np.ndarray, ent: np.ndarray, num: np.ndarray, quote: np.ndarray, date: np.ndarray, gap_h: np.ndarray, shared_ent: np.ndarray, shared_title: np.ndarray, num_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score, and whether a pair attaches, from its shares."""
+    time = np.where(gap_h <= 24, 1.0, np.maximum(0.35, 1 - (gap_h - 24) / 70))
+    quoted = np.where(quote & (shared_ent > 0), 0.10, 0.0)
+    lexical = np.where(same, (0.44 * cos + 0.14 * title + 0.18 * ent + 0.16 * num + 0.06 * quote + quoted) * (0.75 + 0.25 * time), 0.0)
+    by_items = (0.40 * ent + 0.35 * num + 0.10 * date + 0.15 * np.minimum(1.0, shared_title / 3)) * (0.8 + 0.2 * time)
     # fixed values: the two rules of attaching
-    near = (c("shared_ent") >= 2) | (c("num_w") >= 0.75) | (c("cos") >= COS_ALONE)
-    about = (c("shared_title") >= 1) | (c("title_share") >= 0.15) | (c("cos") >= 0.4) | (c("num_w") >= 1.5)
-    first = same & (c("lexical") >= ATTACH) & (c("cos") >= 0.15) & near & about
-    few = ((c("shared_ent") >= 2) & (c("num_w") >= 1.2)) | ((c("shared_ent") >= 1) & (c("num_w") >= 1.75))
-    many = ((c("shared_ent") >= 3) & (c("num_w") >= 0.75)) | ((c("shared_ent") >= 5) & (c("shared_title") >= 1))
-    second = (c("by_items") >= ATTACH) & (few | many)
-    score = F.greatest("lexical", "by_items")
-    return out.select("v", "p", score.alias("score"), "cos", "title_share", "ent", "shared_ent", "num", "shared_num", "quote", (~same).alias("cross_lang"), (first | second).alias("attach"), "sv", "sp", "nv", "np")
+    near = (shared_ent >= 2) | (num_w >= 0.75) | (cos >= COS_ALONE)
+    about = (shared_title >= 1) | (title >= 0.15) | (cos >= 0.4) | (num_w >= 1.5)
+    first = same & (lexical >= ATTACH) & (cos >= 0.15) & near & about
+    few = ((shared_ent >= 2) & (num_w >= 1.2)) | ((shared_ent >= 1) & (num_w >= 1.75))
+    many = ((shared_ent >= 3) & (num_w >= 0.75)) | ((shared_ent >= 5) & (shared_title >= 1))
+    return np.maximum(lexical, by_items), first | ((by_items >= ATTACH) & (few | many))
 
 
 def attached(heads: DataFrame, items: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """All pairs of reports that attach, with their scores. items: weighted."""
-    keys = [blocking_keys(items, heads, x) for x in "wu"]
-    return scored(candidates(*keys, horizon), heads, items).filter("attach")
+    # of a report min(tf, 2) is tf
+    counted = items.withColumn("tf", F.when(F.col("kind") == "term", F.col("w") / F.col("idf")).otherwise(F.col("w")))
+    return attached_profiles(profiles.of_items(counted, heads), horizon)
+
+
+def attached_profiles(given: Packed, horizon: int = HORIZON) -> DataFrame:
+    """All pairs of reports that attach, with their scores."""
+    return profiles.attaching(given, rules, horizon)
+
+
+def plain_profiles(items: DataFrame, heads: DataFrame, df: DataFrame, n: int) -> Packed:
+    """Profiles of plain items, a written table."""
+    weights = weighted(items, df, n).select("id", "kind", "lang", "key", "idf")
+    made = profiles.of_items(items.join(weights, ["id", "kind", "lang", "key"]), heads)
+    return Packed(written(made.rows, "profiles"), made.idf)
 
 
 def best_event(reports: DataFrame, new: DataFrame, items: DataFrame, labels: DataFrame, df: DataFrame, n: int, horizon: int = HORIZON) -> DataFrame:
+    """best_event_profiles of reports given by their plain items. reports: id, lang, sec."""
+    heads = reports.select("id", "lang", "sec", F.lit(1).cast("long").alias("size"))
+    return best_event_profiles(plain_profiles(items, heads, df, n), new, labels, horizon)
+
+
+def best_event_profiles(given: Packed, new: DataFrame, labels: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """id, event, score, cos of the event to which each new report attaches best (by score, then the smaller event).
 
-    reports: id, lang, sec; items: of the reports, plain; new: ids of the reports to attach; labels: id, event of others.
+    given: profiles of all reports; new: ids of the reports to attach; labels: id, event of others.
     An event takes reports from its first one on, up to a horizon later.
     """
-    known = reports.join(labels, "id")
-    heads = heads_of(known.select(F.col("event").alias("id"), "lang", "sec")).unionByName(heads_of(reports.join(new, "id", "left_semi")))
-    both = regrouped(items, labels).unionByName(items.join(new, "id", "left_semi"))
-    both = written(weighted(both, df, n), "event-items")
-    mine = both.join(new, "id", "left_semi")
-    pairs = candidates(blocking_keys(mine, heads, "w"), blocking_keys(both.join(new, "id", "left_anti"), heads, "u"), horizon)
-    found = scored(pairs, heads, both).filter("attach")
+    heads = heads_of(given.rows.join(labels, "id").select(F.col("event").alias("id"), "lang", "sec"))
+    events = profiles.regrouped(given.rows.join(labels.select("id"), "id", "left_semi"), labels, heads)
+    mine = given.rows.join(new, "id", "left_semi")
+    both = Packed(written(events.unionByName(mine), "event-profiles"), given.idf)
+    found = profiles.attaching(both, rules, horizon, new.select("id"), "to_old")
     best = F.max_by(F.struct("p", "score", "cos"), F.struct("score", (-F.col("p")).alias("least"))).alias("b")
     return found.groupBy(F.col("v").alias("id")).agg(best).select("id", F.col("b.p").alias("event"), "b.score", "b.cos")
 
@@ -264,27 +159,30 @@ def components(heads: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def merged(reports: DataFrame, items: DataFrame, labels: DataFrame, df: DataFrame, n: int, max_rounds: int = 30) -> DataFrame:
-    """labels (id, event) with events united that match strongly. reports: id, lang, sec; items: of the reports, plain.
+    """merged_profiles of reports given by their plain items. reports: id, lang, sec."""
+    heads = reports.select("id", "lang", "sec", F.lit(1).cast("long").alias("size"))
+    return merged_profiles(plain_profiles(items, heads, df, n), labels, max_rounds)
+
+
+def merged_profiles(given: Packed, labels: DataFrame, max_rounds: int = 30) -> DataFrame:
+    """labels (id, event) with events united that match strongly. given: profiles of the reports, a written table.
 
-    Every round scores the profiles as they are after the round before. The event of fewer reports takes the part of the
-    report (of two equal ones the later).
+    Every round scores the profiles as they are after the round before, from the second on only pairs of which one has
+    changed. The event of fewer reports takes the part of the report (of two equal ones the later).
     """
-    labels = written(labels, "events")
+    reports = given.rows.select("id", "lang", "sec")
+    labels, changed = written(labels, "events"), None
     for _ in range(max_rounds):
-        of = reports.join(labels, "id").select(F.col("event").alias("id"), "lang", "sec")
-        heads = written(heads_of(of), "event-heads")
-        profiles = written(weighted(regrouped(items, labels), df, n), "event-items")
-        keys = [blocking_keys(profiles, heads, x) for x in "wu"]
-        size = heads.select(F.col("id").alias("k"), "size")
-        pairs = candidates(*keys, MERGE_GAP).unionByName(candidates(keys[1], keys[0], MERGE_GAP)).distinct()
-        pairs = pairs.join(size.toDF("v", "a"), "v").join(size.toDF("p", "b"), "p")
-        ordered = pairs.select(F.when(F.col("a") <= F.col("b"), F.col("v")).otherwise(F.col("p")).alias("v"), F.when(F.col("a") <= F.col("b"), F.col("p")).otherwise(F.col("v")).alias("p"))
-        strong = scored(ordered.distinct(), heads, profiles).filter(F.col("attach") & (F.col("score") >= MERGE) & ((F.col("cos") >= MERGE_COS) | F.col("cross_lang")))
+        heads = written(heads_of(reports.join(labels, "id").select(F.col("event").alias("id"), "lang", "sec")), "event-heads")
+        events = Packed(written(profiles.regrouped(given.rows, labels, heads), "event-profiles"), given.idf)
+        strong = profiles.attaching(events, rules, MERGE_GAP, changed, by_size=True).filter((F.col("score") >= MERGE) & ((F.col("cos") >= MERGE_COS) | F.col("cross_lang")))
         links = written(strong.select("v", "p"), "merges")
+        discard(events.rows, heads, changed)
         if links.isEmpty():
-            discard(heads, profiles, links)
+            discard(links)
             return labels
-        united = components(heads, links).toDF("event", "into")
-        before, labels = labels, written(labels.join(united, "event").select("id", F.col("into").alias("event")), "events")
-        discard(before, heads, profiles, links)
+        united = written(connected_components(links.select(F.col("v").alias("a"), F.col("p").alias("b"))).toDF("event", "into"), "united")
+        before, labels = labels, written(labels.join(united, "event", "left").select("id", F.coalesce("into", "event").alias("event")), "events")
+        changed = written(united.select(F.col("into").alias("id")).distinct(), "changed")
+        discard(before, links, united)
     raise RuntimeError(f"events have not settled after {max_rounds} rounds")

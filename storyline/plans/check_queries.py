@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline.functions import text
-from storyline.operators import checks, similarity, stories
+from storyline.operators import checks, similarity
 from storyline.plans import cluster_queries as cluster
 from storyline.plans.text_queries import GRAMS, REDACTED, five_grams
 from storyline.sources.scratch import written
@@ -140,10 +140,7 @@ def version_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of the events that the documents form, and the decision: independent sources, conflicting and shared
     numbers, doubt, reliability (mean quality label of a source)."""
-    given = cluster.reports(spark, sf_dir)
-    heads, items, df, n = cluster.prepared(given)
-    links = written(stories.attached(heads, written(stories.weighted(items, df, n), "weighted-items")).select("v", "p"), "attached")
-    events = written(stories.components(heads, links).toDF("doc_id", "event"), "components")
+    events = written(cluster.events(spark, sf_dir, cluster.prepared(spark, sf_dir)).toDF("doc_id", "event"), "components")
     docs = drafts(spark, sf_dir)
     trust = docs.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.avg("quality").alias("trust"))
     firsts = events.join(docs.select("doc_id", "source"), "doc_id").groupBy("event", "source").agg(F.min("doc_id").alias("first"))

@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.operators import stories
-from storyline.sources.scratch import TABLES, shared_dir, written
+from storyline.operators import profiles, stories
+from storyline.operators.profiles import Packed
+from storyline.sources.scratch import TABLES, discard, shared_dir, written
 from storyline.sources.tables import table
 from storyline.streaming import stories as stream
 
@@ -34,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, lang, sec and the arrays of a report, a written table."""
+    """id, lang, sec and the arrays of a report."""
     text = F.coalesce("text", F.lit(""))
     first = F.substring_index(text, "\n", 1)
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0)))
@@ -53,14 +54,23 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(every('"([^"]{8,})"', 1), F.lower).alias("quotes"),
         every("[0-9]{4}-[0-9]{2}-[0-9]{2}", 0).alias("dates"),
     )
-    return written(found, "reports")
+    return found
 
 
-def prepared(given: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Heads, plain items, frequencies over all reports and their number."""
-    items = written(stories.report_items(given), "report-items")
-    heads = given.select("id", "lang", "sec", F.lit(1).cast("long").alias("size"))
-    return heads, items, written(stories.frequencies(items), "item-frequencies"), given.count()
+def prepared(spark: SparkSession, sf_dir: str) -> Packed:
+    """Profiles of all documents, weighted by the frequencies over all of them: a written table."""
+    hashed = written(profiles.hashed(reports(spark, sf_dir)), "report-hashes")
+    df = written(profiles.frequencies(hashed), "item-frequencies")
+    made = profiles.packed(hashed, df, hashed.count(), all_counted=True)
+    given = Packed(written(made.rows, "profiles"), made.idf)
+    discard(hashed)
+    return given
+
+
+def events(spark: SparkSession, sf_dir: str, given: Packed) -> DataFrame:
+    """id, event: components of the attached pairs."""
+    links = written(stories.attached_profiles(given).select("v", "p"), "attached")
+    return stories.components(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), links)
 
 
 ITEMS = r"""WITH RECURSIVE r AS (SELECT doc_id AS id, lang, doc_id * 600 AS sec, coalesce(text, '') AS x, split_part(coalesce(text, ''), chr(10), 1) AS first FROM documents),
@@ -115,9 +125,8 @@ COMPONENTS = (
 
 @query(PAIRS + "SELECT v, p, round(score, 6) AS score, round(cos, 6) AS cos, round(title_share, 6) AS title_share, round(ent, 6) AS ent, CAST(shared_ent AS BIGINT) AS shared_ent, round(num, 6) AS num, CAST(shared_num AS BIGINT) AS shared_num FROM pairs")
 def story_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of reports that attach, scored; candidates by exact blocking keys, no bound on them."""
-    heads, items, df, n = prepared(reports(spark, sf_dir))
-    found = stories.attached(heads, written(stories.weighted(items, df, n), "weighted-items"))
+    """All pairs of reports that attach, scored; all pairs of a horizon are compared."""
+    found = stories.attached_profiles(prepared(spark, sf_dir))
     rounded = [F.round(c, 6).alias(c) for c in ("score", "cos", "title_share", "ent", "num")]
     return found.select("v", "p", *rounded, *(F.col(c).cast("long").alias(c) for c in ("shared_ent", "shared_num")))
 
@@ -125,16 +134,14 @@ def story_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(COMPONENTS)
 def story_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as components of the attached pairs of all reports."""
-    heads, items, df, n = prepared(reports(spark, sf_dir))
-    links = written(stories.attached(heads, written(stories.weighted(items, df, n), "weighted-items")).select("v", "p"), "attached")
-    return stories.components(heads, links).select(F.col("id").alias("doc_id"), F.col("event").alias("event_id"))
+    return events(spark, sf_dir, prepared(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.col("event").alias("event_id"))
 
 
 @query(COMPONENTS)
 def story_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events by micro-batches of a stream, with frozen frequencies: state by batch, one batch a file."""
     given = reports(spark, sf_dir)
-    _, _, df, n = prepared(given)
+    df, n = written(profiles.frequencies(profiles.hashed(given)), "item-frequencies"), table(spark, sf_dir, "documents").count()
     name = f"story-stream-{uuid.uuid4().hex}"
     state = stream.EventState(spark, f"{shared_dir(spark)}/{name}")
     source = stream.arrivals(given, BATCHES, f"{name}-reports")
@@ -146,25 +153,20 @@ def story_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def story_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events after merging: profiles that match strongly are united, again and again until none is left."""
-    given = reports(spark, sf_dir)
-    heads, items, df, n = prepared(given)
-    links = written(stories.attached(heads, written(stories.weighted(items, df, n), "weighted-items")).select("v", "p"), "attached")
-    labels = written(stories.components(heads, links), "components")
-    found = stories.merged(given.select("id", "lang", "sec"), items, labels, df, n)
+    given = prepared(spark, sf_dir)
+    found = stories.merged_profiles(given, written(events(spark, sf_dir, given), "components"))
     return found.select(F.col("id").alias("doc_id"), F.col("event").alias("event_id"))
 
 
 @query()
 def story_best_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of the last day and the event of the earlier ones to which each attaches best."""
-    given = reports(spark, sf_dir)
-    heads, items, df, n = prepared(given)
-    last = given.agg(F.max("sec")).first()[0] or 0
-    new, old = (given.filter(c).select("id") for c in (F.col("sec") > last - 86_400, F.col("sec") <= last - 86_400))
-    known = heads.join(old, "id", "left_semi")
-    weighed = written(stories.weighted(items.join(old, "id", "left_semi"), df, n), "weighted-items")
-    labels = written(stories.components(known, written(stories.attached(known, weighed).select("v", "p"), "attached")), "components")
-    found = stories.best_event(given.select("id", "lang", "sec"), new, items, labels, df, n)
+    given = prepared(spark, sf_dir)
+    last = given.rows.agg(F.max("sec")).first()[0] or 0
+    new, old = (given.rows.filter(c) for c in (F.col("sec") > last - 86_400, F.col("sec") <= last - 86_400))
+    links = written(stories.attached_profiles(Packed(old, given.idf)).select("v", "p"), "attached")
+    labels = written(stories.components(old.select("id"), links), "components")
+    found = stories.best_event_profiles(given, new.select("id"), labels)
     return found.select(F.col("id").alias("doc_id"), F.col("event").alias("event_id"), F.round("score", 6).alias("score"), F.round("cos", 6).alias("cos"))
 
 

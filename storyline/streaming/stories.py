@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.operators import stories
+from storyline.operators import profiles, stories
 from storyline.operators.graph import connected_components
 from storyline.sources.scratch import TABLES, clear_since, exists, folder_of, shared_dir, written
 
@@ -57,13 +57,15 @@ class EventState:
 
 
 def added(before: DataFrame, items: DataFrame) -> DataFrame:
-    """Frequencies after a batch."""
-    both = before.unionByName(stories.frequencies(items))
+    """Frequencies after a batch, of what they weigh."""
+    weighing = items.filter(F.col("kind").isin(*stories.OF_LANGUAGE))
+    both = before.unionByName(stories.frequencies(weighing))
     return both.groupBy("kind", "lang", "key").agg(F.sum("df").alias("df"))
 
 
 def advance(batch: DataFrame, number: int, state: EventState, horizon: int = stories.HORIZON, delay: int = stories.HORIZON, frozen: tuple[DataFrame, int] | None = None) -> None:
-    """One micro-batch of reports (REPORT). frozen: frequencies and number of reports that weigh every batch."""
+    """One micro-batch of reports (REPORT). frozen: frequencies (kind, lang, key, df, or profiles.frequencies) and number of reports
+    that weigh every batch."""
     marks = state.get("marks", number - 1, "latest long, reports long").first()
     latest, before = (marks.latest, marks.reports) if marks else (None, 0)
     watermark = None if latest is None else latest - delay
@@ -74,18 +76,14 @@ def advance(batch: DataFrame, number: int, state: EventState, horizon: int = sto
     if watermark is not None:
         live = live.filter(F.col("sec") >= watermark - horizon)
     new = new.join(live.select("id"), "id", "left_anti")  # sent again
-    items = written(stories.report_items(new), "batch-items")
-
     counts = state.get("frequencies", number - 1, FREQUENCY)
     df, n = frozen or (counts, before)
+    df = df if "h" in df.columns else profiles.hashed_frequencies(df)
     both = new.unionByName(live.drop("event"))
-    heads = written(both.select("id", "lang", "sec", F.lit(1).cast("long").alias("size")), "live-heads")
-    weighed = written(stories.weighted(items.unionByName(stories.report_items(live)), df, n), "live-items")
-    mine = new.select("id")
-    w, u = (stories.blocking_keys(weighed, heads, x) for x in "wu")
-    pairs = stories.candidates(w.only(mine), u, horizon)
-    pairs = pairs.unionByName(stories.candidates(w.only(mine, "left_anti"), u.only(mine), horizon))
-    links = written(stories.scored(pairs, heads, weighed).filter("attach").select("v", "p", "score", "cos"), "batch-links")
+    given = profiles.packed(profiles.hashed(both), df, n, all_counted=False)
+    given = profiles.Packed(written(given.rows, "live-profiles"), given.idf)
+    links = profiles.attaching(given, stories.rules, horizon, new.select("id"))
+    links = written(links.select("v", "p", "score", "cos"), "batch-links")
 
     event = live.select("id", "event").unionByName(new.select("id", F.col("id").alias("event")))
     edges = links.join(event.toDF("v", "a"), "v").join(event.toDF("p", "b"), "p").select("a", "b")
@@ -96,7 +94,7 @@ def advance(batch: DataFrame, number: int, state: EventState, horizon: int = sto
     state.put(moves, "moves", number)
     state.put(new.select("id", F.col("id").alias("event")), "assigned", number)
     state.put(links, "links", number)
-    state.put(added(counts, items), "frequencies", number)
+    state.put(added(counts, stories.report_items(new)), "frequencies", number)
     top = new.agg(F.max("sec").alias("latest"), F.count("*").alias("n")).first()
     ends = [x for x in (latest, top.latest) if x is not None]
     state.put(state.spark.createDataFrame([(max(ends, default=None), before + top.n)], "latest long, reports long").coalesce(1), "marks", number)

@@ -3,11 +3,14 @@
 import itertools
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from storyline.operators import stories
+from storyline.operators import profiles, stories
+from storyline.plans import cluster_queries
+from storyline.sources.scratch import TABLES
 from storyline.streaming import stories as stream
 
 H = 3600
@@ -240,3 +243,26 @@ def test_empty_tables(spark):
     df = stories.frequencies(items)
     assert stories.attached(heads, stories.weighted(items, df, 0)).count() == 0
     assert stories.merged(none.select("id", "lang", "sec"), items, none.select("id", F.col("id").alias("event")), df, 0).count() == 0
+
+
+@pytest.mark.parametrize("known", [0, 40])
+def test_pairs_are_the_same_in_small_tiles_and_with_joined_weights(given, spark, monkeypatch, known):
+    rows, _, _, _, n = given
+    monkeypatch.setattr(profiles, "TILE", 7)
+    monkeypatch.setattr(profiles, "MOST_KNOWN", known)
+    hashed = profiles.hashed(frame(spark, rows))
+    for all_counted in (True, False):
+        found = stories.attached_profiles(profiles.packed(hashed, profiles.frequencies(hashed), n, all_counted)).collect()
+        plain = plain_links(rows, plain_frequencies(rows), n)
+        scores = {(r.v, r.p): r.score for r in found}
+        assert len(found) == len(plain) and scores == pytest.approx({k: s for k, (s, _) in plain.items()}, abs=1e-8)
+
+
+def test_pairs_of_reports_leave_less_on_disk_than_they_read(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, "en", " ".join(rng.choices(WORDS, k=60) + [f"{rng.randrange(10**9):x}" for _ in range(60)])) for i in range(800)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    mark = len(TABLES)
+    assert cluster_queries.story_pairs(spark, str(tmp_path)).count() >= 0
+    size = lambda path: sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("*.parquet"))
+    assert sum(map(size, TABLES[mark:])) < size(str(tmp_path / "documents.parquet"))  # before: rows of items, three times
