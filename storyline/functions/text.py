@@ -121,8 +121,8 @@ def stem(token: Column, lang: Column | None = None) -> Column:
 
 def tokenize(c: Column, stemming: bool = True) -> Column:
     """Words without stop-words of three languages and single letters, stemmed by the text's language."""
-    stops = F.array(*map(F.lit, sorted({*STOP_RU, *STOP_KK, *STOP_EN})))
-    words = F.filter(word_tokens(c), lambda t: ~F.array_contains(stops, t) & ((F.length(t) >= 2) | t.rlike(r"(?U)^\d$")))
+    stops = sorted({*STOP_RU, *STOP_KK, *STOP_EN})  # as literals: Spark looks them up in a hash set
+    words = F.filter(word_tokens(c), lambda t: ~t.isin(*stops) & ((F.length(t) >= 2) | t.rlike(r"(?U)^\d$")))
     return let(detect_language(normalize(c)), lambda lang: F.transform(words, lambda t: stem(t, lang))) if stemming else words
 
 
