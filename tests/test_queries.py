@@ -67,3 +67,16 @@ def test_stop_words_are_looked_up_not_searched(spark):
 
     d = spark.createDataFrame([("The ministers of и Москва said 7 x times",)], "t string").select(text.tokenize(F.col("t"), stemming=False).alias("w"))
     assert "array_contains" not in plan(d).lower() and d.first().w == ["ministers", "москва", "7", "times"]
+
+
+def test_nearest_vectors_by_products_keep_the_order_of_equal_ones(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    some = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(7)]
+    rows = [(i, some[i % 7]) for i in range(250)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = registry.QUERIES["dense_cosine_topk"](spark, str(tmp_path))
+    assert "NestedLoop" not in plan(found)
+    near = {q: sorted(r.vec_id for r in found.collect() if r.q == q) for q in (0, 100, 200)}
+    assert near == {q: [i for i in range(q % 7, 250, 7) if i != q][:5] for q in near}
