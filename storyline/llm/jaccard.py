@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyline.llm.common import discard, lower_bytes, map_rows, private, written
+from storyline.llm.common import discard, few, lower_bytes, map_rows, private, written
 from storyline.llm.simhash import keep_of_classes
 from storyline.operators.graph import connected_components
 
@@ -102,17 +102,19 @@ def uid_of(tokens: np.ndarray) -> int:
 
 
 def token_sets(docs: DataFrame, uids: DataFrame, sets: DataFrame) -> DataFrame:
-    """uid and tokens of the given sets, from one text of each."""
+    """uid and tokens of the given sets, from one text of each; other texts are read, but not moved."""
     (hash_,) = private(docs, "_hash")
-    one = sets.select("uid", "text_hash").join(uids, "uid", "left_semi").select(F.col("text_hash").alias(hash_))
-    texts = docs.select("text", F.xxhash64("text").alias(hash_)).join(one, hash_, "left_semi")
+    one = written(sets.select("uid", "text_hash").join(uids, "uid", "left_semi").select(F.col("text_hash").alias(hash_)).distinct(), "wanted-texts")
+    texts = docs.select("text", F.xxhash64("text").alias(hash_)).join(few(one), hash_, "left_semi")
 
     def rows(cols: dict[str, list]) -> dict:
         tokens = [shingles(t) for t in cols["text"]]
         return {"uid": [uid_of(t) for t in tokens], "tokens": tokens}
 
     schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
-    return written(map_rows(texts.select("text"), schema, rows, 200).dropDuplicates(["uid"]), "token-sets")
+    out = written(map_rows(texts.select("text"), schema, rows, 200).dropDuplicates(["uid"]), "token-sets")
+    discard(one)
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:

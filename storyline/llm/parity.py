@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyline.llm.common import discard, lower_bytes, map_rows, table, written
+from storyline.llm.common import discard, few, lower_bytes, map_rows, table, written
 from storyline.operators.graph import connected_components
 
 SHINGLE = 5
@@ -259,16 +259,18 @@ def meetings(keyed: DataFrame) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, uids: DataFrame, sets: DataFrame) -> DataFrame:
-    """uid and tokens of the given sets, from one text of each."""
-    one = sets.select("uid", "text_hash").join(uids, "uid", "left_semi").select("text_hash").distinct()
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(one, "text_hash", "left_semi")
+    """uid and tokens of the given sets, from one text of each; other texts are read, but not moved."""
+    one = written(sets.select("uid", "text_hash").join(uids, "uid", "left_semi").select("text_hash").distinct(), "wanted-texts")
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(few(one), "text_hash", "left_semi")
 
     def rows(cols: dict[str, list]) -> dict:
         tokens = [shingles(t) for t in cols["text"]]
         return {"uid": [uid_of(t) for t in tokens], "tokens": [t.view(np.int64) for t in tokens]}
 
     schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
-    return written(map_rows(texts.select("text"), schema, rows, 200).dropDuplicates(["uid"]), "token-sets")
+    out = written(map_rows(texts.select("text"), schema, rows, 200).dropDuplicates(["uid"]), "token-sets")
+    discard(one)
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:

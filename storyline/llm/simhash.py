@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyline.llm.common import lower_bytes, map_rows, private, table, written
+from storyline.llm.common import few, lower_bytes, map_rows, private, table, written
 from storyline.operators.graph import connected_components
 
 MAX_BITS = 3
@@ -256,8 +256,8 @@ def united(found: DataFrame, more: DataFrame) -> DataFrame:
 def keep_of_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """keep_one for given classes (doc_id, text_hash, class), a written table.
 
-    What to drop is decided on the narrow table and written: Spark broadcasts the ids while they are under its bound,
-    so that texts stay where they are, and joins by hash beyond it.
+    What to drop is decided on the narrow table and written: up to FEW ids are broadcast, so that texts stay where they
+    are, more are joined by hash.
     """
     best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
     best = written(best, "best")  # else the join would keep the aggregate's partitions, which Spark can't split
@@ -269,9 +269,10 @@ def keep_of_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     again = written(judged.filter("kept").groupBy("doc_id", "text_hash").count().filter("count > 1").select(*ids), "repeated")
     text_hash = F.xxhash64("text")
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_))
-    kept = docs.join(drop, same, "left_anti")
+    kept = docs.join(few(drop), same, "left_anti")
     if again.isEmpty():
         return kept
+    again = few(again)
     first = F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy(text_hash))
     one = kept.join(again, same, "left_semi").withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)
     return kept.join(again, same, "left_anti").unionByName(one)

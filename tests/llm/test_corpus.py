@@ -456,6 +456,21 @@ def test_near_copies_by_either_kind_of_link(spark, monkeypatch):
     assert {r.doc_id for r in corpus_pipeline.jaccard.keep_one(docs).collect()} == {ids[0], ids[2]}
 
 
+def test_near_duplicates_leave_texts_where_they_are(spark):
+    """Also where Spark would not broadcast the ids by itself: no plan of the stage moves texts."""
+    base = prose(400, 31).split()
+    far = base[:30] + [f"x{i}" for i in range(6)] + base[36:]
+    docs = frame(spark, [" ".join(base), " ".join(far), prose(50, 32)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and kept.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_toxicity_cut_is_the_best_of_all():
     rng = np.random.default_rng(12)
     for _ in range(50):
