@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storyline.functions import text
 from storyline.operators import checks, similarity
 from storyline.plans import cluster_queries as cluster
-from storyline.plans.text_queries import GRAMS, REDACTED, five_grams
+from storyline.plans.text_queries import GRAMS, REDACTED, plain_words
 from storyline.sources.scratch import written
 from storyline.sources.tables import table
 
@@ -98,21 +98,25 @@ def version_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = drafts(spark, sf_dir)
     numbers = written(number_rows(docs), "numbers")
     missing = checks.ungrounded_numbers(numbers, numbers.drop("draft")).select(F.col("draft").alias("doc_id"), F.col("missing").alias("missing_numbers"))
-    d, b = five_grams(spark, sf_dir)
-    copies = similarity.common_runs(d, b, 5).groupBy("doc_id").agg(F.max("run").alias("copy_run"))
-    copies = copies.join(similarity.copied_share(d, b).groupBy("doc_id").agg(F.max("copied").alias("copy_ratio")), "doc_id")
+    words = F.transform(plain_words(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w)).alias("words")
+    copies = similarity.copies(docs.select("doc_id", words), table(spark, sf_dir, "benchmark").select("item_id", words), 5)
     first = F.substring_index("text", "\n", 1)
-    titles = docs.withColumn("first", first).filter("first <> ''").groupBy("first").agg(F.min("doc_id").alias("since"))
+    head = F.when(first != "", F.xxhash64(first))  # the first line may be the whole text
+    titles = docs.select("doc_id", head.alias("first")).filter("first IS NOT NULL").groupBy("first")
+    titles = titles.agg(F.min("doc_id").alias("since"), F.count("*").alias("texts")).filter("texts > 1").select("first", "since")
     count = lambda rx, c="text": F.regexp_count(c, F.lit(rx))
     inputs = docs.select(
         "doc_id",
         F.col("lang").alias("language"),
-        F.col("text").alias("body"),
-        first.alias("first"),
+        # texts stay where they are: the rules ask for lengths and whether there is any text
+        F.when(F.trim("text") == "", "").otherwise("x").alias("body"),
+        F.length("text").alias("length"),
+        F.length(first).alias("first_line"),
+        head.alias("first"),
         count("#[A-Za-z0-9_]").alias("hashtags"),
         F.abs(count("<[a-z]") - count("</[a-z]")).alias("bad_tags"),
         count("idiot", F.lower("text")).alias("forbidden"),
-        (text.redact(F.col("text")) != F.col("text")).alias("secrets"),
+        text.has_secrets(F.col("text")).alias("secrets"),
         text.detect_language(F.col("text")).alias("text_language"),
     )
     joined = inputs.join(missing, "doc_id", "left").join(copies, "doc_id", "left").join(titles, "first", "left")

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from storyline.operators import checks
 
@@ -118,3 +119,36 @@ def test_decision(spark):
     assert [found[k][0] for k in range(1, 7)] == ["rejected", "multi_confirmed", "confirmed", "confirmed", "needs_check", "rejected"]
     assert found[2][2] == pytest.approx(0.35 + 0.15 + 0.1 + 0.07 + 0.05) and found[4][1] == "cited_official"
     assert found[1][2] == pytest.approx(0.4 * (0.35 / 3 + 0.1 + 0.05 + 0.05), abs=1e-6)
+
+
+def test_copies_in_one_scan_equal_runs_and_shares(spark):
+    """What version_checks asks of copies, against the operators that it took one scan of the texts each for."""
+    from storyline.functions import text
+    from storyline.operators import similarity
+
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(6)]
+    texts = [(i, [rng.choice(pool) for _ in range(rng.randrange(0, 30))]) for i in range(60)] + [(60, ["x"] * 9), (61, [])]
+    sources = [(i, [rng.choice(pool) for _ in range(rng.randrange(0, 40))]) for i in range(8)] + [(8, [])]
+    d, b = spark.createDataFrame(texts, "doc_id long, w array<string>"), spark.createDataFrame(sources, "item_id long, w array<string>")
+    grams, words = text.ngrams(F.col("w"), 5).alias("grams"), F.transform("w", lambda w: F.xxhash64(w)).alias("words")
+    d5, b5 = d.select("doc_id", grams), b.select("item_id", grams)
+    runs = {r.doc_id: r.run for r in similarity.common_runs(d5, b5, 5).groupBy("doc_id").agg(F.max("run").alias("run")).collect()}
+    shares = {r.doc_id: r.share for r in similarity.copied_share(d5, b5).groupBy("doc_id").agg(F.max("copied").alias("share")).collect()}
+    known = {k: (runs[k], shares[k]) for k in runs}
+    for most in (similarity.MOST_GRAMS, 0):  # with more grams than are sent to the tasks the result is the same
+        similarity.MOST_GRAMS, before = most, similarity.MOST_GRAMS
+        try:
+            found = {r.doc_id: (r.copy_run, r.copy_ratio) for r in similarity.copies(d.select("doc_id", words), b.select("item_id", words), 5).collect()}
+        finally:
+            similarity.MOST_GRAMS = before
+        assert found == known and len(known) > 5
+
+
+def test_secrets_are_where_redaction_changes_a_text(spark):
+    from storyline.functions import text
+
+    texts = ["", None, "token=abc", "TOKEN=[redacted]", "x token=[redacted] sk-abcdefghijklmnop1", 'a "Api_Key" : "v"', "Bearer abcdefghijklmnop", "my key = 5", "passwd=1", "see token: none", "EA" + "b" * 40, "/BOT123456:" + "a" * 30, "abc_" + "d" * 20, "fb_exchange_token=q"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select(text.has_secrets(F.col("text")).alias("x"), (text.redact(F.col("text")) != F.coalesce("text", F.lit(""))).alias("y")).collect()
+    assert [r.x for r in rows] == [r.y for r in rows] and 5 < sum(r.x for r in rows) < len(texts)
