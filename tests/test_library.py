@@ -223,6 +223,40 @@ def test_exact_pairs_against_all_pairs(spark):
     assert found == {(a, b) for (a, b) in plain if len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5 >= 0.6 + 1e-12} | {p for p in found if abs(len(sets[p[0]] & sets[p[1]]) / (len(sets[p[0]]) * len(sets[p[1]])) ** 0.5 - 0.6) < 1e-9}
 
 
+def test_tfidf_pairs_against_all_pairs(spark, tmp_path, monkeypatch):
+    """In tiles, with frequencies sent to tasks or joined, and numbers over a byte; no row is made for a meeting."""
+    import random
+    from collections import Counter
+
+    from storyline.plans import registry
+
+    draw = random.Random(6)
+    common, texts = [f"c{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)], []
+    for i in range(90):
+        own = draw.choices(common, k=draw.choice([3, 20, 60])) + ["".join(draw.choices("xyz", k=draw.choice([2, 9])))] * draw.choice([1, 2])
+        texts += [own, own + draw.choices(common, k=2)] if i % 3 == 0 else [own]
+    texts += [["often"] * 700 + ["ca"], ["often"] * 690 + ["cb", "ca"], ["ca"], []]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, " ".join(texts[0]))], "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    counts = {i: c for i, c in enumerate(map(Counter, texts)) if c and texts.index(texts[i]) == i}
+    df = Counter(w for c in counts.values() for w in c)
+    unit = {}
+    for i, c in counts.items():
+        x = {w: k * (math.log((len(counts) + 2) / (df[w] + 1)) + 1) for w, k in c.items()}
+        unit[i] = {w: v / math.sqrt(sum(u * u for u in x.values())) for w, v in x.items()}
+    plain = {(a, b): sum(v * unit[b].get(w, 0) for w, v in unit[a].items()) for a in unit for b in unit if a < b}
+    plain = {k: v for k, v in plain.items() if v >= 0.8}
+    assert len(plain) > 30
+    for known, sides, side, cells in ((2_000_000, 8, 250_000, 4_000_000), (20, 2, 30, 50), (0, 1, 1000, 1000)):
+        for name, value in (("MOST_KNOWN", known), ("SIDES", sides), ("SIDE", side), ("CELLS", cells)):
+            monkeypatch.setattr(similarity, name, value)
+        found = registry.QUERIES["tfidf_cosine_pairs"](spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert known < 2_000_000 or plan.count("Join") == 1  # that with the copies
+        rows = found.collect()
+        assert len(rows) == len(plain) and all(abs(r.cosine - plain[r.a, r.b]) < 2e-6 for r in rows)
+
+
 def test_pairs_of_long_sets_meet_on_several_first_tokens(spark):
     """Against all pairs, over sizes on both sides of a sketch's width; sets that share a few rare words don't go on."""
     import random
