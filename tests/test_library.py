@@ -247,8 +247,8 @@ def test_tfidf_pairs_against_all_pairs(spark, tmp_path, monkeypatch):
     plain = {(a, b): sum(v * unit[b].get(w, 0) for w, v in unit[a].items()) for a in unit for b in unit if a < b}
     plain = {k: v for k, v in plain.items() if v >= 0.8}
     assert len(plain) > 30
-    for known, sides, side, cells in ((2_000_000, 8, 250_000, 4_000_000), (20, 2, 30, 50), (0, 1, 1000, 1000)):
-        for name, value in (("MOST_KNOWN", known), ("SIDES", sides), ("SIDE", side), ("CELLS", cells)):
+    for known, sides, side, block, cells in ((2_000_000, 8, 250_000, 16_384, 1_000_000), (20, 2, 30, 7, 50), (0, 1, 1000, 50, 1000)):
+        for name, value in (("MOST_KNOWN", known), ("SIDES", sides), ("SIDE", side), ("BLOCK", block), ("CELLS", cells)):
             monkeypatch.setattr(similarity, name, value)
         found = registry.QUERIES["tfidf_cosine_pairs"](spark, str(tmp_path))
         plan = found._jdf.queryExecution().executedPlan().toString()
