@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm.common import ascii_lower, discard, private, table, written
+from storyline.llm.common import ascii_lower, discard, few, private, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -256,7 +256,7 @@ def discover(base: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFram
 def with_found(rows: DataFrame, found: DataFrame, digest: Column, name: str) -> DataFrame:
     """rows with the spans found for their text's digest as a column `name` (an empty array: none)."""
     key, salt, salt_of_row = private(rows, "_digest", "_salt", "_row_salt")
-    found = written(found, "pii-found").select(F.col("digest").alias(key), F.col("found").alias(name))
+    found = (found if hasattr(found, "_scratch") else written(found, "pii-found")).select(F.col("digest").alias(key), F.col("found").alias(name))
     found = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn(salt_of_row, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(found, (digest == F.col(key)) & (F.col(salt_of_row) == F.col(salt)), "left")
@@ -292,9 +292,13 @@ def mask(text: Column, spans: Column) -> Column:
 
 
 def masked(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """docs with every span of the text replaced by its kind in angle brackets; n_chars, if there, follows the text."""
+    """docs with every span of the text replaced by its kind in angle brackets; n_chars, if there, follows the text.
+
+    Only texts with spans are joined with them: the others are told by hashes of digests and stay where they are.
+    """
     text = F.coalesce("text", F.lit(""))
-    (spans_name,) = private(docs, "_spans")
+    digest = F.md5(text.cast("binary"))
+    spans_name, key = private(docs, "_spans", "_key")
     base = written(base_spans(docs), "pii-base")
     known = F.concat(*(F.transform(k, span_of(k)) for k in KINDS)).cast(SPANS)
     known = base.select("digest", known.alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["digest"])
@@ -302,12 +306,15 @@ def masked(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     none = F.array().cast(SPANS)
     both = both.select("digest", F.concat(F.coalesce("spans", none), F.coalesce("found", none)).alias("found"))
     by_start = F.sort_array(F.transform("found", lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind"))))
-    keyed = with_found(docs, both.select("digest", by_start.alias("found")), F.md5(text.cast("binary")), spans_name)
+    both = written(both.select("digest", by_start.alias("found")), "pii-spans")
+    keys = few(written(both.select(F.xxhash64("digest").alias(key)).distinct(), "pii-keys"))
+    has = F.xxhash64(digest) == F.col(key)
+    keyed = with_found(docs.join(keys, has, "left_semi"), both, digest, spans_name)
     some = F.size(spans_name) > 0
     changed = keyed.withColumn("text", F.when(some, mask(text, F.col(spans_name))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    return changed.select(*docs.columns).unionByName(docs.join(keys, has, "left_anti"))
 
 
 def joined(spans: Column) -> Column:

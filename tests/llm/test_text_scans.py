@@ -279,6 +279,23 @@ def test_private_discovery_and_mask(spark):
     assert out[31].text == texts[31] and out[32].text is None and len(out) == len(texts)
 
 
+def test_masking_moves_only_texts_with_spans(spark, tmp_path):
+    """Also where Spark would not broadcast by itself: the others are told by a broadcast of hashes."""
+    texts = [f"plain {i} " + "words " * 20 for i in range(298)] + ["write a@b.org now", None, "or write c@d.org"]
+    frame(spark, texts).write.parquet(str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pii.masked(spark.read.parquet(str(tmp_path / "d")))
+        found = by_id(out)
+        assert [found[i].text for i in (298, 299, 300)] == ["write <EMAIL> now", None, "or write <EMAIL>"]
+        assert len(found) == len(texts) and all(found[i].text == texts[i] for i in range(298))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join LeftAnti") == 1 and plan.count("Join LeftSemi") == 1 and plan.count("strategy=broadcast") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_masking_with_clashing_columns(spark):
     rows = [(1, "write a@b.org now", "x", 1, 2, 3, 4), (1, "write a@b.org now", "x", 1, 2, 3, 4), (None, None, "y", 5, 6, 7, 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _found string, _digest int, _spans int, _salt int, digest int")
