@@ -257,6 +257,19 @@ def test_tfidf_pairs_against_all_pairs(spark, tmp_path, monkeypatch):
         assert len(rows) == len(plain) and all(abs(r.cosine - plain[r.a, r.b]) < 2e-6 for r in rows)
 
 
+def test_tfidf_pairs_deal_no_copies_of_vectors(spark, monkeypatch):
+    """Vectors are written once, whatever the number of sides, and pairs found once."""
+    rows = [(i, [i % 5, 7, 8, 9, 100 + i % 5]) for i in range(40)] + [(99, [1000])]
+    words = spark.createDataFrame(rows, "doc_id long, tokens array<long>")
+    whole = {(i, j) for i in range(40) for j in range(40) if i < j and i % 5 == j % 5}
+    for side in (1000, 7, 1):
+        monkeypatch.setattr(similarity, "SIDE", side)
+        found = similarity.tfidf_pairs(words, 0.8)
+        assert "explode" not in found._jdf.queryExecution().executedPlan().toString().lower()
+        pairs = [(r.a, r.b) for r in found.collect()]
+        assert len(pairs) == len(whole) and set(pairs) == whole
+
+
 def test_pairs_of_long_sets_meet_on_several_first_tokens(spark):
     """Against all pairs, over sizes on both sides of a sketch's width; sets that share a few rare words don't go on."""
     import random
