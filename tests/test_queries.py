@@ -46,6 +46,32 @@ def test_near_titles_reads_the_whole_text(spark, tmp_path):
     assert row.lang == "en" and row.stems[-1].startswith("zeppel") and len(row.skeletons) > 60
 
 
+def test_near_titles_word_by_word_equal_the_expressions(spark, tmp_path, monkeypatch):
+    """Every character that Python cuts, and some that it leaves to Spark; words known from texts before and forgotten."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from storyline.functions import text, words
+
+    rng = random.Random(3)
+    some = "running walked boxes really cats ass\u0451 \u041f\u0440\u0438\u0432\u0435\u0442\u0430\u043c\u0438 \u0431\u044b\u043b\u0430 \u049b\u0430\u0437\u0430\u049b\u0441\u0442\u0430\u043d\u043d\u044b\u04a3 \u0431\u043e\u043b\u0430\u0434\u044b the of 7 12 3.5 1,234,5 x o'neil re-used a_b bookkeeper massess \u00e9t\u00e9s \u0429\u0443\u043a\u0438".split()
+    texts = [f"a{chr(c)}b {chr(c)} 1{chr(c)}2 X{chr(c)}ing{chr(c)}{chr(c)} \u0436{chr(c)}\u0437\u0430\u043c\u0438" for c in words.SAFE + sorted(words.EXCEPT) + [0x3A3, 0x3C2, 0x4E2D, 0x1F600, 0x660, 0x301, 0xFFFD]]
+    texts += [rng.choice(" \u2014\n\u00a0").join(rng.choices(some[:k], k=rng.randrange(40))) for k in (3, 9, 12, len(some)) for _ in range(60)] + ["", None, "\u049b\u049b\u049b \u04d9\u04d9\u04d9 \u043a\u0456\u0442\u0430\u043f\u0442\u0430\u0440\u044b\u043c\u044b\u0437"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = F.col("text")
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", text.detect_language(t).alias("lang"), text.tokenize(t).alias("stems"), F.transform(text.word_tokens(t), text.skeleton).alias("skeletons"))
+    wanted = {r.doc_id: tuple(r) for r in plain.collect()}
+    for most in (200_000, 5):
+        monkeypatch.setattr(words, "MOST_WORDS", most)
+        monkeypatch.setattr(words, "AT_ONCE", 50)
+        found = registry.QUERIES["near_titles"](spark, str(tmp_path))
+        assert "MapInArrow" in plan(found)
+        got = {r.doc_id: tuple(r) for r in found.collect()}
+        assert [got[k] for k in wanted if got[k] != wanted[k]] == []
+    assert {v[1] for v in wanted.values()} == {"en", "ru", "kk", "unknown"}
+
+
 def test_prior_members_by_slices_equal_all_pairs_without_sliding_windows(spark):
     import random
 
