@@ -26,11 +26,14 @@ SAFE = [c for low, high in RANGES for c in range(low, high + 1) if c not in EXCE
 MOST_WORDS, AT_ONCE = 200_000, 4000
 
 PLAIN = {**dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)), **dict.fromkeys((*range(0x2010, 0x2016), 0x2212), "-")}
+MARKS = re.compile("[" + "".join(map(chr, PLAIN)) + "]")
 LATIN = str.maketrans(dict(zip(*text.TRANSLIT_ONE)) | text.TRANSLIT_MORE)
 FOUND = re.compile(text.WORD.removeprefix("(?U)"))
-CYRILLIC, NO_CONSONANT, DOUBLE = re.compile("[Ѐ-ӿ]"), re.compile("[^a-z]|[aeiouyh]"), re.compile(r"(.)\1+")
+CYRILLIC, OTHER, DOUBLE = re.compile("[Ѐ-ӿ]"), re.compile("[^a-z]|[aeiouyh]"), re.compile(r"(.)\1+")
+NO_CONSONANT = bytes(c for c in range(128) if OTHER.match(chr(c)) or chr(c) == "\n")
 STOPS = {*text.STOP_RU, *text.STOP_KK, *text.STOP_EN}
 RUSSIAN, ENGLISH = (sorted(x, key=len, reverse=True) for x in (text.ENDINGS_RU, text.ENDINGS_EN))
+LAST_ENGLISH = {end[-1] for end in ENGLISH}
 
 #: Bits of a character: safe, letter, Cyrillic letter, ASCII letter, Kazakh letter (of either case).
 CLASS = np.zeros(0x110000, np.uint8)
@@ -41,17 +44,19 @@ for _c in SAFE:
 def stem(word: str, kazakh: bool) -> str:
     if len(word) <= 4 or word.isdecimal():
         return word
-    cyrillic = CYRILLIC.search(word) is not None
+    cyrillic = not word.isascii() and CYRILLIC.search(word) is not None
     if cyrillic and kazakh:
         return word[:5]
-    for end in RUSSIAN if cyrillic else ENGLISH:
-        if word.endswith(end) and len(word) - len(end) >= 4:
-            return word[: len(word) - len(end)][:6]
+    if cyrillic or word[-1] in LAST_ENGLISH:
+        for end in RUSSIAN if cyrillic else ENGLISH:
+            if word.endswith(end) and len(word) - len(end) >= 4:
+                return word[: len(word) - len(end)][:6]
     return word[:6]
 
 
 def skeleton(word: str) -> str:
-    s = DOUBLE.sub(r"\1", NO_CONSONANT.sub("", word.translate(LATIN)))
+    s = word.encode().translate(None, NO_CONSONANT).decode() if word.isascii() else OTHER.sub("", word.translate(LATIN))
+    s = DOUBLE.sub(r"\1", s)
     return s[:-1] if len(s) > 3 and s.endswith("s") else s
 
 
@@ -65,8 +70,10 @@ class Words(dict):
 
     def __missing__(self, word: str) -> int:
         self.counts.append(word not in STOPS and (len(word) >= 2 or word.isdecimal()))
-        for into, value in zip(self.made, (stem(word, False), stem(word, True), skeleton(word))):
-            into.append(value)
+        plain, kazakh, bare = self.made
+        plain.append(one := stem(word, False))
+        kazakh.append(one if word.isascii() else stem(word, True))
+        bare.append(skeleton(word))
         self[word] = out = len(self)
         return out
 
@@ -100,12 +107,14 @@ def analysed(docs: DataFrame) -> DataFrame:
                 langs, rest, found, size = [], [], [], np.zeros(n, np.int64)
                 for k, raw in enumerate(given.cast(pa.binary()).to_pylist()):
                     t = (raw or b"").decode("utf-8", "replace")
-                    bits = CLASS[np.frombuffer(t.encode("utf-32-le"), np.uint32)]
+                    plain = t.isascii()
+                    bits = CLASS[np.frombuffer(raw or b"", np.uint8) if plain else np.frombuffer(t.encode("utf-32-le"), np.uint32)]
                     safe = bool((bits & 1).all())
                     rest.append(None if safe else raw)
                     if safe:
                         langs.append(language(*(int(np.count_nonzero(bits & b)) for b in (2, 4, 8, 16))))
-                        words = [known[w] for w in FOUND.findall(t.translate(PLAIN).lower().replace("ё", "е"))]
+                        t = (t.translate(PLAIN) if not plain and MARKS.search(t) else t).lower().replace("ё", "е")
+                        words = [known[w] for w in FOUND.findall(t)]
                         size[k] = len(words)
                         found.extend(words)
                     else:
