@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from storyline.sources.scratch import clear, discard, exists, folder_of, shared_dir, written  # noqa: F401  (shared by the operators from here)
+from storyline.sources.scratch import clear, discard, exists, few, folder_of, shared_dir, written  # noqa: F401  (shared by the operators from here)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,15 +49,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()
 
 
-#: Narrow rows of a written table that are sent to every task, so that texts stay where they are; more are joined by hash.
-FEW = 2_000_000
-
-
-def few(table: DataFrame) -> DataFrame:
-    """A written table of narrow rows as one side of a join with texts: broadcast if it has no more than FEW rows."""
-    return F.broadcast(table) if table.count() <= FEW else table
-
-
 def filter_rows(df: DataFrame, keep: Callable[[list[str | None]], list[bool]], block: int = 2000) -> DataFrame:
     """Rows, with all their columns, whose texts `keep` wants; an Arrow map."""
     at_text = df.columns.index("text")
