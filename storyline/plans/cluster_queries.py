@@ -140,13 +140,13 @@ def story_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(COMPONENTS)
 def story_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events by micro-batches of a stream, with frozen frequencies: state by batch, one batch a file."""
-    given = reports(spark, sf_dir)
-    df, n = written(profiles.frequencies(profiles.hashed(given)), "item-frequencies"), table(spark, sf_dir, "documents").count()
     name = f"story-stream-{uuid.uuid4().hex}"
     state = stream.EventState(spark, f"{shared_dir(spark)}/{name}")
-    source = stream.arrivals(given, BATCHES, f"{name}-reports")
-    TABLES.extend((state.folder, source))
-    stream.run_available(spark, source, state, frozen=(df, n))
+    source, folders = stream.arrivals(reports(spark, sf_dir), BATCHES, f"{name}-reports")
+    TABLES.extend((state.folder, source, *folders))
+    given = spark.read.schema(stream.REPORT).parquet(*folders)
+    df, n = written(profiles.frequencies(profiles.hashed(given)), "item-frequencies"), given.count()
+    stream.run_available(spark, source, state, parts=True, frozen=(df, n))
     return stream.events_of(state).select(F.col("id").alias("doc_id"), F.col("event").alias("event_id"))
 
 

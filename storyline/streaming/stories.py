@@ -25,6 +25,7 @@ from storyline.sources.scratch import TABLES, clear_since, exists, folder_of, sh
 ARRAYS = ("title", "terms", "entities", "title_entities", "numbers", "quotes", "dates")
 REPORT = "id long, lang string, sec long, " + ", ".join(f"{c} array<string>" for c in ARRAYS)
 LIVE = REPORT + ", event long"
+PART = "path string"
 FREQUENCY = "kind string, lang string, key string, df long"
 
 
@@ -90,13 +91,15 @@ def advance(batch: DataFrame, number: int, state: EventState, horizon: int = sto
     moves = connected_components(edges).select(F.col("node").alias("event"), F.col("component").alias("into")).filter("event <> into")
     moves = written(moves, "batch-moves")
     labelled = both.join(event, "id").join(moves, "event", "left").withColumn("event", F.coalesce("into", "event"))
+    top = new.agg(F.max("sec").alias("latest"), F.count("*").alias("n")).first()
+    ends = [x for x in (latest, top.latest) if x is not None]
+    if ends:  # what the next batch may still meet
+        labelled = labelled.filter(F.col("sec") >= max(ends) - delay - horizon)
     state.put(labelled.select(*columns, "event"), "live", number)
     state.put(moves, "moves", number)
     state.put(new.select("id", F.col("id").alias("event")), "assigned", number)
     state.put(links, "links", number)
     state.put(added(counts, stories.report_items(new)), "frequencies", number)
-    top = new.agg(F.max("sec").alias("latest"), F.count("*").alias("n")).first()
-    ends = [x for x in (latest, top.latest) if x is not None]
     state.put(state.spark.createDataFrame([(max(ends, default=None), before + top.n)], "latest long, reports long").coalesce(1), "marks", number)
     state.put(state.spark.createDataFrame([(batch.count() - on_time.count(),)], "late long").coalesce(1), "late", number)
     for name in ("live", "frequencies"):
@@ -111,12 +114,15 @@ def events_of(state: EventState) -> DataFrame:
     return found.join(roots.withColumnRenamed("node", "event"), "event", "left").select("id", F.coalesce("component", "event").alias("event"))
 
 
-def run_available(spark: SparkSession, source: str, state: EventState, **options) -> None:
-    """Runs the stream over the files of reports that have come since the checkpoint, one file a batch."""
-    stream = spark.readStream.schema(REPORT).option("maxFilesPerTrigger", 1).parquet(source)
+def run_available(spark: SparkSession, source: str, state: EventState, parts: bool = False, **options) -> None:
+    """Runs the stream over the files that have come since the checkpoint, one file a batch: reports, or (parts) rows that name
+    the folder of a batch's reports, which many tasks then read."""
+    stream = spark.readStream.schema(PART if parts else REPORT).option("maxFilesPerTrigger", 1).parquet(source)
 
     def step(batch: DataFrame, number: int) -> None:
         mark = len(TABLES)
+        if parts:
+            batch = spark.read.schema(REPORT).parquet(*sorted(r.path for r in batch.collect()))
         advance(batch, number, state, **options)
         clear_since(spark, mark)  # all that a batch leaves is in its state
 
@@ -125,16 +131,20 @@ def run_available(spark: SparkSession, source: str, state: EventState, **options
     query.awaitTermination()
 
 
-def arrivals(reports: DataFrame, batches: int, tag: str) -> str:
-    """A folder of files of reports in the order of time, by cut points of their time; one file a batch."""
+def arrivals(reports: DataFrame, batches: int, tag: str) -> tuple[str, list[str]]:
+    """A folder of files in the order of time, by cut points of their time, one file a batch (PART); and the folders of reports
+    that these name, each written by all tasks."""
     spark = reports.sparkSession
     source = f"{shared_dir(spark)}/{tag}"
     cuts = reports.approxQuantile("sec", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    folders = []
     for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
         part = reports if low is None else reports.filter(F.col("sec") >= low)
         part = part if high is None else part.filter(F.col("sec") < high)
-        part.select("id", "lang", "sec", *ARRAYS).coalesce(1).write.mode("append").parquet(source)
-    return source
+        folders.append(f"{source}-{k}")
+        part.select("id", "lang", "sec", *ARRAYS).write.parquet(folders[-1])
+        spark.createDataFrame([(folders[-1],)], PART).coalesce(1).write.mode("append").parquet(source)
+    return source, folders
 
 
 __all__ = ["EventState", "advance", "arrivals", "events_of", "run_available"]

@@ -211,6 +211,25 @@ def test_several_batches_give_the_events_of_one(given, spark, tmp_path):
     assert {r.id: r.event for r in stream.events_of(state).collect()} == plain
 
 
+def test_batches_are_written_by_many_tasks_and_keep_their_cuts(given, spark, tmp_path):
+    """One row a batch that names its reports, which stand in several files; of these what no later report can meet leaves the state."""
+    rows, _, _, df, n = given
+    state, many = stream.EventState(spark, str(tmp_path / "state")), frame(spark, rows).repartition(3)
+    source, folders = stream.arrivals(many, 3, f"parts-{tmp_path.name}")
+    assert [spark.read.schema(stream.PART).parquet(source).count(), len(folders)] == [3, 3]
+    parts = [spark.read.schema(stream.REPORT).parquet(f) for f in folders]
+    assert all(len(p.inputFiles()) > 1 for p in parts) and sum(p.count() for p in parts) == len(rows)
+    ends = [p.agg(F.min("sec"), F.max("sec")).first() for p in parts]
+    assert ends[0][1] < ends[1][0] and ends[1][1] < ends[2][0]
+    stream.run_available(spark, source, state, parts=True, frozen=(df, n), horizon=3600, delay=3600)
+    assert state.all("assigned", "id long, event long").groupBy("batch").count().count() == 3
+    live = {r.id for r in state.get("live", 2, stream.LIVE).collect()}
+    last = max(r[2] for r in rows)
+    assert live == {r[0] for r in rows if r[2] >= last - 7200}
+    stream.run_available(spark, source, state, parts=True, frozen=(df, n))  # nothing has come since
+    assert {r.id for r in state.get("live", 2, stream.LIVE).collect()} == live
+
+
 def test_horizon_drops_state_and_late_reports(spark, tmp_path):
     rng = random.Random(3)
     early, middle, far = ([report(100 * k + i, 1, rng, hours) for i in range(4)] for k, hours in enumerate((0, 50, 400)))
